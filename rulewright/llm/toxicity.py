@@ -1,8 +1,9 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed features.
 
 Features are the words of a text (A-Z lower-cased, punctuation stripped from
-their ends), their neighbours as bigrams, and skip-grams that leave out one
-word, hashed into ``2 ** BITS`` coordinates and taken as present or absent.
+their ends), each also by its stems (its first bytes, so that inflected forms
+share a coordinate), their neighbours as bigrams, and skip-grams that leave out
+one word, hashed into ``2 ** BITS`` coordinates and taken as present or absent.
 Training runs over a bounded sample of labelled rows (``TRAIN_ROWS``, those of
 smallest hash) as a stream in one task: per-coordinate learning rates, L1 and L2
 proximal steps, most coordinates end at exactly zero.  The few non-zero weights
@@ -22,39 +23,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_column, map_arrow, mix64, prepare, stored
+from .common import MEMO_ENTRIES, binary_column, map_arrow, mix64, prepare, stored
 
 BITS = 20
 #: Labelled rows that are trained on: all of them up to this bound.
 TRAIN_ROWS = 16_384
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
+#: Bytes of the stems that stand beside a longer word.
+STEMS = (4, 5, 6)
 TOXIC_AT = 0.7
 _STRIP = b".,;:!?\"'()[]{}*#%&$<>|-_/\\"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-class _Tokens(WordHashes):
-    """Hash of a word without the punctuation at its ends."""
+class _Tokens(dict):
+    """word -> row of a table with the hashes of the bare word and of its stems."""
+
+    def __init__(self):
+        super().__init__()
+        self.table = np.zeros((1024, 1 + len(STEMS)), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        bare = word.strip(_STRIP)
-        value = super().__missing__(bare if bare else word) if bare != word else super().__missing__(word)
-        if len(word) <= 48:
-            self[word] = value
-        return value
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        row = len(self)
+        if row == len(self.table):
+            self.table = np.vstack([self.table, np.zeros_like(self.table)])
+        bare = word.strip(_STRIP) or word
+        self.table[row] = [xxhash.xxh64_intdigest(bare), *(xxhash.xxh64_intdigest(bare[:k], seed=k) if len(bare) > k else 0 for k in STEMS)]
+        self[word] = row
+        return row
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) + len(words) > MEMO_ENTRIES:  # rows must outlive this call
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.table[rows]  # which may have grown meanwhile
 
 
 def features(text: bytes | None, tokens: _Tokens) -> np.ndarray:
-    """Coordinates of unigrams, bigrams and skip-grams, with repeats."""
-    words = text.translate(_LOWER).split() if text else []
-    h = mix64(tokens.of(words))
+    """Coordinates of unigrams, stems, bigrams and skip-grams, with repeats."""
+    rows = tokens.of(text.translate(_LOWER).split() if text else [])
     shift = np.uint64(64 - BITS)
     step = np.uint64(0xC2B2AE3D27D4EB4F)
-    grams = [h, mix64(h[:-1] * step + h[1:]), mix64(h[:-2] * step * step + h[2:])] if len(h) > 2 else [h, mix64(h[:-1] * step + h[1:])]
+    h = mix64(rows[:, 0])
+    stems = rows[:, 1:].ravel()
+    grams = [h, mix64(stems[stems != 0]), mix64(h[:-1] * step + h[1:]), mix64(h[:-2] * (step ^ np.uint64(2)) + h[2:])]
     return np.concatenate([g >> shift for g in grams]).astype(np.int64)
 
 
