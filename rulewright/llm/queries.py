@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embedding_dedup, minhash_dedup, packing, quality_rules, secret_scan, token_counts, toxicity, url_filter
+from . import bpe_codec, embedding_dedup, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.parse_documents(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_toxicity, op4_secret_scan, op5_token_counts, op6_best_fit_packing, op7_url_filter, op8_superminhash_dedup, op9_bpe_round_trip, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_substring_dedup, op3_toxicity, op4_secret_scan, op5_token_counts, op6_best_fit_packing, op7_url_filter, op8_superminhash_dedup, op9_bpe_round_trip, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
