@@ -139,7 +139,8 @@ def deal_tiles(members: DataFrame, group: str, block: int) -> DataFrame:
     sizes = members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
     cut = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
     other = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return other.withColumns({"left": F.least("own", "_other"), "right": F.greatest("own", "_other")}).drop("_blocks", "_other")
+    tiles = other.withColumns({"left": F.least("own", "_other"), "right": F.greatest("own", "_other")}).drop("_blocks", "_other")
+    return tiles.repartition(group, "left", "right")  # else all tiles of a group would stay in the join's partition
 
 
 def _stack(table: pa.Table, payload: str) -> tuple[pa.Table, np.ndarray, list, int]:
