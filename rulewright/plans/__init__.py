@@ -1 +1 @@
-"""Plans of the rule engine."""
+"""Logical plans: what to compute, left to Catalyst to place."""
