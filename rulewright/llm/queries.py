@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embedding_dedup, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity, url_filter
+from . import bpe_codec, embedding_dedup, minhash_dedup, oracles, packing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,4 +53,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_substring_dedup, op3_toxicity, op4_secret_scan, op5_token_counts, op6_best_fit_packing, op7_url_filter, op8_superminhash_dedup, op9_bpe_round_trip, op10_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Scores, token ids and packings have no SQL form; tests hold those operators against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": oracles.EMBEDDING_DEDUP,
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op4_secret_scan": oracles.SECRET_SCAN,
+    "op7_url_filter": oracles.URL_FILTER,
+    "op8_superminhash_dedup": oracles.NEAR_DEDUP,
+}
