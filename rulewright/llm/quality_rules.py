@@ -50,7 +50,8 @@ LEAST_GROUP = 200
 #: all, and statistics of short texts have heavier tails than a normal law, so this is
 #: far above its 0.999 quantile (18.5 for four dimensions).
 CUT_OFF = 150.0
-#: Least standard deviation taken for each statistic, in its own units.
+#: Least standard deviation taken for each statistic, in its own units.  Most texts have
+#: no symbol and no repeat at all; a repeated line or a few symbols must not count as far.
 FLOOR = 0.1
 STATISTICS = ("mean_word", "symbols", "dup_lines", "repeats")
 _N = len(STATISTICS)
@@ -91,9 +92,9 @@ def _vector(stats: DataFrame) -> DataFrame:
     """x0.. : transformed statistics as integers of SCALE steps a unit."""
     raw = {
         "mean_word": F.log(F.col("word_chars") / F.col("n_words")) * 4,
-        "symbols": F.log1p(F.col("n_symbols") * 100.0 / F.col("n_words")),
-        "dup_lines": F.log1p(F.col("n_dup_lines") * 20.0 / F.greatest("n_lines", F.lit(1))),
-        "repeats": F.log1p(F.col("n_repeat_words") * 20.0 / F.col("n_words")),
+        "symbols": F.log1p(F.col("n_symbols") * 20.0 / F.col("n_words")),
+        "dup_lines": F.log1p(F.col("n_dup_lines") * 1.0 / F.greatest("n_lines", F.lit(1))),
+        "repeats": F.log1p(F.col("n_repeat_words") * 1.0 / F.col("n_words")),
     }
     return stats.withColumns({f"x{k}": F.round(raw[name] * SCALE).cast("long") for k, name in enumerate(STATISTICS)})
 
