@@ -102,7 +102,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def each(batch: pa.RecordBatch) -> dict:
         c = codec(vocabulary)
-        return {"id": batch.column(0).to_pylist(), "ids": [c.encode(t or "") for t in text_column(batch, "text")]}
+        return {"id": batch.column(0), "ids": pa.array([c.encode(t or "") for t in text_column(batch, "text")], pa.list_(pa.int32()))}
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), each, None, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -114,7 +114,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
 
     def each(batch: pa.RecordBatch) -> dict:
         c = codec(vocabulary)
-        return {"id": batch.column(0).to_pylist(), "bytes": [c.decode(x or []) for x in batch.column(1).to_pylist()]}
+        return {"id": batch.column(0), "bytes": pa.array([c.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())}
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return map_arrow(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), each, None, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)

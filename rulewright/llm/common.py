@@ -12,6 +12,9 @@ Nothing outside this subpackage imports it.  Three concerns live here:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -23,10 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch: 1024 texts of the longest kind (about 120 kB) stay near 120 MB.
-BATCH_ROWS = 1024
+#: Rows in one Arrow batch: 256 texts of the longest kind (about 120 kB) stay near 30 MB.
+BATCH_ROWS = 256
 #: Entries that a worker's memo of words keeps before it starts afresh.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 100_000
 #: Longer keys are computed each time instead of being kept.
 MEMO_KEY_CHARS = 48
 
@@ -129,6 +132,14 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
+def release() -> None:
+    """Give freed memory back to the system: a pool of idle workers shares an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -150,5 +161,8 @@ def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: pa.
             if batch.num_rows:
                 columns = each(batch, state) if setup else each(batch)
                 yield pa.RecordBatch.from_pydict(columns, schema=schema)
+                del columns
+        state = batch = None
+        release()
 
     return df.mapInArrow(run, ddl)

@@ -15,8 +15,9 @@ leaves a task.  A label that holds many rows is many tiles.
 
 Special cases: vectors that are null, empty, zero, or hold a null or non-finite
 component, and vectors with a null label, link with nothing and are components
-of their own.  Vectors of different dimension are never compared.  Equal vectors
-link like any others.  Repeated rows of one id count once.
+of their own, as are rows with a null id.  Vectors of different dimension are
+never compared.  Equal vectors link like any others.  Rows that repeat an id
+count once and must repeat its vector.
 """
 
 from __future__ import annotations
@@ -171,4 +172,4 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block_r
     links = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     out = embeddings.select(F.col("vec_id").cast("long")).join(links, "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -25,8 +25,9 @@ With 40 bands of 5 a pair at the threshold is missed with probability
 (1 - 0.8**5)**40 = 1.3e-7.
 
 Special cases: a text with fewer words than a shingle is one shingle; without
-words, or null, the set is empty and links with nothing.  Repeated rows of one
-id count once in links and each in the result.
+words, or null, the set is empty and links with nothing; so does a row with a
+null id, whose component is null.  Rows that repeat an id count once in links and
+each in the result, and must repeat its text.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, binary_column, lower_words, map_arrow, mix64, prepare, stored, window_hashes
@@ -48,8 +49,8 @@ BANDS, ROWS = 40, 5
 PLACES = BANDS * ROWS
 #: Least share of equal places of a pair that is looked at in full.
 LOOSE = 0.64
-#: Members of a block; a tile compares two blocks.
-BLOCK = 512
+#: Members of a block, and elements of their sets; a tile compares two blocks.
+BLOCK, BLOCK_ELEMENTS = 512, 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,12 +132,13 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), each, schema, "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary", WordHashes)
 
 
-def deal_tiles(members: DataFrame, group: str, block: int) -> DataFrame:
+def deal_tiles(members: DataFrame, group: str, weight: Column, most: int) -> DataFrame:
     """Add (left, right, own): the tiles of blocks in which each member takes part.
 
-    A group of up to ``block`` rows is one tile; larger ones are dealt by hash.
+    A group of weight up to ``most`` is one tile; larger ones are dealt by hash
+    into blocks of about that weight.
     """
-    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    sizes = members.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("_blocks"))
     cut = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
     other = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     tiles = other.withColumns({"left": F.least("own", "_other"), "right": F.greatest("own", "_other")}).drop("_blocks", "_other")
@@ -230,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
     members = banded.join(buckets, "key").select("leader", "doc_id").distinct()
     members = members.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
-    tiles = deal_tiles(stored(members, "groups"), "leader", BLOCK)
+    tiles = deal_tiles(stored(members, "groups"), "leader", F.lit(1), BLOCK)
     loose = tiles.groupBy("leader", "left", "right").applyInArrow(loose_tile, "a long, b long").distinct()
     loose = stored(components(loose), "loose")
 
@@ -240,14 +242,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("component", pa.int64()), ("elements", pa.binary())])
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(loose.select(F.col("node").alias("doc_id"), "component").hint("shuffle_hash"), "doc_id").select("doc_id", "component", "text")
     full = map_arrow(texts, elements, schema, "doc_id long, component long, elements binary", WordHashes)
-    dealt = deal_tiles(stored(full, "sets"), "component", BLOCK)
+    dealt = deal_tiles(stored(full, "sets"), "component", F.octet_length("elements") / 8 + BLOCK_ELEMENTS // BLOCK, BLOCK_ELEMENTS)
     links = dealt.groupBy("component", "left", "right").applyInArrow(exact_tile, "a long, b long")
     groups = components(links)
 
     rep_of = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(rep_of, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:

@@ -90,11 +90,12 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 def _vector(stats: DataFrame) -> DataFrame:
     """x0.. : transformed statistics as integers of SCALE steps a unit."""
+    words = F.greatest("n_words", F.lit(1))
     raw = {
-        "mean_word": F.log(F.col("word_chars") / F.col("n_words")) * 4,
-        "symbols": F.log1p(F.col("n_symbols") * 20.0 / F.col("n_words")),
+        "mean_word": F.log(F.greatest("word_chars", F.lit(1)) / words) * 4,
+        "symbols": F.log1p(F.col("n_symbols") * 20.0 / words),
         "dup_lines": F.log1p(F.col("n_dup_lines") * 1.0 / F.greatest("n_lines", F.lit(1))),
-        "repeats": F.log1p(F.col("n_repeat_words") * 1.0 / F.col("n_words")),
+        "repeats": F.log1p(F.col("n_repeat_words") * 1.0 / words),
     }
     return stats.withColumns({f"x{k}": F.round(raw[name] * SCALE).cast("long") for k, name in enumerate(STATISTICS)})
 
@@ -171,11 +172,10 @@ def judge(docs: DataFrame) -> DataFrame:
     pick = sizes.alias("s").join(by_source.alias("a"), _same("s", "a", own), "left").join(by_lang.alias("b"), _same("s", "b", lang), "left").join(lang_sizes.alias("n"), _same("s", "n", lang), "left")
     pick = pick.join(by_all.alias("w"), F.lit(0) == F.col("w.every"), "left")
     chosen = [F.when(F.col("s.count") >= LEAST_GROUP, F.col(f"a.{c}")).when(F.col("n.count") >= LEAST_GROUP, F.col(f"b.{c}")).otherwise(F.col(f"w.{c}")).alias(c) for c in fields]
-    pick = stored(pick.select("s.lang", "s.source", *chosen), "estimates")
-    near = _with_distance(good.alias("v").join(pick.alias("g"), _same("v", "g", own)).select("v.doc_id", *[f"v.x{i}" for i in range(_N)], *[f"g.{c}" for c in fields]))
-    far = near.where(F.col("d2") > CUT_OFF).groupBy("doc_id").agg(F.max("d2").alias("far_d2"))
-    out = stats.join(far, "doc_id", "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("far_d2").isNull())
+    pick = stored(pick.select("s.lang", "s.source", *chosen), "estimates")  # one row a group
+    measured = _vector(stats).alias("v").join(pick.alias("g"), _same("v", "g", own), "left").select("v.*", *[f"g.{c}" for c in fields])
+    near = _with_distance(measured).withColumn("distance", F.when(~F.col("base_failed"), F.col("d2")))
+    return near.select(*stats.columns, "distance", (~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUT_OFF, F.lit(False))).alias("kept"))
 
 
 def judged_documents(docs: DataFrame) -> DataFrame:
@@ -185,5 +185,5 @@ def judged_documents(docs: DataFrame) -> DataFrame:
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, all columns as they were (rows of a repeated doc_id go only if all of them are rejected)."""
-    kept = judge(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    kept = judge(docs).where("kept").select(F.col("doc_id").alias("_rw_id")).distinct()
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rw_id")), "left_semi")

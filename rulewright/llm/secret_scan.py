@@ -14,7 +14,8 @@ match that fails its length test is used up, but not reported.
 
 Special cases: a null text counts as empty; positions count code points, ends
 are exclusive; equal texts share one ledger entry; spans at one start are
-ordered by kind as listed in ``KINDS``.
+ordered by kind as listed in ``KINDS``; rows that repeat a key keep all their texts.
+``redact_documents`` needs ids that name one text (rows with a null id included).
 """
 
 from __future__ import annotations
@@ -140,14 +141,14 @@ def redact_documents(docs: DataFrame, ledger: BlobLedger | None = None) -> DataF
     spark = docs.sparkSession
     prepare(spark)
     ledger = ledger or new_ledger(spark)
-    found = ledger.scan(docs.select("doc_id", "text"), ["doc_id"]).where("spans <> ''").select("doc_id", "spans").distinct()
+    found = ledger.scan(docs.select("doc_id", "text"), ["doc_id"]).where("spans <> ''").select(F.col("doc_id").alias("_rw_id"), F.col("spans").alias("_rw_spans")).distinct()
 
     @F.pandas_udf("string")
     def cleaned(text, spans):
         return text.combine(spans, lambda t, s: redact(t, parse_spans(s)) if s else t)
 
-    joined = docs.join(found.hint("shuffle_hash"), "doc_id", "left")
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned(F.coalesce("text", F.lit("")), F.coalesce("spans", F.lit(""))))
+    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rw_id")), "left")
+    clean = F.when(F.col("_rw_spans").isNull(), F.col("text")).otherwise(cleaned(F.coalesce("text", F.lit("")), F.coalesce("_rw_spans", F.lit(""))))
     return joined.withColumn("text", clean).select(*docs.columns)
 
 

@@ -155,7 +155,7 @@ def kept_words(words: list, spans: list[tuple[int, int, int]]) -> list:
 
 def _with_runs(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     runs = duplicate_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), window, anchor)
-    per_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "source")).alias("_runs"))
+    per_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "source")).alias("_rw_runs"))
     return docs.join(per_doc.hint("shuffle_hash"), "doc_id", "left")
 
 
@@ -166,7 +166,7 @@ def _runs_of(value) -> list[tuple[int, int, int]]:
 def parse_documents(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_sha256) of every row; spans are (start, end, source) in words."""
     prepare(docs.sparkSession)
-    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, anchor).select("doc_id", "text", "_runs")
+    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, anchor).select("doc_id", "text", "_rw_runs")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept_sha256", pa.string())])
 
@@ -193,5 +193,5 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
         return text.combine(runs, lambda t, r: " ".join(x.decode() for x in kept_words(t.encode().split(), factors(_runs_of(r), window))))
 
     rows = _with_runs(docs, window, anchor)
-    kept = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(clean(F.coalesce("text", F.lit("")), F.coalesce("_runs", F.expr("cast(array() as array<struct<first:int,n:int,source:long>>)"))))
+    kept = F.when(F.col("_rw_runs").isNull(), F.col("text")).otherwise(clean(F.coalesce("text", F.lit("")), F.coalesce("_rw_runs", F.expr("cast(array() as array<struct<first:int,n:int,source:long>>)"))))
     return rows.withColumn("text", kept).select(*docs.columns)

@@ -30,11 +30,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, MEMO_KEY_CHARS, map_arrow, prepare, text_column
+from .common import MEMO_KEY_CHARS, map_arrow, prepare, text_column
 
 MARK = "▁"
 #: Production limit on a document's tokens.
 TOKEN_LIMIT = 4096
+#: Units whose counts a worker keeps (about 100 MB) before it starts afresh.
+MEMO_ENTRIES = 400_000
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 _loaded: dict[str, PrefixCounter] = {}
 
@@ -167,7 +169,7 @@ def prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def each(batch: pa.RecordBatch) -> dict:
         c = counter(model)
-        return {"id": batch.column(0).to_pylist(), "counts": [c.table(t or "").tolist() for t in text_column(batch, "text")]}
+        return {"id": batch.column(0), "counts": pa.array([c.table(t or "").tolist() for t in text_column(batch, "text")], pa.list_(pa.int32()))}
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), each, None, f"id {kind}, counts array<int>").withColumnRenamed("id", id_col)
@@ -175,8 +177,8 @@ def prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def truncate(docs: DataFrame, counts: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts cut to their longest prefix of at most ``budget`` tokens, by look-up in stored counts."""
-    fits = counts.select(id_col, F.expr(f"array_max(filter(transform(counts, (c, i) -> if(c <= {int(budget)}, i, -1)), x -> x >= 0))").alias("fit"))
-    return docs.join(fits, id_col).withColumn(text_col, F.substring(F.col(text_col), F.lit(1), F.col("fit"))).drop("fit")
+    fits = counts.select(id_col, F.expr(f"array_max(filter(transform(counts, (c, i) -> if(c <= {int(budget)}, i, -1)), x -> x >= 0))").alias("_rw_fit"))
+    return docs.join(fits, id_col).withColumn(text_col, F.substring(F.col(text_col), F.lit(1), F.col("_rw_fit"))).drop("_rw_fit")
 
 
 def document_counts(docs: DataFrame, limit: int = TOKEN_LIMIT, model: str = "piece_bpe_32k.model") -> DataFrame:

@@ -99,13 +99,14 @@ class Ftrl:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """The fold by id; a null id is in none."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict[int, float]:
     """Non-zero weights by coordinate, at most 2**BITS + 1 of them."""
     prepare(docs.sparkSession)
-    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(~held_out(F.col("doc_id")))
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id", F.lit(17))
     sample = stored(known.orderBy(order, "doc_id", "toxic").limit(rows), "sample")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")  # at most `rows` of 12 bytes

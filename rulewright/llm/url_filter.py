@@ -132,5 +132,5 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + OWN_RULES, de
         rows = [index.value.judge(h, p) for h, p in zip(host, path, strict=True)]
         return pd.DataFrame(rows, columns=["rule", "verdict"])
 
-    out = parsed.withColumn("_judged", judged("host", "path"))
-    return out.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    out = parsed.withColumn("_rw_judged", judged("host", "path"))
+    return out.withColumns({"rule": F.col("_rw_judged.rule"), "verdict": F.col("_rw_judged.verdict")}).drop("_rw_judged")
