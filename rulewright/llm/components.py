@@ -2,8 +2,9 @@
 
 Rounds of the published large-star / small-star scheme, each a plain aggregate
 and join: every node is re-linked to the smallest node around it until the edges
-form stars.  Minima are pre-aggregated before the shuffle and the join that hands
-them out is one that adaptive execution can split, so a hub is no hot spot.
+form stars.  Minima are pre-aggregated before the shuffle and stored, so that the join that
+hands them out has plain exchanges on both sides, which adaptive execution can
+split: a hub is no hot spot.
 Each round ends in a written table; the driver sees two numbers per round.
 """
 
@@ -22,9 +23,10 @@ MOST_ROUNDS = 60
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step on (u, v), u > v; gives (u, v), u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    low = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "minima")
     large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    own = large.groupBy("u").agg(F.min("v").alias("m"))
+    large = stored(large, "large")
+    own = stored(large.groupBy("u").agg(F.min("v").alias("m")), "own")
     small = large.join(own, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(own.select("u", F.col("m").alias("v"))).distinct()
 

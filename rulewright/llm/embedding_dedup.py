@@ -136,6 +136,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block_r
     per_bin = placed.groupBy("label", "dim", "bin").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("label", "dim").orderBy("bin")) - F.col("n")
     blocks = per_bin.withColumn("before", before).withColumn("sub", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("block", F.floor(F.col("before") / block_rows).cast("long"))
+    blocks = stored(blocks, "bins")
     names = blocks.select("label", "dim", "bin", "sub", "block")
     bounds = blocks.select("label", "dim", "bin", F.explode(F.expr("sequence(block, block + sub - 1)")).alias("block")).groupBy("label", "dim", "block").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
     bounds = stored(bounds, "blocks")

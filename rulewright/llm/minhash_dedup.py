@@ -139,7 +139,7 @@ def deal_tiles(members: DataFrame, group: str, weight: Column, most: int) -> Dat
     into blocks of about that weight.
     """
     sizes = members.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("_blocks"))
-    cut = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    cut = members.join(stored(sizes, "sizes"), group).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
     other = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     tiles = other.withColumns({"left": F.least("own", "_other"), "right": F.greatest("own", "_other")}).drop("_blocks", "_other")
     return tiles.repartition(group, "left", "right")  # else all tiles of a group would stay in the join's partition
@@ -223,13 +223,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     signed = stored(_signatures(docs), "signatures")
     known = signed.where("n_shingles > 0")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # aggregates are stored before they are joined: both sides are then plain exchanges, which Spark splits at a hot key
+    classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digests")
     classes = stored(known.select("doc_id", "digest").distinct().join(classes, "digest").select("doc_id", "rep"), "classes")
     reps = signed.join(classes.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = stored(reps.select("doc_id", "n_shingles", "bands", "sig"), "representatives")
 
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
+    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").drop("last")
+    buckets = stored(buckets, "buckets")
     members = banded.join(buckets, "key").select("leader", "doc_id").distinct()
     members = members.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
     tiles = deal_tiles(stored(members, "groups"), "leader", F.lit(1), BLOCK)

@@ -113,17 +113,20 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     """
     index = stored(_all_blocks(docs, window, anchor), "blocks")
     per_anchor = index.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), (F.min("content") == F.max("content")).alias("equal"))
-    shared = stored(index.join(per_anchor.where("source < last"), "anchor").drop("last"), "shared")
+    # stored, so that both sides of the join are plain exchanges, which Spark splits where an anchor is frequent
+    per_anchor = stored(per_anchor.where("source < last").drop("last"), "anchors")
+    shared = stored(index.join(per_anchor, "anchor"), "shared")
     whole = shared.where("equal and source < doc_id").select("doc_id", "first", "n", "source")
 
     mixed = shared.where("not equal").drop("source", "equal")
-    per_content = mixed.groupBy("anchor", "content").agg(F.min("doc_id").alias("source"))
+    per_content = stored(mixed.groupBy("anchor", "content").agg(F.min("doc_id").alias("source")), "contents")
     mixed = stored(mixed.join(per_content, ["anchor", "content"]), "boundaries")
     again = mixed.where("source < doc_id").select("doc_id", "first", "n", "source")
     todo = mixed.where("source = doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("todo"))
     single = _windows(docs.join(todo.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "todo"), window)
     single = stored(single, "windows")
     starts = single.groupBy("anchor", "hash").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    starts = stored(starts, "starts")
     found = single.join(starts, ["anchor", "hash"]).where("source < doc_id").select("doc_id", "first", F.lit(1).alias("n"), "source")
     return whole.unionByName(again).unionByName(found)
 
