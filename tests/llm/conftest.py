@@ -1,15 +1,9 @@
-import random
-
 import pytest
+from brute import prose
 
 DOCS_DDL = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def prose(seed: int, n: int) -> str:
-    rng = random.Random(seed)
-    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n))
-
-
 def edge_texts() -> list:
     """Nulls, empty and odd texts, a very long one, ties and repeats."""
     base = prose(1, 120)

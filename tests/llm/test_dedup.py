@@ -1,13 +1,12 @@
 import brute
 import numpy as np
 import pytest
+from brute import prose
 
 from rulewright.llm import embedding_dedup, minhash_dedup, substring_dedup
 from rulewright.llm.common import WordHashes
 from rulewright.llm.components import components
 
-from conftest import prose
-
 
 def test_components(spark):
     rng = np.random.default_rng(0)

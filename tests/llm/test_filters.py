@@ -3,7 +3,7 @@ import re
 
 import brute
 import pytest
-from conftest import prose
+from brute import prose
 
 from rulewright.llm import quality_rules, secret_scan, toxicity, url_filter
 

@@ -1,7 +1,7 @@
 import brute
 import corpus_pipeline
 import pytest
-from conftest import prose
+from brute import prose
 
 from rulewright.llm import queries
 
