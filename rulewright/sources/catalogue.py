@@ -93,6 +93,14 @@ def shipped(spark: SparkSession) -> DataFrame:
     return from_files(spark, shipped_files())
 
 
+def _refuse_empty(spark: SparkSession, paths: list[str]) -> None:
+    """A scan skips files without bytes; as YAML they are no mapping."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen():
+            raise ValueError(f"Expected mapping at top level: {path}")
+
+
 def load(spark: SparkSession, root: str) -> DataFrame:
     """Read ``{root}/rules`` from any file system Spark reads; a missing file or a fault in one is an error."""
     names = list(RULE_FILES)
@@ -105,7 +113,9 @@ def load(spark: SparkSession, root: str) -> DataFrame:
                 rows += [rule_row(names.index(file), k, file, r) for k, r in enumerate(rule_list(parse_yaml(content, path), file))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW_DDL.split(", ")])
 
-    files = spark.read.format("binaryFile").load([f"{root}/rules/{n}" for n in names]).select("path", "content")
+    paths = [f"{root}/rules/{n}" for n in names]
+    _refuse_empty(spark, paths)
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return _typed(files.mapInPandas(parse, RAW_DDL))
 
 
@@ -119,6 +129,7 @@ class RuleSchema:
 
 def load_schema(spark: SparkSession, root: str) -> RuleSchema:
     """The schema of a catalogue; a missing key is a KeyError."""
+    _refuse_empty(spark, [f"{root}/rules/schema.yaml"])
     row = spark.read.format("binaryFile").load(f"{root}/rules/schema.yaml").select("path", "content").first()
     schema = parse_yaml(bytes(row["content"]), row["path"])["rule_schema"]
     return RuleSchema(schema["required_fields"], schema["enums"])
