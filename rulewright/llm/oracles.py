@@ -99,3 +99,70 @@ links AS (SELECT a, b FROM shared JOIN sizes i ON i.doc_id = a JOIN sizes k ON k
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 nodes AS (SELECT doc_id AS n FROM docs), {_REACH}
 SELECT node AS doc_id, coalesce(n, 0) AS n_shingles, component_id, node = component_id AS kept FROM lowest LEFT JOIN sizes ON doc_id = node"""
+
+
+def _same(a: str, b: str, keys: list[str]) -> str:
+    return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys)
+
+
+_D = range(4)
+_SUMS = ", ".join(["count(*) AS m", *(f"sum(x{i})::DOUBLE AS s{i}" for i in _D), *(f"sum(x{i} * x{j})::DOUBLE AS q{i}{j}" for i in _D for j in range(i, 4))])
+
+
+def _fit(name: str, source: str, keys: list[str]) -> list[str]:
+    """CTEs from moments to means and a Cholesky factor, one column after the other."""
+    by = ", ".join(keys)
+    mean = ", ".join(f"s{i} / m / 1024 AS u{i}" for i in _D)
+    cov = ", ".join(f"q{i}{j} / m / 1048576 - u{i} * u{j} + {0.01 if i == j else 0.0} AS c{i}{j}" for i in _D for j in range(i, 4))
+    out = [f"{name}m AS (SELECT {by}, m, {mean}, {', '.join(f'q{i}{j}' for i in _D for j in range(i, 4))} FROM {source})", f"{name}c AS (SELECT *, {cov} FROM {name}m)"]
+    last = f"{name}c"
+    for i in _D:
+        for j in range(i + 1):
+            rest = f"c{j}{i}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            value = f"sqrt(greatest({rest}, 0.0025))" if i == j else f"({rest}) / l{j}{j}"
+            out.append(f"{name}l{i}{j} AS (SELECT *, {value} AS l{i}{j} FROM {last})")
+            last = f"{name}l{i}{j}"
+    return [*out, f"{name} AS (SELECT * FROM {last})"]
+
+
+def _distance(x: str = "v", g: str = "g") -> str:
+    """Squared distance, by lateral columns z0..z3."""
+    z = ", ".join(f"({x}.x{i} / 1024.0 - {g}.u{i}" + "".join(f" - {g}.l{i}{k} * z{k}" for k in range(i)) + f") / {g}.l{i}{i} AS z{i}" for i in _D)
+    return f"{z}, z0 * z0 + z1 * z1 + z2 * z2 + z3 * z3 AS d2"
+
+
+def _robust(name: str, keys: list[str]) -> list[str]:
+    by = ", ".join(keys)
+    out = [f"{name}_0s AS (SELECT {by}, {_SUMS} FROM good GROUP BY {by})", *_fit(f"{name}_0", f"{name}_0s", keys)]
+    for step in range(1, 5):
+        p = f"{name}_{step}"
+        out.append(f"{p}d AS (SELECT v.*, {_distance()} FROM good v JOIN {name}_{step - 1} g ON {_same('v', 'g', keys)})")
+        out.append(f"{p}k AS (SELECT *, least(511, floor(log2(1 + d2) * 16)) AS cell FROM {p}d)")
+        out.append(f"{p}n AS (SELECT {by}, cell, count(*) AS n FROM {p}k GROUP BY {by}, cell)")
+        out.append(f"{p}b AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY cell) - n AS before, sum(n) OVER (PARTITION BY {by}) AS whole FROM {p}n)")
+        out.append(f"{p}s AS (SELECT {', '.join(f'a.{k}' for k in keys)}, {_SUMS} FROM {p}k a JOIN {p}b b ON a.cell = b.cell AND {_same('a', 'b', keys)} WHERE before < whole * 0.75 GROUP BY {', '.join(f'a.{k}' for k in keys)})")
+        out += _fit(p, f"{p}s", keys)
+    return [*out, f"{name} AS (SELECT * FROM {name}_4)"]
+
+
+_PARAMETERS = [*(f"u{i}" for i in _D), *(f"l{i}{j}" for i in _D for j in range(i + 1))]
+
+QUALITY_RULES = f"""
+WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM docs WHERE len(w) >= 8),
+eights AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(w[p:p + 7], ' ')) AS times FROM spots),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS place FROM eights WHERE times > 1) GROUP BY doc_id),
+base AS (SELECT docs.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(ls) AS n_lines FROM docs LEFT JOIN covered USING (doc_id)),
+stats AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CAST(round(4 * ln(greatest(word_chars, 1) / greatest(n_words, 1)) * 1024) AS BIGINT) AS x0, CAST(round(ln(1 + n_symbols * 20.0 / greatest(n_words, 1)) * 1024) AS BIGINT) AS x1,
+    CAST(round(ln(1 + n_dup_lines * 1.0 / greatest(n_lines, 1)) * 1024) AS BIGINT) AS x2, CAST(round(ln(1 + n_repeat_words * 1.0 / greatest(n_words, 1)) * 1024) AS BIGINT) AS x3 FROM base),
+good AS (SELECT *, 0 AS every FROM stats WHERE NOT base_failed),
+{", ".join([*_robust("by_source", ["lang", "source"]), *_robust("by_lang", ["lang"]), *_robust("by_all", ["every"])])},
+sizes AS (SELECT lang, source, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS of_lang FROM good GROUP BY lang, source),
+pick AS (SELECT s.lang, s.source, {", ".join(f"CASE WHEN s.n >= 200 THEN a.{c} WHEN of_lang >= 200 THEN b.{c} ELSE w.{c} END AS {c}" for c in _PARAMETERS)}
+    FROM sizes s JOIN by_source a ON {_same("s", "a", ["lang", "source"])} JOIN by_lang b ON {_same("s", "b", ["lang"])} JOIN by_all w ON w.every = 0),
+far AS (SELECT v.doc_id, {_distance()} FROM stats v JOIN pick g ON {_same("v", "g", ["lang", "source"])})
+SELECT s.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d2 > 150, FALSE) AS kept
+FROM stats s LEFT JOIN far USING (doc_id)"""

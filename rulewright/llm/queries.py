@@ -60,4 +60,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": oracles.SECRET_SCAN,
     "op7_url_filter": oracles.URL_FILTER,
     "op8_superminhash_dedup": oracles.NEAR_DEDUP,
+    "op10_quality_rules": oracles.QUALITY_RULES,
 }
