@@ -19,6 +19,7 @@ from ..operators import catalogue as ops
 from ..operators import fix as fixes
 from ..operators import lint as lints
 from ..operators import report
+from ..operators.references import format_references, parse_references
 from ..sources import catalogue, fixtures
 from ..sources.shipped import CONFLICTS, ENUMS, REQUIRED_FIELDS, SOURCES, UNKNOWNS, shipped_files
 from . import validator
@@ -314,6 +315,23 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.summary(verdicts_of_text_rules(spark, sf_dir))
 
 
+_LINES = [(1, 1, "张三、李四，1990a，论乙，经济学刊，1，1—9"), (1, 2, 'Smith, J.; Jones, K., 1999, "Growth and Trade", <i>Econ Rev</i>, 2, 3—8'), (1, 3, "Doe, A., 2001, On Trade, Some Press"), (1, 4, "no reference at all"), (2, 1, "王五，2020，论戊，某出版社")]
+_LINES_SQL = _values("lines", "doc_id, ref_no, raw", _LINES)
+
+
+@_query(f"""WITH {_LINES_SQL} SELECT doc_id, CAST(ref_no AS INTEGER) AS ref_no, raw AS line FROM lines WHERE regexp_matches(raw, '[0-9]{{4}}')""")
+def reference_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are parsed and written again come out as they were."""
+    lines = spark.createDataFrame(_LINES, "doc_id long, ref_no int, raw string")
+    return format_references(parse_references(lines).where("year is not null"))
+
+
+@_query(f"""WITH {_LINES_SQL} SELECT doc_id, CAST(ref_no AS INTEGER) AS ref_no, TRY_CAST(nullif(regexp_extract(raw, '[，,] ?([0-9]{{4}})', 1), '') AS INTEGER) AS year,
+    CASE WHEN regexp_matches(raw, '，') THEN string_split(raw, '，')[3] WHEN contains(raw, '"') THEN string_split(raw, '"')[2] WHEN regexp_matches(raw, '[0-9]{{4}}') THEN string_split(raw, ', ')[4] END AS title FROM lines""")
+def parsed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_references(spark.createDataFrame(_LINES, "doc_id long, ref_no int, raw string")).select("doc_id", "ref_no", "year", "title")
+
+
 # ---- the same parts at volume ------------------------------------------------------------------
 
 
