@@ -54,3 +54,16 @@ def test_run_writes_between_stages(spark, docs, tmp_path):
 def test_ten_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_stages_take_edge_cases(spark, edge_docs, no_docs):
+    for docs in (edge_docs, no_docs):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, kept, "")
+            if name != "packing":
+                assert out.columns == docs.columns
+                kept = spark.createDataFrame(out.collect(), out.schema)
+        assert out.count() >= kept.count()
+    for name, stage in corpus_pipeline.STAGES:  # each on the raw cases, too
+        assert stage(spark, edge_docs, "").count() > 0, name
