@@ -50,7 +50,7 @@ PLACES = BANDS * ROWS
 #: Least share of equal places of a pair that is looked at in full.
 LOOSE = 0.64
 #: Members of a block, and elements of their sets; a tile compares two blocks.
-BLOCK, BLOCK_ELEMENTS = 512, 1 << 19
+BLOCK, BLOCK_ELEMENTS = 256, 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
