@@ -27,3 +27,9 @@ def markdown(verdicts: DataFrame, title: str = "Audit") -> str:
     rows = summary(verdicts).orderBy("rule_id", "status").collect()
     lines = [f"# {title}", "", "| rule | status | n | fixable |", "| --- | --- | --- | --- |"]
     return "\n".join(lines + [f"| {r['rule_id']} | {r['status']} | {r['n']} | {r['fixable']} |" for r in rows]) + "\n"
+
+
+def write_manual_review(verdicts: DataFrame, path: str) -> None:
+    """What a person has to look at, one Markdown line each, as a set of text files ordered by document."""
+    line = F.format_string("- document %s: %s, %s (%d)", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "rule_id", "status", "n")
+    manual_review(verdicts).orderBy("doc_id", "rule_id").select(line.alias("value")).write.mode("error").text(path)

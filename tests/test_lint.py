@@ -98,7 +98,10 @@ def test_reports(spark, rules, found, tmp_path):
     report.write_audit_json(verdicts, str(tmp_path / "audit"))
     assert spark.read.json(str(tmp_path / "audit")).count() == verdicts.count()
     assert report.markdown(verdicts).count("\n| ER-") == report.summary(verdicts).count()
-    assert report.manual_review(verdicts).where("status = 'MANUAL_REVIEW'").count() > 5
+    review = report.manual_review(verdicts)
+    assert review.where("status = 'MANUAL_REVIEW'").count() > 5
+    report.write_manual_review(verdicts, str(tmp_path / "review"))
+    assert spark.read.text(str(tmp_path / "review")).count() == review.count()
 
 
 def test_text_functions(spark):
