@@ -8,13 +8,11 @@ row for each piece of a packed sequence.  Stages that change texts set
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.llm import minhash_dedup, packing, quality_rules, secret_scan, substring_dedup
-from rulewright.llm.common import scratch_dir
+from rulewright.llm.common import scratch_path
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -62,12 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between two of them the rows are a Parquet table in the shared folder."""
+    """All stages over ``documents``; between two of them the rows are a Parquet table in the shared folder.
+
+    Once the result is written, ``rulewright.llm.common.sweep`` removes those tables.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = f"{scratch_dir(spark)}/stage-{k}-{uuid.uuid4().hex}"
+            path = scratch_path(spark, f"stage-{k}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs

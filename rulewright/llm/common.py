@@ -35,6 +35,7 @@ MEMO_KEY_CHARS = 48
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _shipped: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -73,14 +74,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``sweep`` will remove."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this application; call it once their results are written elsewhere."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def lower_words(text: bytes) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes after lower-casing A-Z only."""
     return text.translate(_LOWER).split()

@@ -217,22 +217,17 @@ def pack(cut: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
 
     ``cut`` is read twice (numbers, then places); pass a stored table.  What
     reaches the driver is one count per length, and what is broadcast is the
-    list of intervals and one count per length and shard: all bounded by
-    ``capacity``, not by the data.
+    list of intervals: both bounded by ``capacity``, not by the data.
     """
     spark = cut.sparkSession
     shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)).cast("int")
     sharded = cut.withColumn("_shard", shard)
-    sizes = sharded.groupBy("length", "_shard").agg(F.count("*").alias("n")).collect()  # at most capacity x SHARDS rows
-    counts: dict[int, int] = defaultdict(int)
-    starts = []
-    for row in sorted(sizes):
-        starts.append((row["length"], row["_shard"], counts[row["length"]]))
-        counts[row["length"]] += row["n"]
+    sizes = stored(sharded.groupBy("length", "_shard").agg(F.count("*").alias("_n")), "sizes")
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
     plan = spark.createDataFrame(places(plan_bins(counts, capacity)), "length long, _first long, _end long, _times long, _seq long, _off long")
-    before = spark.createDataFrame(starts, "length long, _shard int, _before long")
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_shard")) - F.col("_n")).drop("_n")
     local = F.row_number().over(W.partitionBy("length", "_shard").orderBy("doc_id", "piece")) - 1
-    ranked = sharded.withColumn("_local", local.cast("long")).join(F.broadcast(before), ["length", "_shard"]).withColumn("_rank", F.col("_before") + F.col("_local"))
+    ranked = sharded.withColumn("_local", local.cast("long")).join(before, ["length", "_shard"]).withColumn("_rank", F.col("_before") + F.col("_local"))
     within = F.col("_rank") - F.col("_first")
     placed = ranked.alias("p").join(F.broadcast(plan.alias("q")), (F.col("p.length") == F.col("q.length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
     return placed.select(

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, prepare, scratch_dir, stored, text_column
+from .common import map_arrow, prepare, scratch_path, stored, text_column
 
 #: Fixed by the contract: kind -> pattern, group that is measured, least length of it.
 KINDS = ("assign", "access", "hex")
@@ -87,7 +87,7 @@ def scan_blobs(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
 
 
 class BlobLedger:
-    """The ledger as a Parquet table in a shared folder; appended to, never rewritten."""
+    """The ledger as a Parquet table in a shared folder; appended to by one scan at a time, never rewritten."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -123,10 +123,8 @@ def _may_repeat(versions: DataFrame, key_cols: list[str]) -> bool:
 
 
 def new_ledger(spark: SparkSession) -> BlobLedger:
-    """An empty ledger in the shared folder."""
-    import uuid
-
-    return BlobLedger(spark, f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    """An empty ledger among the intermediate tables; give ``BlobLedger`` a path to keep one."""
+    return BlobLedger(spark, scratch_path(spark, "ledger"))
 
 
 def document_findings(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:

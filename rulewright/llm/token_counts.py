@@ -1,9 +1,10 @@
 """Exact token counts at every prefix by dynamic programming.
 
 The model is a BPE over pieces with the space written as U+2581 and one such
-mark put in front of a text.  No piece has this mark after another character, so
-no merge crosses the place where a mark follows another character: a text falls
-into independent *units* (marks, then everything up to the next mark).
+mark put in front of a text.  No piece has this mark after another character, and
+none joins Latin letters to anything else (both are checked when the model is
+read), so no merge crosses such a place: a text falls into independent *units*
+(marks, then a run of Latin letters or of other characters).
 
 Inside a unit the programme keeps, for every prefix, the last token of its
 encoding and its token count.  The last token of a prefix is the one token
@@ -37,7 +38,8 @@ MARK = "▁"
 TOKEN_LIMIT = 4096
 #: Units whose counts a worker keeps (about 100 MB) before it starts afresh.
 MEMO_ENTRIES = 400_000
-_UNIT = re.compile(f"{MARK}+[^{MARK}]*")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_UNIT = re.compile(f"{MARK}*[{_LATIN}]+|{MARK}*[^{MARK}{_LATIN}]+|{MARK}+")
 _loaded: dict[str, PrefixCounter] = {}
 
 
@@ -49,8 +51,8 @@ class PrefixCounter:
         plain = [i for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.score = {model.id_to_piece(i): model.get_score(i) for i in plain}
         self.longest = max(map(len, self.score))
-        if any(MARK in p.lstrip(MARK) for p in self.score) or model.normalize(" a  ½ ") != MARK + " a  ½ ".replace(" ", MARK):
-            raise ValueError("units are independent only where marks lead pieces and text isn't normalised")
+        if any(len(_UNIT.findall(p)) > 1 for p in self.score) or model.normalize(" a  ½ ") != MARK + " a  ½ ".replace(" ", MARK):
+            raise ValueError("units are independent only where no piece spans two of them and text isn't normalised")
         self.stays: dict[tuple[str, str], bool] = {}
         self.tables: dict[str, list[int]] = {}
         self.totals = _Totals(self)

@@ -37,6 +37,16 @@ def test_ledger_scans_only_what_is_new(spark):
     assert ledger.rows().groupBy("rule_version").count().count() == 2 and ledger.rows().count() == 6
 
 
+def test_intermediate_tables_can_be_swept(spark):
+    from rulewright.llm.common import scratch_dir, stored, sweep
+
+    table = stored(spark.range(3), "t")
+    assert table.count() == 3 and sweep(spark) > 0 and sweep(spark) == 0
+    assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    with pytest.raises(Exception, match="(?i)exist"):
+        table.count()
+
+
 def test_redaction(spark, edge_docs):
     out = secret_scan.redact_documents(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
