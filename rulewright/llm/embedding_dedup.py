@@ -45,37 +45,41 @@ BINS = 512
 _SLACK = 1e-9
 
 
-def principal_axes(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
+def units(buffers: list[bytes], dim: int, kind: str) -> np.ndarray:
+    """Rows of length 1 in double precision, from vectors as they are stored."""
+    x = np.frombuffer(b"".join(buffers), kind).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def principal_axes(vectors: DataFrame, kind: str, sample_rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
     """dimension -> orthonormal basis, leading axis first, from a bounded sample."""
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("dim", "unit").collect()
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("dim", "vector").collect()
     axes = {}
     for dim in {r["dim"] for r in sample}:
-        x = np.vstack([np.frombuffer(r["unit"]) for r in sample if r["dim"] == dim])
+        x = units([r["vector"] for r in sample if r["dim"] == dim], dim, kind)
         _, basis = np.linalg.eigh(x.T @ x / len(x))
         axes[dim] = np.ascontiguousarray(basis[:, ::-1])
     return axes
 
 
-def _units(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, unit binary): usable vectors, scaled to length 1 in double precision."""
+def _usable(embeddings: DataFrame, kind: str) -> DataFrame:
+    """(vec_id, label, dim, vector binary): vectors that can link, in their own precision."""
 
     def each(batch: pa.RecordBatch) -> dict:
-        ids, labels, dims, units = [], [], [], []
+        ids, labels, dims, vectors = [], [], [], []
         for vec_id, label, vector in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            x = np.array(vector, np.float64) if vector else np.empty(0)
-            top = np.abs(x).max() if len(x) else 0.0
-            if label is None or not top or not np.isfinite(top):
-                continue
-            x = x / top if top > 1e100 or top < 1e-100 else x
-            ids.append(vec_id)
-            labels.append(label)
-            dims.append(len(x))
-            units.append((x / math.sqrt(float(x @ x))).tobytes())
-        return {"vec_id": ids, "label": labels, "dim": dims, "unit": units}
-
-    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("unit", pa.binary())])
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>")).where("vec_id is not null")
-    return map_arrow(rows, each, schema, "vec_id long, label string, dim int, unit binary").dropDuplicates(["vec_id"])
+            x = np.array(vector, kind) if vector else np.empty(0)  # a null component becomes not-a-number
+            if label is not None and len(x) and np.isfinite(x).all() and x.any():
+                ids.append(vec_id)
+                labels.append(label)
+                dims.append(len(x))
+                vectors.append(x.tobytes())
+        return {"vec_id": ids, "label": labels, "dim": dims, "vector": vectors}
+
+    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("vector", pa.binary())])
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").where("vec_id is not null")
+    return map_arrow(rows, each, schema, "vec_id long, label string, dim int, vector binary").dropDuplicates(["vec_id"])
 
 
 def tile_links(left: np.ndarray, right: np.ndarray | None, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -118,18 +122,21 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block_r
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label)."""
     spark = embeddings.sparkSession
     prepare(spark)
-    units = stored(_units(embeddings), "units")
-    axes = principal_axes(units)
+    kind = "f4" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
+    if kind == "f8":
+        embeddings = embeddings.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    usable = stored(_usable(embeddings, kind), "vectors")
+    axes = principal_axes(usable, kind)
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
 
     def place(batch: pa.RecordBatch) -> dict:
         bins = []
-        for dim, unit in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            first = float(np.frombuffer(unit) @ axes[dim][:, 0]) if dim in axes else 0.0
+        for dim, vector in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            first = float(units([vector], dim, kind)[0] @ axes[dim][:, 0]) if dim in axes else 0.0
             bins.append(min(BINS - 1, max(0, int((first + 1) / 2 * BINS))))
         return {n: batch.column(k) for k, n in enumerate(batch.schema.names)} | {"bin": bins}
 
-    placed = map_arrow(units, place, pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("unit", pa.binary()), ("bin", pa.int32())]), "vec_id long, label string, dim int, unit binary, bin int")
+    placed = map_arrow(usable, place, pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("vector", pa.binary()), ("bin", pa.int32())]), "vec_id long, label string, dim int, vector binary, bin int")
     placed = stored(placed, "placed")
 
     # blocks: bins in order, gathered to about block_rows; a bin of more rows is several blocks
@@ -153,7 +160,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block_r
         ids, block = table.column("vec_id").to_numpy(), table.column("block").to_numpy()
         order = np.lexsort((ids, block))
         ids, block = ids[order], block[order]
-        rows = np.frombuffer(b"".join(table.column("unit").take(pa.array(order)).to_pylist())).reshape(len(ids), dim)
+        rows = units(table.column("vector").take(pa.array(order)).to_pylist(), dim, kind)
         cut = len(ids) if left_block == right_block else int(np.searchsorted(block, right_block))
         basis = axes.get(dim)
         i, j = tile_links(rows[:cut], None if left_block == right_block else rows[cut:], np.eye(dim) if basis is None else basis, threshold)
