@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.fix import fix
 from ..operators.lint import ELEMENTS_DDL
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -177,3 +178,24 @@ def write_docx(content: bytes, changes: dict[str, str]) -> bytes:
                 data = text.encode("utf-8")
             out.writestr(item, data)
     return target.getvalue()
+
+
+def fixed_files(spark: SparkSession, path: str, rules: dict[str, dict]) -> DataFrame:
+    """(path, content, changed): all Word files below a path with safe fixes of texts applied.
+
+    Nothing is written: the caller stores ``content`` under a new name.  Texts of
+    paragraphs that are one run are replaced; others keep their runs and are left
+    to a person.
+    """
+    elements = classify(read_docx(spark, path)).withColumn("_was", F.col("text"))
+    single = (F.size("fixed_rules") > 0) & (F.size("runs") == 1)
+    changes = fix(elements, rules).where(single).groupBy("doc_id").agg(F.collect_set(F.struct("_was", "text")).alias("changes"))
+
+    @F.pandas_udf("binary")
+    def rewritten(content: pd.Series, found: pd.Series) -> pd.Series:
+        pairs = [{x["_was"]: x["text"] for x in y} if y is not None else {} for y in found]
+        return pd.Series([write_docx(c, p) if p else c for c, p in zip(content, pairs, strict=True)])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select(F.xxhash64("path").alias("doc_id"), "path", "content")
+    joined = files.join(changes, "doc_id", "left")
+    return joined.select("path", rewritten("content", F.coalesce("changes", F.expr("cast(array() as array<struct<_was:string,text:string>>)"))).alias("content"), F.col("changes").isNotNull().alias("changed"))

@@ -152,6 +152,13 @@ def test_word_files_are_changed_in_place(word_file):
     assert after.read("custom.bin") == b"as it is" and word_file.read_bytes() == before
 
 
+def test_safe_fixes_reach_word_files(spark, rules, word_file):
+    out = {r.path.rsplit("/", 1)[1]: r for r in docx.fixed_files(spark, str(word_file.parent), lint.compiled(rules)).collect()}
+    assert not out["b.docx"].changed and bytes(out["b.docx"].content) == b"no zip file"
+    changed = zipfile.ZipFile(io.BytesIO(bytes(out["a.docx"].content)))
+    assert changed.read("word/document.xml").decode() == DOCUMENT.replace("邮箱", "信箱")
+
+
 def test_streams_give_the_errors_of_a_batch(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", '{"k": 1}'), (2, None, "{}"), (3, "z", None)], "id long, kind string, props string")
     rows.write.parquet(str(tmp_path / "in"))
