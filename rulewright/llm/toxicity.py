@@ -31,7 +31,7 @@ from .common import MEMO_ENTRIES, binary_column, map_arrow, mix64, prepare, stor
 
 BITS = 20
 #: Labelled rows that are trained on: all of them up to this bound.
-TRAIN_ROWS = 16_384
+TRAIN_ROWS = 8_192
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 #: Bytes of the stems that stand beside a longer word.
