@@ -161,17 +161,19 @@ def judge(docs: DataFrame) -> DataFrame:
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < LEAST_WORDS) | (repeated * 100 > n * MOST_REPEATED_PERCENT)
     stats = stored(text_statistics(docs).withColumn("base_failed", failed), "statistics")
-    good = stored(_vector(stats.where(~F.col("base_failed"))), "vectors")
+    good = _vector(stats.where(~F.col("base_failed")))
+    # the three levels of groups go through the steps together
+    none = F.lit(None).cast("string")
+    levels = [F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source")) for k, (lang, source) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)])]
+    vectors = stored(good.select(F.explode(F.array(*levels)).alias("_g"), *[f"x{i}" for i in range(_N)]).select("_g.*", *[f"x{i}" for i in range(_N)]), "vectors")
+    found = minimum_covariance(vectors, ["level", "lang", "source"])
+    sizes = vectors.groupBy("level", "lang", "source").count()
+    sized = stored(found.alias("f").join(sizes.alias("n"), _same("f", "n", ["level", "lang", "source"])).select("f.*", F.col("n.count").alias("n")), "groups")
     own, lang = ["lang", "source"], ["lang"]
-    sizes = good.groupBy(*own).count()
-    by_source = minimum_covariance(good, own)
-    by_lang = minimum_covariance(good, lang)
-    by_all = minimum_covariance(good.withColumn("every", F.lit(0)), ["every"])
-    lang_sizes = good.groupBy(*lang).count()
-    fields = [c for c in by_lang.columns if c[0] in "ul" and c[1:].isdigit()]
-    pick = sizes.alias("s").join(by_source.alias("a"), _same("s", "a", own), "left").join(by_lang.alias("b"), _same("s", "b", lang), "left").join(lang_sizes.alias("n"), _same("s", "n", lang), "left")
-    pick = pick.join(by_all.alias("w"), F.lit(0) == F.col("w.every"), "left")
-    chosen = [F.when(F.col("s.count") >= LEAST_GROUP, F.col(f"a.{c}")).when(F.col("n.count") >= LEAST_GROUP, F.col(f"b.{c}")).otherwise(F.col(f"w.{c}")).alias(c) for c in fields]
+    fields = [c for c in found.columns if c[0] in "ul" and c[1:].isdigit()]
+    pick = sized.where("level = 0").alias("s").join(sized.where("level = 1").alias("b"), _same("s", "b", lang), "left")
+    pick = pick.join(sized.where("level = 2").alias("w"), F.lit(2) == F.col("w.level"), "left")
+    chosen = [F.when(F.col("s.n") >= LEAST_GROUP, F.col(f"s.{c}")).when(F.col("b.n") >= LEAST_GROUP, F.col(f"b.{c}")).otherwise(F.col(f"w.{c}")).alias(c) for c in fields]
     pick = stored(pick.select("s.lang", "s.source", *chosen), "estimates")  # one row a group
     measured = _vector(stats).alias("v").join(pick.alias("g"), _same("v", "g", own), "left").select("v.*", *[f"g.{c}" for c in fields])
     near = _with_distance(measured).withColumn("distance", F.when(~F.col("base_failed"), F.col("d2")))
