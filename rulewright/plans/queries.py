@@ -213,7 +213,6 @@ def source_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- lint -------------------------------------------------------------------------------------
 
-_TEXT_ROLES = ("contact_label", "reference_page_range", "equation_where_paragraph", "english_reference_title")
 _ELEMENTS_SQL = _values("e", "doc_id, seq, role, confidence, text, lead", [(r[0], r[2], r[3], r[4], r[6], r[7][1]) for r in fixtures.elements()])
 
 
