@@ -40,7 +40,6 @@ from .common import WordHashes, binary_column, map_arrow, mix64, prepare, stored
 WINDOW = 50
 ANCHOR = 25
 _BASE = 0xD1342543DE82EF95
-_MASK = (1 << 64) - 1
 
 
 def _powers(n: int, base: int) -> np.ndarray:
