@@ -1,7 +1,8 @@
 """Quality rules: fixed base rules, then robust multivariate outliers.
 
 Native DataFrame expressions only.  Every text becomes a vector of transformed
-statistics.  For each language and source the minimum-covariance-determinant
+statistics; a line or passage that is said twice is left out of the repeats, so
+that only what is repeated beyond it counts.  For each language and source the minimum-covariance-determinant
 estimate (the mean and covariance of the tight majority of vectors) is found by
 concentration steps, and a document whose Mahalanobis distance from it exceeds a
 cut-off is rejected.
@@ -51,8 +52,11 @@ LEAST_GROUP = 200
 #: far above its 0.999 quantile (18.5 for four dimensions).
 CUT_OFF = 150.0
 #: Least standard deviation taken for each statistic, in its own units.  Most texts have
-#: no symbol and no repeat at all; a repeated line or a few symbols must not count as far.
+#: no symbol and no repeat at all; a few symbols must not count as far.
 FLOOR = 0.1
+#: Factors of the shares of repeated lines and words.  Where a group has no repeats, the
+#: cut-off lies at log1p(factor * share) = FLOOR * sqrt(CUT_OFF): 30 % of lines, 12 % of words.
+LINE_FACTOR, REPEAT_FACTOR = 8.0, 20.0
 STATISTICS = ("mean_word", "symbols", "dup_lines", "repeats")
 _N = len(STATISTICS)
 _CELL = "cell"
@@ -73,9 +77,12 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     # only texts with a repeated window sort theirs; equal neighbours are repeats, and their cover is counted
     ordered = F.expr("sort_array(transform(_w, (x, i) -> named_struct('x', x, 'i', i)))")
     base = base.withColumn("_s", F.when(F.col("_twice"), ordered))
-    starts = F.expr("array_sort(transform(filter(transform(_s, (e, k) -> named_struct('i', e.i, 'r', (k > 0 and get(_s, k - 1).x = e.x) or (k + 1 < size(_s) and get(_s, k + 1).x = e.x))), e -> e.r), e -> e.i))")
+    starts = F.expr("array_sort(transform(filter(transform(_s, (e, k) -> named_struct('i', e.i, 'f', k = 0 or get(_s, k - 1).x != e.x, 'r', (k > 0 and get(_s, k - 1).x = e.x) or (k + 1 < size(_s) and get(_s, k + 1).x = e.x))), e -> e.r), e -> named_struct('i', e.i, 'f', e.f)))")
     base = base.withColumn("_p", starts)
-    repeat = F.expr("aggregate(transform(_p, (p, k) -> cast(least(8, coalesce(get(_p, k + 1), p + 8) - p) as bigint)), 0L, (a, x) -> a + x)")
+    repeat = F.expr("aggregate(transform(_p, (p, k) -> cast(least(8, coalesce(get(_p, k + 1).i, p.i + 8) - p.i) as bigint)), 0L, (a, x) -> a + x)")
+    # the longest passage whose windows are met for the first time there, and again later
+    run = "if(p.i = a.last + 1, a.run + 1, 8)"
+    passage = F.expr(f"aggregate(filter(_p, p -> p.f), named_struct('best', 0, 'run', 0, 'last', -9), (a, p) -> named_struct('best', greatest(a.best, {run}), 'run', {run}, 'last', p.i), a -> cast(a.best as bigint))")
     lines = F.expr(r"filter(split(_text, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]')")
     base = base.withColumn("_l", lines)
     return base.select(
@@ -85,17 +92,21 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(repeat, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
+        F.coalesce(passage, F.lit(0)).cast("long").alias("n_passage_words"),
     )
 
 
 def _vector(stats: DataFrame) -> DataFrame:
     """x0.. : transformed statistics as integers of SCALE steps a unit."""
     words = F.greatest("n_words", F.lit(1))
+    # beyond one repeated line, and beyond one passage and its copy
+    lines = F.greatest(F.col("n_dup_lines") - 1, F.lit(0))
+    repeats = F.greatest(F.col("n_repeat_words") - 2 * F.col("n_passage_words"), F.lit(0))
     raw = {
         "mean_word": F.log(F.greatest("word_chars", F.lit(1)) / words) * 4,
         "symbols": F.log1p(F.col("n_symbols") * 20.0 / words),
-        "dup_lines": F.log1p(F.col("n_dup_lines") * 1.0 / F.greatest("n_lines", F.lit(1))),
-        "repeats": F.log1p(F.col("n_repeat_words") * 1.0 / words),
+        "dup_lines": F.log1p(lines * LINE_FACTOR / F.greatest("n_lines", F.lit(1))),
+        "repeats": F.log1p(repeats * REPEAT_FACTOR / words),
     }
     return stats.withColumns({f"x{k}": F.round(raw[name] * SCALE).cast("long") for k, name in enumerate(STATISTICS)})
 

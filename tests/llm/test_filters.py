@@ -136,6 +136,22 @@ def test_quality_outliers(spark, corpus):
     assert quality_rules.keep_documents(corpus).columns == corpus.columns
 
 
+def test_repeats_alone_are_outliers(spark, corpus):
+    """Texts that pass the base rules and whose only fault is repeated lines, or repeated passages; one of either is none."""
+    words = [prose(7000 + k, 6) for k in range(60)]
+    often = [x for k in range(10) for x in (words[k], "abc de fgh bcd")]  # no window of eight words comes twice
+    once = [*words[10:20], words[10]]
+    said = [prose(8000 + k, 9) for k in range(3)]
+    many = " ".join([*words[20:28], *said, *words[28:36], *said[::-1], *words[36:44]])
+    twice = " ".join([*words[44:52], said[0], *words[52:60], said[0]])
+    odd = {9001: "\n".join(often), 9002: "\n".join(once), 9003: many, 9004: twice}
+    frame = spark.createDataFrame([(i, t, "en", "s1", -1) for i, t in odd.items()], corpus.schema)
+    out = {r.doc_id: r for r in quality_rules.judge(corpus.unionByName(frame)).where("doc_id > 9000").collect()}
+    assert not any(r.base_failed or r.n_symbols for r in out.values())
+    assert (out[9001].n_dup_lines, out[9001].n_repeat_words, out[9003].n_dup_lines) == (9, 0, 0)
+    assert {i: r.kept for i, r in out.items()} == {9001: False, 9002: True, 9003: False, 9004: True}
+
+
 def test_estimate_is_that_of_plain_concentration_steps(spark, corpus):
     """The native plan against the same steps in numpy."""
     import numpy as np
