@@ -42,15 +42,17 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 
 class _Tokens(dict):
-    """word -> row of a table with the hashes of the bare word and of its stems."""
+    """word -> row of a table with the hashes of the bare word and of its stems.
+
+    It is emptied between two texts only: the rows of one text stay valid until
+    all are read, so a text of more distinct words than the bound outgrows it.
+    """
 
     def __init__(self):
         super().__init__()
         self.table = np.zeros((1024, 1 + len(STEMS)), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
         row = len(self)
         if row == len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
@@ -60,8 +62,9 @@ class _Tokens(dict):
         return row
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) + len(words) > MEMO_ENTRIES:  # rows must outlive this call
+        if len(self) + len(words) > MEMO_ENTRIES:  # before the first row of this text is handed out
             self.clear()
+            self.table = self.table[:1024].copy()
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return self.table[rows]  # which may have grown meanwhile
 

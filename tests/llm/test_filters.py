@@ -111,6 +111,16 @@ def test_held_out_rows_are_not_learned(spark):
     assert toxicity.train(docs, labels) == toxicity.train(docs, flipped)
 
 
+def test_words_beyond_the_memo_keep_their_features(monkeypatch):
+    texts = [" ".join(f"word{k}x{i}" for i in range(n)).encode() for k, n in enumerate((3, 40, 7, 2000, 5))]
+    want = [toxicity.features(t, toxicity._Tokens()) for t in texts]
+    monkeypatch.setattr(toxicity, "MEMO_ENTRIES", 10)
+    tokens = toxicity._Tokens()
+    for text, found in zip(texts, want, strict=True):
+        assert toxicity.features(text, tokens).tolist() == found.tolist()
+    assert len(tokens) == 5 and len(tokens.table) == 1024
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     """Clean texts, and a few that are symbols through and through."""
