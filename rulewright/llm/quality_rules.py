@@ -3,15 +3,17 @@
 Native DataFrame expressions only.  Every text becomes a vector of transformed
 statistics; a line or passage that is said twice is left out of the repeats, so
 that only what is repeated beyond it counts.  For each language and source the minimum-covariance-determinant
-estimate (the mean and covariance of the tight majority of vectors) is found by
-concentration steps, and a document whose Mahalanobis distance from it exceeds a
+estimate (the mean and covariance of the tightest half of the vectors) is found by
+concentration steps that start from the medians and the median deviations of the
+single statistics, so junk of up to nearly half of a group does not move it; in a
+group of more junk than that the junk is the measure.  A document whose Mahalanobis distance from it exceeds a
 cut-off is rejected.
 
 A concentration step needs, for each group, the moments of those vectors that
 lie nearest.  Distances are put on a fixed logarithmic grid; counts and moments
 are summed for each (language, source, cell), which pre-aggregates before the
 shuffle whatever share of rows a group has, and a window over the cells of a
-group (at most ``CELLS``) takes whole cells up to the majority.  Vectors are
+group (at most ``CELLS``) takes whole cells up to the half.  Vectors are
 integers (``SCALE`` steps a unit) and moments are exact decimals, so results do
 not depend on the order of rows or the number of partitions.
 
@@ -41,13 +43,15 @@ MOST_REPEATED_PERCENT = 30
 REPEAT_WINDOW = 8
 
 #: Share of a group's vectors whose scatter is taken as the clean one.
-MAJORITY = 0.75
+MAJORITY = 0.5
+#: Steps of SCALE in a cell on which medians are taken, and what makes a median deviation a standard one.
+START_CELL, DEVIATION = 16, 1.4826
 STEPS = 4
 #: Cells of the logarithmic grid of squared distances: CELLS_PER_UNIT for each unit of log2(1 + d2).
 CELLS, CELLS_PER_UNIT = 512, 16
 SCALE = 1024
 LEAST_GROUP = 200
-#: Cut-off on the squared distance.  The scatter of the nearest 75 % is below that of
+#: Cut-off on the squared distance.  The scatter of the nearest half is below that of
 #: all, and statistics of short texts have heavier tails than a normal law, so this is
 #: far above its 0.999 quantile (18.5 for four dimensions).
 CUT_OFF = 150.0
@@ -149,11 +153,26 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
     return reduce(lambda x, k: x & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")), keys, F.lit(True))
 
 
-def minimum_covariance(vectors: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    """Robust estimates of every group of ``keys``: concentration steps from the plain one."""
+def robust_start(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Estimates of every group of ``keys`` by medians and median deviations, without covariances.
+
+    Medians are exact over whole cells; what an aggregate holds is one count a cell.
+    """
+    cells = vectors.select(*keys, *[F.round(F.col(f"x{i}") / START_CELL).cast("long").alias(f"x{i}") for i in range(_N)])
+    middle = stored(cells.groupBy(*keys).agg(F.count("*").alias("m"), *[F.percentile(f"x{i}", 0.5).alias(f"c{i}") for i in range(_N)]), "medians")
+    off = cells.alias("v").join(middle.alias("g"), _same("v", "g", keys)).select(*[f"g.{c}" for c in middle.columns], *[F.abs(F.col(f"v.x{i}") - F.col(f"g.c{i}")).alias(f"d{i}") for i in range(_N)])
+    spread = off.groupBy(*keys, "m", *[f"c{i}" for i in range(_N)]).agg(*[F.percentile(f"d{i}", 0.5).alias(f"d{i}") for i in range(_N)])
+    unit = START_CELL / SCALE
+    scale = [F.sqrt(F.pow(F.col(f"d{i}") * (unit * DEVIATION), F.lit(2.0)) + FLOOR * FLOOR) for i in range(_N)]
+    low = [(scale[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(_N) for j in range(i + 1)]
+    return spread.select(*keys, "m", *[(F.col(f"c{i}") * unit).alias(f"u{i}") for i in range(_N)], *low)
+
+
+def minimum_covariance(vectors: DataFrame, keys: list[str], steps: int = STEPS, start: DataFrame | None = None) -> DataFrame:
+    """Estimates of every group of ``keys``: concentration steps from ``start``, or from the plain estimate."""
     spare = [k for k in vectors.columns if k not in keys and not k.startswith("x")]
     vectors = vectors.drop(*spare)
-    now = _estimate(vectors.groupBy(*keys).agg(*_moments()), keys)
+    now = _estimate(vectors.groupBy(*keys).agg(*_moments()), keys) if start is None else start
     for _ in range(steps):
         now = stored(now, "mcd")
         near = _with_distance(vectors.alias("v").join(now.alias("g"), _same("v", "g", keys)).select("v.*", *[f"g.{c}" for c in now.columns if c not in keys and c != "m"]))
@@ -177,9 +196,10 @@ def judge(docs: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     levels = [F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source")) for k, (lang, source) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)])]
     vectors = stored(good.select(F.explode(F.array(*levels)).alias("_g"), *[f"x{i}" for i in range(_N)]).select("_g.*", *[f"x{i}" for i in range(_N)]), "vectors")
-    found = minimum_covariance(vectors, ["level", "lang", "source"])
+    keys = ["level", "lang", "source"]
+    found = minimum_covariance(vectors, keys, start=robust_start(vectors, keys))
     sizes = vectors.groupBy("level", "lang", "source").count()
-    sized = stored(found.alias("f").join(sizes.alias("n"), _same("f", "n", ["level", "lang", "source"])).select("f.*", F.col("n.count").alias("n")), "groups")
+    sized = stored(found.alias("f").join(sizes.alias("n"), _same("f", "n", keys)).select("f.*", F.col("n.count").alias("n")), "groups")
     own, lang = ["lang", "source"], ["lang"]
     fields = [c for c in found.columns if c[0] in "ul" and c[1:].isdigit()]
     pick = sized.where("level = 0").alias("s").join(sized.where("level = 1").alias("b"), _same("s", "b", lang), "left")

@@ -162,6 +162,13 @@ def test_repeats_alone_are_outliers(spark, corpus):
     assert {i: r.kept for i, r in out.items()} == {9001: False, 9002: True, 9003: False, 9004: True}
 
 
+def test_junk_of_almost_half_a_source_is_rejected(spark):
+    junk = {k for k in range(400) if k % 20 < 9}
+    rows = [(k, " ".join(w + "%%%" for w in prose(k, 80).split()) if k in junk else prose(k, 80), "en", "s") for k in range(400)]
+    out = quality_rules.judged_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in out if not r.kept} == junk
+
+
 def test_estimate_is_that_of_plain_concentration_steps(spark, corpus):
     """The native plan against the same steps in numpy."""
     import numpy as np
