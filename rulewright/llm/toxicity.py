@@ -31,7 +31,7 @@ from .common import MEMO_ENTRIES, binary_column, map_arrow, mix64, prepare, stor
 
 BITS = 20
 #: Labelled rows that are trained on: all of them up to this bound.
-TRAIN_ROWS = 8_192
+TRAIN_ROWS = 16_384
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 #: Bytes of the stems that stand beside a longer word.
@@ -110,6 +110,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
     """Non-zero weights by coordinate, at most 2**BITS + 1 of them."""
     prepare(docs.sparkSession)
     known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(~held_out(F.col("doc_id")))
+    ids = docs.select(F.col("doc_id").cast("long").alias("_rw_id"))
+    known = known.join(ids, F.col("doc_id") == F.col("_rw_id"), "left_semi")  # labels of unknown documents take no place
     order = F.xxhash64("doc_id", F.lit(17))
     sample = stored(known.orderBy(order, "doc_id", "toxic").limit(rows), "sample")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")  # at most `rows` of 12 bytes
@@ -120,8 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
 
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", pa.binary())])
     made = stored(map_arrow(texts.select("doc_id", "toxic", "text"), vectors, schema, "doc_id long, toxic int, features binary", _Tokens), "features")
-    stream = made.select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
-    stream = stream.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id", "epoch"), "doc_id", "toxic")
+    # epochs are made after the exchange, which moves every row once
+    stream = made.repartition(1).select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")).sortWithinPartitions("epoch", F.xxhash64("doc_id", "epoch"), "doc_id", "toxic")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl(1 << BITS)

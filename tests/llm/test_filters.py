@@ -111,6 +111,15 @@ def test_held_out_rows_are_not_learned(spark):
     assert toxicity.train(docs, labels) == toxicity.train(docs, flipped)
 
 
+def test_labels_of_unknown_documents_take_no_place_in_the_sample(spark):
+    assert toxicity.TRAIN_ROWS == 16_384
+    docs = spark.createDataFrame([(k, f"thing {'bad' if k % 2 else 'good'}") for k in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(90)], "doc_id long, toxic int")
+    unknown = spark.createDataFrame([(k, k % 2) for k in range(1000, 3000)], "doc_id long, toxic int")
+    want = toxicity.train(docs, labels, rows=60)
+    assert len(want) > 1 and toxicity.train(docs, labels.unionByName(unknown), rows=60) == want
+
+
 def test_words_beyond_the_memo_keep_their_features(monkeypatch):
     texts = [" ".join(f"word{k}x{i}" for i in range(n)).encode() for k, n in enumerate((3, 40, 7, 2000, 5))]
     want = [toxicity.features(t, toxicity._Tokens()) for t in texts]
