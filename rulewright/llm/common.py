@@ -2,8 +2,9 @@
 
 Nothing outside this subpackage imports it.  Three concerns live here:
 
-* ``prepare(spark)`` sends this package to the executors and bounds the size of
-  an Arrow batch, so that a batch of very long texts fits a Python worker;
+* ``prepare(spark)`` sends this package to the executors; no setting of the
+  session is changed.  Spark bounds an Arrow batch in bytes, and ``map_arrow``
+  works through it in slices of few rows, so very long texts fit a worker;
 * ``stored(df, name)`` cuts lineage by writing a table below the folder named by
   ``spark.checkpoint.dir`` and reading it back.  The files are shared, so the
   loss of an executor never costs more than the running stage;
@@ -26,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch: 256 texts of the longest kind (about 120 kB) stay near 30 MB.
+#: Rows that are worked on at once: 256 texts of the longest kind (about 120 kB) stay near 30 MB.
 BATCH_ROWS = 256
 #: Entries that a worker's memo of words keeps before it starts afresh.
 MEMO_ENTRIES = 100_000
@@ -39,10 +40,8 @@ _written: dict[str, list[str]] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable on executors and bound Arrow batches (idempotent)."""
+    """Make the package importable on executors (idempotent)."""
     sc = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -170,16 +169,17 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[str | None]:
 
 
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: pa.Schema, ddl: str, setup=None) -> DataFrame:
-    """``mapInArrow`` of a function that turns one batch into columns; ``setup`` runs once a task."""
+    """``mapInArrow`` of a function that turns a slice of a batch into columns; ``setup`` runs once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
-            if batch.num_rows:
-                columns = each(batch, state) if setup else each(batch)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                columns = each(part, state) if setup else each(part)
                 yield pa.RecordBatch.from_pydict(columns, schema=schema)
                 del columns
-        state = batch = None
+        state = batch = part = None
         release()
 
     return df.mapInArrow(run, ddl)

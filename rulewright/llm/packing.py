@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-from .bpe_codec import Codec, pieces
+from .bpe_codec import Codec
 from .common import map_arrow, prepare, stored, text_column
 
 SEQUENCE_TOKENS = 2048
@@ -60,10 +60,7 @@ class IdSource:
         if text.isascii() or max(text) < _PLAIN_BELOW:
             if any(s in text for s in self.special):
                 return self.twin.encoding.encode(text, allowed_special=self.special)
-            out: list[int] = []
-            for piece in pieces(text):
-                out += self.twin.encoding.encode_ordinary(piece)
-            return out
+            return self.twin.encode(text)
         return self.library.encode(text, add_special_tokens=False).ids
 
 
