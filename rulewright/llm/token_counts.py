@@ -13,16 +13,20 @@ prefix in front of it, which holds when encoding ``p + t`` gives just ``p, t``.
 Then count(prefix) = count(prefix without t) + 1.  Characters outside the
 vocabulary fall back to their UTF-8 bytes and take no part in merges.
 
-With the counts of all prefixes at hand, truncation ("longest prefix of at most
-k tokens") and budget questions are look-ups; nothing is encoded again.
+The table of a corpus keeps, beside each document, by how much the count changes
+with each character: one signed byte a character, which is the count of *every*
+prefix once summed up.  Token counts, limits, truncation ("longest prefix of at
+most k tokens") and budgets are look-ups in that table; nothing is encoded again
+and no text is read again.
 
 Special cases: null counts as empty; an empty text has 0 tokens and one prefix,
-the empty one.
+the empty one; repeated rows and ids, null ids too, are counted row by row.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -31,13 +35,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_KEY_CHARS, map_arrow, prepare, text_column
+from .common import MEMO_KEY_CHARS, binary_column, map_arrow, prepare, stored, text_column
 
 MARK = "▁"
 #: Production limit on a document's tokens.
 TOKEN_LIMIT = 4096
-#: Units whose counts a worker keeps (about 100 MB) before it starts afresh.
-MEMO_ENTRIES = 400_000
+#: Units whose steps a worker keeps (about 100 MB) before it starts afresh.
+MEMO_ENTRIES = 600_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _UNIT = re.compile(f"{MARK}*[{_LATIN}]+|{MARK}*[^{MARK}{_LATIN}]+|{MARK}+")
 _loaded: dict[str, PrefixCounter] = {}
@@ -54,8 +58,7 @@ class PrefixCounter:
         if any(len(_UNIT.findall(p)) > 1 for p in self.score) or model.normalize(" a  ½ ") != MARK + " a  ½ ".replace(" ", MARK):
             raise ValueError("units are independent only where no piece spans two of them and text isn't normalised")
         self.stays: dict[tuple[str, str], bool] = {}
-        self.tables: dict[str, list[int]] = {}
-        self.totals = _Totals(self)
+        self.steps = _Steps(self)
 
     def merge(self, text: str) -> list[str]:
         """Encode a short string: join the best-scored neighbours, the left one first."""
@@ -105,57 +108,49 @@ class PrefixCounter:
     def units(self, text: str) -> list[str]:
         return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def text_steps(self, text: str) -> bytes:
+        """By how much the count changes with each character of a text, as signed bytes."""
+        steps = b"".join(map(self.steps.__getitem__, self.units(text)))
+        if not steps:
+            return steps
+        own = np.frombuffer(steps, np.int8)[1:].copy()
+        own[0] += np.frombuffer(steps, np.int8)[0]  # the mark in front is no character of the text
+        return own.tobytes()
+
     def table(self, text: str) -> np.ndarray:
         """Counts of every prefix of a text, in code points; entry k is that of text[:k]."""
-        out, base = [np.zeros(1, np.int64)], 0
-        for k, unit in enumerate(self.units(text)):
-            own = np.array(self.unit_table(unit), np.int64)
-            out.append(base + own[1 + (k == 0) :])  # the first mark is no character of the text
-            base += int(own[-1])
-        return np.concatenate(out)
-
-    def unit_table(self, unit: str) -> list[int]:
-        own = self.tables.get(unit)
-        if own is None:
-            own = self.prefixes(unit)
-            if len(unit) <= MEMO_KEY_CHARS:
-                if len(self.tables) >= MEMO_ENTRIES // 8:
-                    self.tables.clear()
-                self.tables[unit] = own
-        return own
-
-    def totals_of(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The units and the running count at the end of each."""
-        units = self.units(text)
-        return units, np.cumsum(np.fromiter(map(self.totals.__getitem__, units), np.int64, len(units)))
-
-    def fit(self, units: list[str], ends: np.ndarray, budget: int) -> int:
-        """Length of the longest prefix of at most ``budget`` tokens, from what is stored."""
-        if not len(ends):
-            return 0
-        k = int(np.searchsorted(ends, budget, side="right"))  # running counts never fall from unit to unit
-        chars = sum(map(len, units[:k])) - 1
-        if k == len(units):
-            return chars
-        room = budget - (int(ends[k - 1]) if k else 0)
-        own = self.unit_table(units[k])
-        return max(0, chars + max(j for j, c in enumerate(own) if c <= room))
-
-
-class _Totals(dict):
-    """unit -> its token count: the last entry of its prefix table."""
+        return counts_of(self.text_steps(text))
+
+
+class _Steps(dict):
+    """unit -> the steps of its prefix counts, kept for short units within bounds."""
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
         self.counter = counter
 
-    def __missing__(self, unit: str) -> int:
-        total = self.counter.prefixes(unit)[-1]
+    def __missing__(self, unit: str) -> bytes:
+        counts = self.counter.prefixes(unit)
+        # an array of signed bytes refuses a step beyond 127; the longest piece has 64 bytes
+        steps = array("b", [b - a for a, b in zip(counts, counts[1:], strict=False)]).tobytes()
         if len(unit) <= MEMO_KEY_CHARS:
-            if len(self) >= MEMO_ENTRIES * 2:
+            if len(self) >= MEMO_ENTRIES:
                 self.clear()
-            self[unit] = total
-        return total
+            self[unit] = steps
+        return steps
+
+
+def counts_of(steps: bytes) -> np.ndarray:
+    """Token counts of all prefixes, from the empty one to the whole, from stored steps."""
+    out = np.zeros(len(steps) + 1, np.int32)
+    np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int32, out=out[1:])
+    return out
+
+
+def longest_fit(steps: bytes, budget: int) -> int:
+    """Characters of the longest prefix of at most ``budget`` tokens, from stored steps (-1 for a negative budget)."""
+    fits = np.flatnonzero(counts_of(steps) <= budget)
+    return int(fits[-1]) if len(fits) else -1
 
 
 def counter(model: str) -> PrefixCounter:
@@ -165,16 +160,33 @@ def counter(model: str) -> PrefixCounter:
     return _loaded[model]
 
 
-def prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
-    """(id, counts array<int>): the exact token count of every prefix of every text."""
+def prefix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
+    """(id, n_bytes long, steps binary): the exact token count of every prefix of every text, one byte a character.
+
+    One narrow stage.  Write it once; all look-ups below read it instead of the texts.
+    """
     prepare(docs.sparkSession)
 
     def each(batch: pa.RecordBatch) -> dict:
         c = counter(model)
-        return {"id": batch.column(0), "counts": pa.array([c.table(t or "").tolist() for t in text_column(batch, "text")], pa.list_(pa.int32()))}
+        texts = [t or "" for t in text_column(batch, "text")]
+        return {"id": batch.column(0), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "steps": pa.array([c.text_steps(t) for t in texts], pa.binary())}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), each, None, f"id {kind}, counts array<int>").withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), each, None, f"id {kind}, n_bytes long, steps binary").withColumnRenamed("id", id_col)
+
+
+def prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
+    """(id, counts array<int>): the same table with the counts summed up."""
+
+    def each(batch: pa.RecordBatch) -> dict:
+        counts = [counts_of(s or b"") for s in binary_column(batch, "steps")]
+        ends = np.cumsum([0, *map(len, counts)]).astype(np.int32)
+        return {"id": batch.column(0), "counts": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(counts)))}
+
+    table = prefix_table(docs, id_col, text_col, model)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_arrow(table.select(F.col(id_col).alias("id"), "steps"), each, None, f"id {kind}, counts array<int>").withColumnRenamed("id", id_col)
 
 
 def truncate(docs: DataFrame, counts: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,20 +195,19 @@ def truncate(docs: DataFrame, counts: DataFrame, budget: int, id_col: str = "doc
     return docs.join(fits, id_col).withColumn(text_col, F.substring(F.col(text_col), F.lit(1), F.col("_rw_fit"))).drop("_rw_fit")
 
 
-def document_counts(docs: DataFrame, limit: int = TOKEN_LIMIT, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """Token counts of whole documents and the prefix that meets the limit; one narrow stage."""
-    prepare(docs.sparkSession)
+def look_up(table: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit, fit_chars) from a prefix table: no text, no model, no encoder."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fit_chars", pa.int64())])
 
     def each(batch: pa.RecordBatch) -> dict:
-        c = counter(model)
-        size, total, fit = [], [], []
-        for text in text_column(batch, "text"):
-            text = text or ""
-            units, ends = c.totals_of(text)
-            size.append(len(text.encode()))
-            total.append(int(ends[-1]) if len(ends) else 0)
-            fit.append(c.fit(units, ends, limit) if total[-1] > limit else len(text))
-        return {"doc_id": batch.column(0), "n_bytes": size, "n_tokens": total, "over_limit": [n > limit for n in total], "fit_chars": fit}
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), each, schema, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+        steps = binary_column(batch, "steps")
+        total = [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in steps]
+        over = [n > limit for n in total]
+        return {"doc_id": batch.column(0), "n_bytes": batch.column(1), "n_tokens": total, "over_limit": over, "fit_chars": [longest_fit(s, limit) if o else len(s) for s, o in zip(steps, over, strict=True)]}
+
+    return map_arrow(table.select(F.col("doc_id").cast("long"), "n_bytes", "steps"), each, schema, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+
+
+def document_counts(docs: DataFrame, limit: int = TOKEN_LIMIT, model: str = "piece_bpe_32k.model") -> DataFrame:
+    """Token counts of whole documents and the prefix that meets the limit, looked up in their stored prefix table."""
+    return look_up(stored(prefix_table(docs.select("doc_id", "text"), model=model), "prefixes"), limit)
