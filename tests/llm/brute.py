@@ -107,3 +107,34 @@ def quality(text):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def parse(rows, window=50):
+    """{id: spans} by a plain greedy parser that compares words with each reference document in turn."""
+    texts = {i: WORD.findall(t or "") for i, t in rows}
+    novel: dict[int, set[int]] = {}  # windows that no smaller place holds
+    seen: set[tuple] = set()
+    for i in sorted(texts):
+        novel[i] = set()
+        for a in range(len(texts[i]) - window + 1):
+            w = tuple(texts[i][a : a + window])
+            if w not in seen:
+                seen.add(w)
+                novel[i].add(a)
+    out = {}
+    for i, words in texts.items():
+        spans, a = [], 0
+        while a + window <= len(words):
+            best = (0, 0, 0)
+            for j in sorted(x for x in texts if x < i):
+                for b in novel[j]:
+                    n = 0
+                    while a + n + window <= len(words) and b + n in novel[j] and words[a + n : a + n + window] == texts[j][b + n : b + n + window]:
+                        n += 1
+                    if n > best[0]:
+                        best = (n, j, b)
+            if best[0]:
+                spans.append((a, a + best[0] - 1 + window, best[1], best[2]))
+            a += best[0] or 1
+        out[i] = spans
+    return out

@@ -92,6 +92,35 @@ def test_substrings(spark, edge_docs, edge_rows, window, anchor):
         assert all(s.end - s.start >= window and s.source < r.doc_id for s in r.spans)
 
 
+def test_factors_are_the_longest_substrings_of_their_sources(spark):
+    window, rng = 6, np.random.default_rng(8)
+    stock = [prose(300 + k, 24).split() for k in range(5)]
+    rows = []
+    for i in range(24):
+        words = prose(400 + i, int(rng.integers(0, 12))).split()
+        for _ in range(int(rng.integers(0, 5))):
+            part = stock[rng.integers(5)]
+            a = int(rng.integers(0, 14))
+            words += part[a : a + int(rng.integers(3, 20))] + prose(int(rng.integers(1 << 30)), int(rng.integers(0, 3))).split()
+        rows.append((i, " ".join(words)))
+    rows += [(30, rows[3][1]), (31, rows[4][1] + " " + rows[5][1]), (-7, "x y z " * 12), (32, "x y z " * 20)]
+    texts = {i: t.split() for i, t in rows}
+    out = substring_dedup.parse_documents(spark.createDataFrame(rows, "doc_id long, text string"), window, 3).collect()
+    got = {r.doc_id: [(s.start, s.end, s.source, s["at"]) for s in r.spans] for r in out}
+    assert sum(map(len, got.values())) > 30
+    for i, spans in got.items():
+        assert all(texts[i][a:b] == texts[j][at : at + b - a] for a, b, j, at in spans)
+    assert got == brute.parse(rows, window)
+
+
+def test_versions_of_one_document_are_judged_on_their_own_texts(spark):
+    passage = prose(21, 60)
+    rows = [(1, prose(22, 5) + " " + passage), (2, passage + " " + prose(23, 9)), (2, prose(24, 70)), (2, prose(24, 70)), (3, prose(24, 70) + " " + passage), (None, passage)]
+    out = substring_dedup.parse_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in out) == [(0, 60, 0), (1, 65, 0), (2, 69, 60), (2, 70, 0), (2, 70, 0), (3, 130, 130)]
+    assert [(s.source, s["at"]) for r in out if r.doc_id == 3 for s in r.spans] == [(2, 0), (1, 5)]
+
+
 def test_substring_removal_keeps_other_texts_as_they_are(spark, edge_docs, no_docs):
     before = {r.doc_id: r.text for r in edge_docs.collect()}
     after = substring_dedup.remove_duplicates(edge_docs)
@@ -104,5 +133,6 @@ def test_substring_removal_keeps_other_texts_as_they_are(spark, edge_docs, no_do
 def test_each_window_has_one_block():
     rng = np.random.default_rng(5)
     h = WordHashes().of([b"w%d" % k for k in rng.integers(0, 40, 700)])
-    _, _, first, n = substring_dedup.blocks(h)
+    _, at, first, n = substring_dedup.blocks(h)
+    assert (first <= at).all() and (at + 25 <= first + 50).all()
     assert first[0] == 0 and (first[1:] == first[:-1] + n[:-1]).all() and first[-1] + n[-1] == 700 - 49

@@ -27,7 +27,37 @@ def test_chunks_and_whole_text_have_the_same_ids(text):
     whole = codec.encoding.encode_ordinary(text)
     assert codec.encode(text, chunk=8, overlap=4) == whole
     assert codec.decode(whole) == text.encode()
-    assert "".join(bpe_codec.pieces(text, 8, 4)) == text
+    assert "".join(bpe_codec.pieces(text, codec.splitter, 8, 4)) == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(ODD, st.sampled_from([(4, 4), (5, 3), (16, 8)]))
+def test_chunks_are_split_as_if_alone_and_met_at_true_boundaries(text, size):
+    codec = bpe_codec.codec("byte_bpe_50k.tiktoken")
+    true = set(codec.splitter.starts(text))
+    at = 0
+    for piece in bpe_codec.pieces(text, codec.splitter, *size)[:-1]:
+        at += len(piece)
+        assert at in true
+
+
+def test_texts_without_plain_spaces_are_chunked():
+    split = bpe_codec.codec("byte_bpe_50k.tiktoken").splitter
+    for text in ("中文，" * 70_000, "abc\n" * 50_000, "x\t1" * 70_000):
+        assert len(bpe_codec.pieces(text, split)) == len(bpe_codec.chunks_of(text, bpe_codec.CHUNK_CHARS, bpe_codec.OVERLAP_CHARS)) > 5
+    assert len(bpe_codec.pieces("a" * 200_000, split)) == 1  # one pre-token
+    run = "b" * 100_000
+    assert [len(x) for x in bpe_codec.pieces(run + " c" * 40_000, split)][0] > len(run)
+
+
+def test_the_splitter_sees_characters_as_the_encoder_does():
+    codec = bpe_codec.codec("byte_bpe_50k.tiktoken")
+    odd = list(map(chr, codec.splitter.stand_ins))[::97]
+    for c in [*odd, "é", "中", "²", "\u2028", "\x1c"]:
+        text = f"a{c}b{c}{c} {c}1{c}"
+        starts = codec.splitter.starts(text)
+        parts = [text[i:j] for i, j in zip(starts, [*starts[1:], None])]
+        assert [t for p in parts for t in codec.encoding.encode_ordinary(p)] == codec.encoding.encode_ordinary(text)
 
 
 @settings(max_examples=150, deadline=None)
@@ -37,9 +67,10 @@ def test_every_prefix_has_the_library_count(text):
     counter = token_counts.counter("piece_bpe_32k.model")
     table = counter.table(text).tolist()
     assert table == [len(model.encode(text[:k])) for k in range(len(text) + 1)]
-    units, ends = counter.totals_of(text)
+    steps = counter.text_steps(text)
+    assert len(steps) == len(text)
     for budget in (0, 1, 5):
-        assert counter.fit(units, ends, budget) == max(k for k, n in enumerate(table) if n <= budget)
+        assert token_counts.longest_fit(steps, budget) == max(k for k, n in enumerate(table) if n <= budget)
 
 
 def test_token_counts(spark, edge_docs, edge_rows, model):
@@ -48,6 +79,26 @@ def test_token_counts(spark, edge_docs, edge_rows, model):
     assert got == want
 
 
+def test_look_ups_call_no_encoder(spark, edge_docs, edge_rows, model, tmp_path, monkeypatch):
+    """Limits, totals and the longest prefixes come from the stored table, with the model out of reach."""
+    token_counts.prefix_table(edge_docs).write.parquet(str(tmp_path / "prefixes"))
+
+    def no_encoder(*_):
+        raise AssertionError("encoded on look-up")
+
+    for name in ("counter", "PrefixCounter", "text_column"):
+        monkeypatch.setattr(token_counts, name, no_encoder)
+    table = spark.read.parquet(str(tmp_path / "prefixes"))
+    assert "text" not in table.columns
+    for limit in (0, 3, 40, 4096):
+        for r in token_counts.look_up(table, limit).collect():
+            texts = [t or "" for i, t, *_ in edge_rows if i == r.doc_id]
+            assert r.n_tokens in [len(model.encode(t)) for t in texts] and r.over_limit == (r.n_tokens > limit)
+            text = next(t for t in texts if len(model.encode(t)) == r.n_tokens)
+            assert len(model.encode(text[: r.fit_chars])) <= limit or not r.over_limit
+            assert not r.over_limit or len(model.encode(text[: r.fit_chars + 1])) > limit
+
+
 def test_truncation_needs_no_encoding(spark, edge_docs, model):
     short = edge_docs.where("doc_id < 16").dropDuplicates(["doc_id"])
     cut = token_counts.truncate(short, token_counts.prefix_counts(short), 30)
@@ -64,6 +115,8 @@ def test_round_trip(spark, edge_docs, edge_rows):
         ids = plain.encode_ordinary(t or "")
         want.add((i, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode())))
     assert got == want
+    small = bpe_codec.round_trip(edge_docs, chunk=64, overlap=16).collect()  # most texts are many chunks
+    assert {tuple(r) for r in small} == want and len(small) == len(edge_rows)
     ids = bpe_codec.encode(edge_docs)
     assert {bytes(r.bytes) for r in bpe_codec.decode(ids).collect()} == {(t or "").encode() for _, t, *_ in edge_rows}
 
