@@ -14,6 +14,7 @@ Nothing outside this subpackage imports it.  Three concerns live here:
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import os
@@ -37,6 +38,7 @@ MEMO_KEY_CHARS = 48
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _shipped: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -77,6 +79,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, which ``sweep`` will remove."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    inside = _scratch.get()
+    if inside is not None:
+        inside.append(path)
     return path
 
 
@@ -88,15 +93,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def sweep(spark: SparkSession) -> int:
     """Remove the intermediate tables of this application; call it once their results are written elsewhere."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
     return len(paths)
 
 
+class Scratch:
+    """Within this context, the intermediate tables that it makes itself can be removed; others are left alone."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self._before = _scratch.set(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scratch.reset(self._before)
+
+    def sweep(self, keep: str) -> None:
+        """Remove all but one of them."""
+        all_written = _written.get(self.spark.sparkContext.applicationId, [])
+        for path in [p for p in self.paths if p != keep]:
+            _delete(self.spark, path)
+            self.paths.remove(path)
+            if path in all_written:
+                all_written.remove(path)
+
+
 def lower_words(text: bytes) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes after lower-casing A-Z only."""
     return text.translate(_LOWER).split()

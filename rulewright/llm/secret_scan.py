@@ -1,11 +1,15 @@
 """Secret scanning with an incremental blob ledger.
 
 A blob is a text under its SHA-256.  The ledger holds, for every pair of blob and
-rule version that was ever scanned, the findings (possibly none).  A scan
+rule version that was ever scanned, the findings (possibly none), filed by rule
+version.  The version is a digest of the rules themselves, so changed rules never
+meet old findings.  A scan
 
 1. addresses every version of every path by content,
 2. keeps the pairs of blob and rule version which the ledger lacks, one path
-   for each blob,
+   for each blob; this list is a stored table of eight bytes a row, so Spark
+   knows its size: below the session's broadcast bound it goes to the texts, and
+   only above it are texts moved to the list,
 3. runs the rules over just those texts and appends to the ledger,
 4. joins the findings back to all paths that hold the blob.
 
@@ -14,8 +18,8 @@ match that fails its length test is used up, but not reported.
 
 Special cases: a null text counts as empty; positions count code points, ends
 are exclusive; equal texts share one ledger entry; spans at one start are
-ordered by kind as listed in ``KINDS``; rows that repeat a key keep all their texts.
-``redact_documents`` needs ids that name one text (rows with a null id included).
+ordered by kind as listed in ``KINDS``; findings and redactions belong to the
+text, by its content address, so rows with null or repeated keys each get those of their own text.
 """
 
 from __future__ import annotations
@@ -36,7 +40,15 @@ RULES = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     "hex": (re.compile(r"[0-9a-f]{16,}"), 0, 16),
 }
-RULE_VERSION = "base-1"
+
+
+def version_of(rules: dict[str, tuple]) -> str:
+    """A name for these rules that changes with any of their patterns, flags, groups and lengths."""
+    listed = [(kind, p.pattern, int(p.flags), group, least) for kind, (p, group, least) in rules.items()]
+    return "rules-" + hashlib.sha256(repr(listed).encode()).hexdigest()[:16]
+
+
+RULE_VERSION = version_of(RULES)
 LEDGER_DDL = "blob string, rule_version string, spans string, n_assign long, n_access long, n_hex long"
 
 
@@ -95,31 +107,32 @@ class BlobLedger:
         self._path = jvm.org.apache.hadoop.fs.Path(path)
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def rows(self) -> DataFrame:
+    def rows(self, rule_version: str | None = None) -> DataFrame:
+        """All pairs, or those of one rule version (one folder of the table)."""
         if not self._fs.exists(self._path):
             return self.spark.createDataFrame([], LEDGER_DDL)
-        return self.spark.read.schema(LEDGER_DDL).parquet(self.path)
-
-    def scan(self, versions: DataFrame, key_cols: list[str], text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
-        """(keys, blob, ledger columns) of every version; only unseen pairs are scanned.
+        found = self.spark.read.schema(LEDGER_DDL).parquet(self.path).select(*[c.split()[0] for c in LEDGER_DDL.split(", ")])
+        return found if rule_version is None else found.where(F.col("rule_version") == rule_version)
 
-        ``versions`` has one row for each path and version; ``key_cols`` name it
-        uniquely (repeated keys keep all their texts).
-        """
+    def update(self, versions: DataFrame, key_cols: list[str], text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+        """Scan what is unseen, append it, and return (keys, blob) of every version as a stored table."""
+        mark = F.xxhash64(*key_cols, "blob").alias("_mark")
         addressed = versions.select(*key_cols, F.col(text_col).alias("text")).withColumn("blob", blob_id(F.col("text")))
         paths = stored(addressed.drop("text"), "paths")
-        known = self.rows().where(F.col("rule_version") == rule_version).select("blob").distinct()
-        first = paths.groupBy("blob").agg(F.min(F.struct(*key_cols)).alias("_key")).join(known, "blob", "left_anti").select(*[F.col(f"_key.{k}").alias(f"_{k}") for k in key_cols], F.col("blob").alias("_blob"))
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key_cols]
-        here = addressed.join(first.hint("shuffle_hash"), [*same, F.col("blob") == F.col("_blob")], "left_semi")
-        scan_blobs(here.dropDuplicates(["blob"]) if _may_repeat(versions, key_cols) else here, rule_version).write.mode("append").parquet(self.path)
-        findings = self.rows().where(F.col("rule_version") == rule_version)
-        return paths.join(findings, "blob")
+        known = self.rows(rule_version).select("blob")
+        unseen = paths.groupBy("blob").agg(F.min(mark).alias("_mark")).join(known, "blob", "left_anti").select("_mark")
+        here = addressed.join(stored(unseen, "unseen"), mark == F.col("_mark"), "left_semi")
+        # marks choose the texts; that a pair enters once is settled on the blobs themselves, without texts
+        found = scan_blobs(here, rule_version).dropDuplicates(["blob"]).join(known, "blob", "left_anti")
+        found.select(*[c.split()[0] for c in LEDGER_DDL.split(", ")]).write.mode("append").partitionBy("rule_version").parquet(self.path)
+        return paths
 
+    def scan(self, versions: DataFrame, key_cols: list[str], text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+        """(keys, blob, ledger columns) of every version; only unseen pairs are scanned.
 
-def _may_repeat(versions: DataFrame, key_cols: list[str]) -> bool:
-    """Whether some (key, version) stands in several rows, so that its text would be scanned twice."""
-    return not versions.groupBy(*key_cols).count().where("count > 1").isEmpty()
+        ``versions`` has one row for each path and version, named by ``key_cols``.
+        """
+        return self.update(versions, key_cols, text_col, rule_version).join(self.rows(rule_version), "blob")
 
 
 def new_ledger(spark: SparkSession) -> BlobLedger:
@@ -135,17 +148,21 @@ def document_findings(docs: DataFrame, ledger: BlobLedger | None = None) -> Data
 
 
 def redact_documents(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
-    """The documents with every finding replaced by a placeholder; all columns stay."""
+    """The documents with every finding replaced by a placeholder; all rows and columns stay.
+
+    Findings meet texts by content address, whatever the ids are.
+    """
     spark = docs.sparkSession
     prepare(spark)
     ledger = ledger or new_ledger(spark)
-    found = ledger.scan(docs.select("doc_id", "text"), ["doc_id"]).where("spans <> ''").select(F.col("doc_id").alias("_rw_id"), F.col("spans").alias("_rw_spans")).distinct()
+    paths = ledger.update(docs.select("doc_id", "text"), ["doc_id"])
+    hits = ledger.rows(RULE_VERSION).where("spans <> ''").join(paths, "blob", "left_semi").select(F.col("blob").alias("_rw_blob"), F.col("spans").alias("_rw_spans"))
 
     @F.pandas_udf("string")
     def cleaned(text, spans):
         return text.combine(spans, lambda t, s: redact(t, parse_spans(s)) if s else t)
 
-    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rw_id")), "left")
+    joined = docs.withColumn("_rw_blob", blob_id(F.col("text"))).join(stored(hits, "hits"), "_rw_blob", "left")
     clean = F.when(F.col("_rw_spans").isNull(), F.col("text")).otherwise(cleaned(F.coalesce("text", F.lit("")), F.coalesce("_rw_spans", F.lit(""))))
     return joined.withColumn("text", clean).select(*docs.columns)
 
