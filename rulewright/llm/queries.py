@@ -40,7 +40,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)  # by its contract
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
