@@ -1,23 +1,31 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
-Vectors are rotated to the principal axes of a bounded sample, so that leading
-coordinates carry most of a product.  Within a label the vectors are laid along
-the first axis in blocks; two blocks form a tile only if their ranges on that
-axis come close enough for the threshold.  In a tile, products are accumulated
-over leading dimensions first; what the remaining ones can still add is at most
-the product of the two suffix norms, and a pair is dropped as soon as that
-cannot reach the threshold.  Survivors are decided by the full cosine of the
-unrotated vectors in double precision.
-
-The rotation only orders the work: any basis gives the same links.  A tile
-returns, per vector, how many links it found and its local root, so no pair ever
-leaves a task.  A label that holds many rows is many tiles.
+Vectors are projected on the leading principal axes of a bounded sample, so that
+the first coordinates carry most of a product.  Within a label the vectors are
+laid in cells along two axes, and consecutive cells form blocks.  A block keeps
+its bounding box on ``BOX_AXES`` axes; two blocks form a tile only if their boxes
+come as close as the threshold asks for, since a distance on some axes never
+exceeds the whole one.  In a tile, products are accumulated over leading
+dimensions first; what the remaining ones can still add is at most the product of
+the two suffix norms, and a pair is dropped as soon as that cannot reach the
+threshold.  Survivors are decided by the full cosine of the unrotated vectors in
+double precision.
+
+The projection only orders the work: any orthonormal axes give the same links.  A
+tile returns, per vector, how many links it found and its local root, so no pair
+ever leaves a task.  A label that holds many rows is many tiles; each vector of a
+block goes to every tile of its block, so tiles are large (``BLOCK_ROWS``) and are
+worked through in strips of ``STRIP`` rows.
+
+What is broadcast are the axes: of dimensions that hold at least ``LEAST_SAMPLE``
+of the ``SAMPLE_ROWS`` sampled vectors, ``AXES`` axes each; a dimension without
+them takes unit axes.
 
 Special cases: vectors that are null, empty, zero, or hold a null or non-finite
 component, and vectors with a null label, link with nothing and are components
 of their own, as are rows with a null id.  Vectors of different dimension are
 never compared.  Equal vectors link like any others.  Rows that repeat an id
-count once and must repeat its vector.
+count once: of their usable vectors the one of smallest label, then bytes, stands for the id.
 """
 
 from __future__ import annotations
@@ -34,15 +42,18 @@ from .common import map_arrow, prepare, stored
 from .components import UnionFind, components, link_matrix_forest
 
 THRESHOLD = 0.93
-#: Vectors in a block; a tile compares two blocks.
-BLOCK_ROWS = 1024
-#: Vectors that the rotation is fitted on (those of smallest hash).
-SAMPLE_ROWS = 4096
+#: Vectors in a block; a tile compares two blocks, so many rows of the left at a time.
+BLOCK_ROWS, STRIP = 4096, 256
+#: Vectors that the axes are fitted on (those of smallest hash), and how many of a dimension it takes.
+SAMPLE_ROWS, LEAST_SAMPLE = 4096, 64
+#: Leading axes, and those of them that bound blocks.
+AXES, BOX_AXES = 256, 6
 #: Leading dimensions that are added in one step.
 STEP = 8
-#: Steps of the grid on the first axis, from -1 to 1.
-BINS = 512
-_SLACK = 1e-9
+#: Cells from -1 to 1 on the first axis and on the second.
+SLABS, BINS = 32, 256
+#: Far above the rounding of suffix norms and single-precision boxes.
+_SLACK = 1e-6
 
 
 def units(buffers: list[bytes], dim: int, kind: str) -> np.ndarray:
@@ -52,17 +63,24 @@ def units(buffers: list[bytes], dim: int, kind: str) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def principal_axes(vectors: DataFrame, kind: str, sample_rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
-    """dimension -> orthonormal basis, leading axis first, from a bounded sample."""
+def principal_axes(vectors: DataFrame, kind: str, sample_rows: int = SAMPLE_ROWS, least: int = LEAST_SAMPLE) -> dict[int, np.ndarray]:
+    """dimension -> its leading orthonormal axes as columns, from a bounded sample."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("dim", "vector").collect()
+    of_dim: dict[int, list[bytes]] = {}
+    for r in sample:
+        of_dim.setdefault(r["dim"], []).append(r["vector"])
     axes = {}
-    for dim in {r["dim"] for r in sample}:
-        x = units([r["vector"] for r in sample if r["dim"] == dim], dim, kind)
-        _, basis = np.linalg.eigh(x.T @ x / len(x))
-        axes[dim] = np.ascontiguousarray(basis[:, ::-1])
+    for dim, rows in of_dim.items():
+        if len(rows) >= least:
+            _, _, basis = np.linalg.svd(units(rows, dim, kind), full_matrices=False)
+            axes[dim] = np.ascontiguousarray(basis[:AXES].T)
     return axes
 
 
+def axes_of(axes: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    return axes[dim] if dim in axes else np.eye(dim, min(dim, AXES))
+
+
 def _usable(embeddings: DataFrame, kind: str) -> DataFrame:
     """(vec_id, label, dim, vector binary): vectors that can link, in their own precision."""
 
@@ -79,7 +97,8 @@ def _usable(embeddings: DataFrame, kind: str) -> DataFrame:
 
     schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("vector", pa.binary())])
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").where("vec_id is not null")
-    return map_arrow(rows, each, schema, "vec_id long, label string, dim int, vector binary").dropDuplicates(["vec_id"])
+    found = map_arrow(rows, each, schema, "vec_id long, label string, dim int, vector binary")
+    return found.groupBy("vec_id").agg(F.min(F.struct("label", "dim", "vector")).alias("v")).select("vec_id", "v.*")
 
 
 def tile_links(left: np.ndarray, right: np.ndarray | None, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -87,35 +106,79 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, axes: np.ndarray, thr
 
     ``right`` is None on the diagonal, where each pair is taken once.
     """
-    a, b = left @ axes, (left if right is None else right) @ axes
-    dims = a.shape[1]
-    suffix_a = np.sqrt(np.maximum(np.cumsum((a * a)[:, ::-1], axis=1)[:, ::-1], 0))
-    suffix_b = suffix_a if right is None else np.sqrt(np.maximum(np.cumsum((b * b)[:, ::-1], axis=1)[:, ::-1], 0))
-    need = threshold - _SLACK
-    partial, at = np.zeros((len(a), len(b))), 0
-    i = j = None
-    while at < dims:
-        end = min(dims, at + STEP)
+    other = left if right is None else right
+    b = other @ axes
+    rest_b = _suffix_norms(b)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for at in range(0, len(left), STRIP):
+        strip = left[at : at + STRIP]
+        i, j = _strip_links(strip @ axes, b, rest_b, threshold - _SLACK, at + 1 if right is None else None)
+        for k in range(0, len(i), 65536):
+            hit = np.einsum("ij,ij->i", strip[i[k : k + 65536]], other[j[k : k + 65536]]) >= threshold
+            found.append((at + i[k : k + 65536][hit], j[k : k + 65536][hit]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j + (0 if right is None else len(left))
+
+
+def _suffix_norms(a: np.ndarray) -> np.ndarray:
+    """Column k: what rows of length 1 still hold behind their first k coordinates."""
+    held = np.cumsum(a * a, axis=1)
+    return np.sqrt(np.maximum(1 - np.hstack([np.zeros((len(a), 1)), held]), 0))
+
+
+def _strip_links(a: np.ndarray, b: np.ndarray, rest_b: np.ndarray, need: float, above: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose leading products and suffix norms let them reach ``need``; on the diagonal only j >= i + above."""
+    rest_a, width = _suffix_norms(a), a.shape[1]
+    partial, i, j = np.zeros((len(a), len(b))), None, None
+    for at in range(0, width, STEP):
+        end = min(width, at + STEP)
         if i is None:
             partial += a[:, at:end] @ b[:, at:end].T
-            if end < dims:
-                alive = partial + suffix_a[:, end, None] * suffix_b[None, :, end] >= need
-            else:
-                alive = partial >= need
-            if right is None:
-                alive = np.triu(alive, 1)
-            if end == dims or alive.sum() * 16 < alive.size:
+            alive = partial + rest_a[:, end, None] * rest_b[None, :, end] >= need
+            if above is not None:
+                alive = np.triu(alive, above)
+            if end == width or alive.sum() * 16 < alive.size:
                 i, j = np.nonzero(alive)
                 sums = partial[i, j]
         else:
             sums = sums + np.einsum("ij,ij->i", a[i, at:end], b[j, at:end])
-            rest = suffix_a[i, end] * suffix_b[j, end] if end < dims else 0.0
-            keep = sums + rest >= need
+            keep = sums + rest_a[i, end] * rest_b[j, end] >= need
             i, j, sums = i[keep], j[keep], sums[keep]
-        at = end
-    source = left if right is None else right
-    hit = np.concatenate([np.einsum("ij,ij->i", left[i[k : k + 65536]], source[j[k : k + 65536]]) >= threshold for k in range(0, len(i), 65536)] or [np.empty(0, bool)])
-    return i[hit], j[hit] + (0 if right is None else len(left))
+    return i, j
+
+
+def _placed(usable: DataFrame, shared, kind: str) -> DataFrame:
+    """Vectors with their cell and their coordinates ``c0``, ``c1``, ... on the axes of boxes."""
+    names = [f"c{k}" for k in range(BOX_AXES)]
+
+    def place(batch: pa.RecordBatch) -> dict:
+        at = np.zeros((batch.num_rows, BOX_AXES))
+        dims, vectors = batch.column(2).to_numpy(), batch.column(3).to_pylist()
+        for dim in np.unique(dims):
+            rows = np.flatnonzero(dims == dim)
+            lead = units([vectors[r] for r in rows], int(dim), kind) @ axes_of(shared.value, int(dim))[:, :BOX_AXES]
+            at[rows, : lead.shape[1]] = lead
+        first, second = (np.clip(((at[:, k] + 1) / 2 * n).astype(np.int32), 0, n - 1) for k, n in ((0, SLABS), (1, BINS)))
+        return {n: batch.column(k) for k, n in enumerate(batch.schema.names)} | {"cell": first * BINS + second} | {n: at[:, k].astype(np.float32) for k, n in enumerate(names)}
+
+    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("vector", pa.binary()), ("cell", pa.int32()), *((n, pa.float32()) for n in names)])
+    return map_arrow(usable, place, schema, "vec_id long, label string, dim int, vector binary, cell int, " + ", ".join(f"{n} float" for n in names))
+
+
+def _tiles(blocks: DataFrame, reach: float) -> DataFrame:
+    """(label, dim, left, right): pairs of blocks whose boxes come close enough.
+
+    Blocks meet under the slabs of the first axis that both can reach, so the
+    blocks of one label are spread over many keys.
+    """
+    slab = lambda c: F.greatest(F.lit(0), F.least(F.lit(SLABS - 1), F.floor((c + 1) / 2 * SLABS))).cast("int")
+    here = blocks.withColumn("slab", F.explode(F.sequence(slab(F.col("lo0")), slab(F.col("hi0")))))
+    there = blocks.withColumn("slab", F.explode(F.sequence(slab(F.col("lo0") - reach), slab(F.col("hi0") + reach))))
+    there = there.select("label", "dim", "slab", *[F.col(c).alias(f"r_{c}") for c in ("block", *(f"{e}{k}" for e in ("lo", "hi") for k in range(BOX_AXES)))])
+    apart = lambda k: F.greatest(F.lit(0.0), F.col(f"r_lo{k}").cast("double") - F.col(f"hi{k}"), F.col(f"lo{k}").cast("double") - F.col(f"r_hi{k}"))
+    squared = sum((apart(k) * apart(k) for k in range(BOX_AXES)), F.lit(0.0))
+    near = here.join(there, ["label", "dim", "slab"]).where((F.col("block") <= F.col("r_block")) & (squared <= reach * reach))
+    return near.select("label", "dim", F.col("block").alias("left"), F.col("r_block").alias("right")).distinct()
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -126,34 +189,23 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block_r
     if kind == "f8":
         embeddings = embeddings.withColumn("embedding", F.col("embedding").cast("array<double>"))
     usable = stored(_usable(embeddings, kind), "vectors")
-    axes = principal_axes(usable, kind)
+    shared = spark.sparkContext.broadcast(principal_axes(usable, kind))
+    placed = stored(_placed(usable, shared, kind), "placed")
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
 
-    def place(batch: pa.RecordBatch) -> dict:
-        bins = []
-        for dim, vector in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            first = float(units([vector], dim, kind)[0] @ axes[dim][:, 0]) if dim in axes else 0.0
-            bins.append(min(BINS - 1, max(0, int((first + 1) / 2 * BINS))))
-        return {n: batch.column(k) for k, n in enumerate(batch.schema.names)} | {"bin": bins}
-
-    placed = map_arrow(usable, place, pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("vector", pa.binary()), ("bin", pa.int32())]), "vec_id long, label string, dim int, vector binary, bin int")
-    placed = stored(placed, "placed")
-
-    # blocks: bins in order, gathered to about block_rows; a bin of more rows is several blocks
-    per_bin = placed.groupBy("label", "dim", "bin").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("label", "dim").orderBy("bin")) - F.col("n")
-    blocks = per_bin.withColumn("before", before).withColumn("sub", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("block", F.floor(F.col("before") / block_rows).cast("long"))
-    blocks = stored(blocks, "bins")
-    names = blocks.select("label", "dim", "bin", "sub", "block")
-    bounds = blocks.select("label", "dim", "bin", F.explode(F.expr("sequence(block, block + sub - 1)")).alias("block")).groupBy("label", "dim", "block").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    bounds = stored(bounds, "blocks")
-    steps = reach / 2 * BINS + 1
-    far = bounds.select("label", "dim", F.col("block").alias("right"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    near = (F.col("right") >= F.col("block")) & (F.col("lo2") - F.col("hi") <= steps) & (F.col("lo") - F.col("hi2") <= steps)
-    tiles = bounds.join(far, ["label", "dim"]).where(near).select("label", "dim", F.col("block").alias("left"), "right")
-    tiles = stored(tiles, "tiles")
+    # blocks: cells in order, gathered to about block_rows; a cell of more rows is several blocks
+    boxes = [f(f"c{k}").alias(f"{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in range(BOX_AXES)]
+    cells = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), *boxes)
+    before = F.sum("n").over(W.partitionBy("label", "dim").orderBy("cell")) - F.col("n")
+    cells = cells.withColumn("before", before).withColumn("sub", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("block", F.floor(F.col("before") / block_rows).cast("long"))
+    cells = stored(cells, "cells")
+    names = cells.select("label", "dim", "cell", "sub", "block")
+    whole = [f(f"{n}{k}").alias(f"{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in range(BOX_AXES)]
+    bounds = cells.drop("block").withColumn("block", F.explode(F.expr("sequence(cast(floor(before / {0}) as bigint), cast(floor(before / {0}) as bigint) + sub - 1)".format(block_rows)))).groupBy("label", "dim", "block").agg(*whole)
+    tiles = stored(_tiles(stored(bounds, "blocks"), reach), "tiles")
     member = tiles.select("label", "dim", F.col("left").alias("block"), "left", "right").unionByName(tiles.where("left <> right").select("label", "dim", F.col("right").alias("block"), "left", "right"))
-    dealt = placed.join(names, ["label", "dim", "bin"]).withColumn("block", F.col("block") + F.pmod(F.xxhash64("vec_id"), F.col("sub"))).drop("bin", "sub").join(member, ["label", "dim", "block"])
+    rows = placed.select("vec_id", "label", "dim", "vector", "cell")
+    dealt = rows.join(names, ["label", "dim", "cell"]).withColumn("block", F.col("block") + F.pmod(F.xxhash64("vec_id"), F.col("sub"))).drop("cell", "sub").join(member, ["label", "dim", "block"])
 
     def compare(table: pa.Table) -> pa.Table:
         dim, left_block, right_block = (table.column(n)[0].as_py() for n in ("dim", "left", "right"))
@@ -162,8 +214,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block_r
         ids, block = ids[order], block[order]
         rows = units(table.column("vector").take(pa.array(order)).to_pylist(), dim, kind)
         cut = len(ids) if left_block == right_block else int(np.searchsorted(block, right_block))
-        basis = axes.get(dim)
-        i, j = tile_links(rows[:cut], None if left_block == right_block else rows[cut:], np.eye(dim) if basis is None else basis, threshold)
+        i, j = tile_links(rows[:cut], None if left_block == right_block else rows[cut:], axes_of(shared.value, dim), threshold)
         counts = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
         by_id = np.argsort(ids)
         rank = np.empty(len(ids), np.int64)
