@@ -84,22 +84,32 @@ def url_tokens(host: str, path: str) -> set[str]:
 
 
 class RuleIndex:
-    """Rules filed under their rarest token, compiled on first use in each worker."""
+    """Rules filed under their rarest token; each is compiled once in a worker, when a URL first asks for it."""
 
     def __init__(self, rules: tuple[Rule, ...], seen: dict[str, int], default: str):
         self.default = default
+        self.compiled: dict[str, re.Pattern] = {}
         self.by_token: dict[str, list[tuple]] = {}
         for k, rule in enumerate(rules):
             rarest = min(rule.tokens, key=lambda t: (seen.get(t, 0), t), default="")
             rank = (rule.text is not None, len(rule.text or rule.pattern), -k)
             self.by_token.setdefault(rarest, []).append((rank, rule))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"compiled": {}}  # patterns do not travel
+
+    def fits(self, rule: Rule, subject: str) -> bool:
+        pattern = self.compiled.get(rule.pattern)
+        if pattern is None:
+            pattern = self.compiled[rule.pattern] = re.compile(rule.pattern)
+        return pattern.search(subject) is not None
+
     def judge(self, host: str, path: str) -> tuple[str | None, str]:
         """The text of the rule that wins (None: one of the method's own, or none) and the verdict."""
         subject, best = f"{host} {path}", None
         for token in url_tokens(host, path) & self.by_token.keys():
             for rank, rule in self.by_token[token]:
-                if (best is None or rank > best[0]) and (host or rule.text is None) and re.search(rule.pattern, subject):
+                if (best is None or rank > best[0]) and (host or rule.text is None) and self.fits(rule, subject):
                     best = (rank, rule)
         return (best[1].text, best[1].verdict) if best else (None, self.default)
 
