@@ -73,13 +73,13 @@ def secrets(text):
     return ",".join(x[2] for x in sorted(found))
 
 
-def shingles(text):
+def shingles(text, width=4):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return frozenset(tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3))) if words else frozenset()
+    return frozenset(tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))) if words else frozenset()
 
 
-def near(rows):
-    sets = {i: shingles(t) for i, t in rows if i is not None}
+def near(rows, width=4):
+    sets = {i: shingles(t, width) for i, t in rows if i is not None}
     ids = sorted(sets)
     links = []
     for a in ids:
@@ -138,3 +138,32 @@ def parse(rows, window=50):
             a += best[0] or 1
         out[i] = spans
     return out
+
+
+def toxic_features(text):
+    """Words, stems, bigrams and skip-grams of a text, as they are written."""
+    words = [b.strip(b".,;:!?\"'()[]{}*#%&$<>|-_/\\") or b for b in (text or "").encode().lower().split()]
+    found = {("word", w) for w in words} | {("stem", k, w[:k]) for w in words for k in (4, 5, 6) if len(w) > k}
+    return found | {("next", a, b) for a, b in zip(words, words[1:])} | {("skip", a, b) for a, b in zip(words, words[2:])}
+
+
+def ftrl(stream, alpha, beta, l1, l2):
+    """Follow-the-regularised-leader, one coordinate at a time, over dictionaries; returns the score of a text."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f):
+        bound = l1 if f else 0.0  # the empty feature is the intercept
+        if abs(z[f]) <= bound:
+            return 0.0
+        return -(z[f] - (bound if z[f] > 0 else -bound)) / ((beta + n[f] ** 0.5) / alpha + l2)
+
+    def score(text):
+        return 1 / (1 + np.exp(-sum(weight(f) for f in [(), *toxic_features(text)])))
+
+    for text, label in stream:
+        g = score(text) - label
+        for f in [(), *toxic_features(text)]:
+            rate = ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha
+            z[f] += g - rate * weight(f)
+            n[f] += g * g
+    return score

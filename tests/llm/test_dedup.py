@@ -23,13 +23,55 @@ def test_embeddings(spark, block):
     centres = rng.normal(size=(6, 16))
     rows = [(k, [float(x) for x in centres[k % 6] + rng.normal(size=16) * rng.choice([0.05, 0.3, 1.0])], int(k % 2)) for k in range(150)]
     rows += [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] + [1.0] * 15, 1), (203, [None] + [1.0] * 15, 1), (204, rows[0][1], None), (205, rows[0][1], 0), (206, rows[0][1], 0), (207, [], 0), (208, [1.0, 2.0], 0), (209, [2.0, 4.0], 0)]
-    frame = spark.createDataFrame([*rows, rows[3]], "vec_id long, embedding array<double>, label int").withColumnRenamed("vec_id", "vec_id")
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([*rows, rows[3]], "vec_id long, embedding array<double>, label int")
+    frame = frame.withColumns({c: F.lit(-1) for c in ("dim", "vector", "cell", "block", "left", "right", "root", "n_links", "component", "c0", "lo0")})  # names that are used inside
     out = embedding_dedup.near_duplicates(frame, block_rows=block).collect()
     assert len(out) == len(rows) + 1
     assert {r.vec_id: (r.n_links, r.component_id) for r in out} == brute.embeddings(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in out)
 
 
+def test_boxes_leave_out_far_blocks_and_no_link(spark, monkeypatch):
+    """Clusters on a sphere: most tiles go, every link stays; axes from the sample, and unit axes without one."""
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in c + rng.normal(size=12) * 0.1], 0) for k, c in enumerate(np.repeat(rng.normal(size=(12, 12)), 40, axis=0))]
+    rows += [(1000 + k, [float(x) for x in rng.normal(size=300)], 0) for k in range(70)]
+    want = brute.embeddings(rows)
+    for least in (64, 10_000):
+        listed = []
+
+        def tiles(blocks, reach):
+            found = plain(blocks, reach)
+            listed.append((blocks.count(), found.count()))
+            return found
+
+        plain = embedding_dedup._tiles
+        monkeypatch.setattr(embedding_dedup, "_tiles", tiles)
+        fit = embedding_dedup.principal_axes
+        monkeypatch.setattr(embedding_dedup, "principal_axes", lambda v, kind, least=least, fit=fit: fit(v, kind, least=least))
+        out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block_rows=16).collect()
+        monkeypatch.undo()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want
+        n, kept = listed[0]
+        assert n > 30 and (kept < n * (n + 1) / 4 or least > 64)
+
+
+def test_strips_find_what_whole_products_find():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 40)) * np.linspace(3, 0.1, 40)
+    x[350:] = x[:350] + rng.normal(size=(350, 40)) * 0.2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    axes = np.linalg.svd(x, full_matrices=False)[2].T
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T, 1) >= 0.93), strict=True)}
+    for k in (3, 17, 40):
+        i, j = embedding_dedup.tile_links(x, None, axes[:, :k], 0.93)
+        assert set(zip(i, j, strict=True)) == want
+        i, j = embedding_dedup.tile_links(x[:300], x[300:], axes[:, :k], 0.93)
+        assert set(zip(i, j, strict=True)) == {(a, b) for a, b in want if a < 300 <= b}
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -47,18 +89,52 @@ def near_family(seed, n, change):
     return out
 
 
-@pytest.mark.parametrize("block", [8, 512])
-def test_near_duplicates(spark, edge_docs, edge_rows, block, monkeypatch):
+@pytest.mark.parametrize(("block", "elements", "width"), [(8, 600, 4), (512, 1 << 18, 4), (512, 1 << 18, 5)])
+def test_near_duplicates(spark, edge_docs, edge_rows, block, elements, width, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ELEMENTS", elements)
     more = [(100 + k, t) for k, t in enumerate(near_family(1, 60, 9) + near_family(2, 40, 4) + [prose(9, k) for k in range(1, 8)] * 2)]
     frame = edge_docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    out = minhash_dedup.near_duplicates(frame).collect()
-    want = brute.near([(r[0], r[1]) for r in edge_rows] + more)
+    out = minhash_dedup.near_duplicates(frame, width).collect()
+    want = brute.near([(r[0], r[1]) for r in edge_rows] + more, width)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None} == want
     assert len(out) == len(edge_rows) + len(more)
     assert all(r.kept for r in out if r.doc_id is None)
 
 
+def test_versions_of_one_document_join_their_classes(spark):
+    """A document is linked by any of its texts; 9 and 2 share one, 9 and 5 the other."""
+    rows = [(9, prose(1, 40)), (9, prose(2, 40)), (2, prose(1, 40)), (5, prose(2, 40) + " x"), (7, prose(3, 40)), (4, ""), (4, prose(3, 40))]
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and {(r.doc_id, r.component_id) for r in out} == {(9, 2), (2, 2), (5, 2), (7, 4), (4, 4)}
+
+
+def test_a_family_around_one_text_is_verified_without_tiles(spark, monkeypatch):
+    """Full sets are copied for tiles only where the smallest member leaves someone unlinked."""
+    base = prose(77, 200).split()
+    rows = [(k, " ".join([*base[:k], f"new{k}", *base[k + 1 :]])) for k in range(150)]
+    rows += [(500 + k, " ".join([*prose(78, 200).split()[: 200 - 12 * k], *prose(79 + k, 12 * k).split()])) for k in range(6)]  # a chain
+    seen = []
+    tile = minhash_dedup.deal_tiles
+
+    def deal(members, group, weight, most):
+        out = tile(members, group, weight, most)
+        seen.append((group, members.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "deal_tiles", deal)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ELEMENTS", 4096)
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute.near(rows)
+    assert [g for g, *_ in seen] == ["leader", "component"] and seen[1][1] <= 6
+
+
+def test_sizes_of_links_lie_in_neighbouring_classes():
+    for a in range(1, 4000):
+        b = a * 100 // 80  # the largest set that a set of this size can be linked to
+        assert int(np.log(b) / minhash_dedup._CLASS) - int(np.log(a) / minhash_dedup._CLASS) <= 1
+
+
 def test_near_duplicates_keep_one_of_each(spark, edge_docs, no_docs):
     kept = minhash_dedup.keep_documents(edge_docs)
     assert kept.columns == edge_docs.columns

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import brute
+import numpy as np
 import pytest
 from brute import prose
 
@@ -37,6 +38,32 @@ def test_ledger_scans_only_what_is_new(spark):
     assert ledger.rows().groupBy("rule_version").count().count() == 2 and ledger.rows().count() == 6
 
 
+def test_rule_version_follows_the_rules(spark):
+    assert secret_scan.version_of(secret_scan.RULES) == secret_scan.RULE_VERSION
+    for change in ({"hex": (re.compile("[0-9a-f]{17,}"), 0, 16)}, {"hex": (secret_scan.RULES["hex"][0], 0, 17)}, {"more": (re.compile("x"), 0, 1)}):
+        assert secret_scan.version_of(secret_scan.RULES | change) != secret_scan.RULE_VERSION
+
+
+def test_texts_that_are_known_are_not_read_by_the_rules(spark, monkeypatch):
+    """Of a corpus with one new text, only that text reaches the rules, and no text is moved."""
+    from test_plans import plan
+
+    old = spark.createDataFrame([(k, f"secret=abcdefghijk{k:04d}") for k in range(300)], "doc_id long, text string")
+    ledger = secret_scan.new_ledger(spark)
+    ledger.update(old, ["doc_id"])
+    scanned = []
+
+    def watch(blobs, version):
+        scanned.append((blobs.count(), plan(blobs)))
+        return scan(blobs, version)
+
+    scan = secret_scan.scan_blobs
+    monkeypatch.setattr(secret_scan, "scan_blobs", watch)
+    again = old.unionByName(spark.createDataFrame([(900, "token: zyxwvutsrqpo"), (901, "token: zyxwvutsrqpo")], "doc_id long, text string"))
+    assert ledger.scan(again, ["doc_id"]).count() == 302 and ledger.rows().count() == 301
+    assert scanned[0][0] == 1 and "BroadcastHashJoin" in scanned[0][1] and "ShuffleExchange" not in scanned[0][1] and "hashpartitioning" not in scanned[0][1]
+
+
 def test_intermediate_tables_can_be_swept(spark):
     from rulewright.llm.common import scratch_dir, stored, sweep
 
@@ -80,6 +107,17 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_patterns_are_compiled_once_and_only_when_asked_for():
+    import pickle
+
+    rules = tuple(url_filter.host_rule("block", f"h{k}.net/") for k in range(2000))
+    index = pickle.loads(pickle.dumps(url_filter.RuleIndex(rules, {}, "allow")))
+    assert not index.compiled
+    for _ in range(3):
+        assert index.judge("a.h7.net", "/x") == ("h7.net/", "block") and index.judge("h8.org", "/") == (None, "allow")
+    assert len(index.compiled) <= 2 and index.judge("h7.net", "/" + "a" * 200_000) == ("h7.net/", "block")  # a very long URL
+
+
 def test_rules_are_filed_under_their_rarest_token():
     index = url_filter.RuleIndex((url_filter.host_rule("block", "a.b/c/"),), {"a": 5, "b": 9, "c": 2}, "allow")
     assert list(index.by_token) == ["c"] and index.judge("a.b", "/c/d") == ("a.b/c/", "block") and index.judge("a.b", "/cc/") == (None, "allow")
@@ -98,6 +136,25 @@ def test_toxicity(spark, edge_docs):
     assert by_id[0].score == by_id[1].score < 0.7
 
 
+def test_scores_are_those_of_a_plain_program(spark):
+    """Training and scoring against dictionaries of written-out features, one coordinate at a time."""
+    from pyspark.sql import functions as F
+
+    words = "good Bad, idiotic people person thing (things) walking walked very nice *awful* x".split()
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(rng.choice(words, int(rng.integers(0, 14)))) or None) for k in range(240)]
+    labels = [(k, int("idiotic" in (t or "") or "awful" in (t or ""))) for k, t in rows if k % 5] + [(7, 1), (7, 0)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    every = set().union(*(brute.toxic_features(t) for _, t in rows))
+    assert len(np.unique(np.concatenate([toxicity.features((t or "").encode(), toxicity._Tokens()) for _, t in rows]))) == len(every)  # no two share a coordinate
+    order = marks.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").select("doc_id", "toxic", F.explode(F.array(*map(F.lit, range(1, toxicity.EPOCHS + 1)))).alias("epoch"))
+    stream = [(dict(rows)[r.doc_id], r.toxic) for r in order.orderBy("epoch", F.xxhash64("doc_id", "epoch"), "doc_id", "toxic").collect()]
+    score = brute.ftrl(stream, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    got = {r.doc_id: r.score for r in toxicity.judged_documents(docs, marks).collect()}
+    assert max(got.values()) > 0.7 > 0.3 > min(got.values())
+    assert all(abs(got[i] - score(t)) < 1e-9 for i, t in rows)
+
+
 def test_toxicity_without_labels_or_documents(spark, edge_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.judged_documents(edge_docs, none).collect()} == {0.5}
@@ -178,20 +235,112 @@ def test_junk_of_almost_half_a_source_is_rejected(spark):
     assert {r.doc_id for r in out if not r.kept} == junk
 
 
-def test_estimate_is_that_of_plain_concentration_steps(spark, corpus):
-    """The native plan against the same steps in numpy."""
-    import numpy as np
-
-    good = quality_rules._vector(quality_rules.text_statistics(corpus)).where("source = 's1'")
-    x = np.array([[r[f"x{i}"] for i in range(4)] for r in good.collect()], float) / quality_rules.SCALE
-    inside = np.ones(len(x), bool)
-    for step in range(quality_rules.STEPS + 1):
-        m = x[inside].mean(axis=0)
-        c = x[inside].T @ x[inside] / inside.sum() - np.outer(m, m) + np.eye(4) * quality_rules.FLOOR**2
-        d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-        if step < quality_rules.STEPS:
-            cell = np.minimum(quality_rules.CELLS - 1, np.floor(np.log2(1 + d2) * quality_rules.CELLS_PER_UNIT))
-            inside = np.array([(cell < k).sum() < quality_rules.MAJORITY * len(x) for k in cell])
-    found = quality_rules.minimum_covariance(good, ["lang", "source"]).collect()[0]
-    low = np.linalg.cholesky(c)
-    assert np.allclose([found[f"u{i}"] for i in range(4)], m) and np.allclose([found[f"l{i}{j}"] for i in range(4) for j in range(i + 1)], [low[i, j] for i in range(4) for j in range(i + 1)], atol=1e-6)
+def regularised(x, weight=None, factor=None):
+    """Mean and regularised covariance of weighted rows."""
+    weight = np.ones(len(x)) if weight is None else weight
+    u = weight @ x / weight.sum()
+    c = (x * weight[:, None]).T @ x / weight.sum() - np.outer(u, u)
+    return u, c * (quality_rules.consistency(quality_rules.MAJORITY) if factor is None else factor) + np.eye(4) * quality_rules.FLOOR**2
+
+
+def distances(x, u, c):
+    return np.einsum("ij,jk,ik->i", x - u, np.linalg.inv(c), x - u)
+
+
+def plain_mcd(ints):
+    """The estimate of one group in numpy: (log-determinant of the best half, final mean, final covariance)."""
+    q = quality_rules
+    x = ints / q.SCALE
+    cell = np.floor(ints / q.START_CELL + 0.5)
+    u = np.median(cell, axis=0)
+    spread = np.median(np.abs(cell - u), axis=0) * q.START_CELL / q.SCALE * q.DEVIATION
+    u, w = u * q.START_CELL / q.SCALE, np.sqrt(spread**2 + q.FLOOR**2)
+    z = (x - u) / w
+    length = np.linalg.norm(z, axis=1)
+    signs = np.where(length[:, None] > 0, z / np.where(length > 0, length, 1)[:, None], 0)
+    starts = [np.diag(w**2)]
+    for shape in (np.tanh(z), signs):
+        y = np.sign(shape) * np.floor(np.abs(shape) * q.SCALE + 0.5)
+        m = y.T @ y / len(y) - np.outer(y.mean(axis=0), y.mean(axis=0))
+        v = np.diag(m)
+        r = m / np.sqrt(np.outer(v + 1, v + 1))
+        starts.append(np.where(np.eye(4, dtype=bool), np.diag(w**2), np.outer(w, w) * r))
+
+    def step(u, c):
+        cell = np.minimum(q.CELLS - 1, np.floor(np.log2(1 + distances(x, u, c)) * q.CELLS_PER_UNIT))
+        room = len(x) * q.MAJORITY - np.array([(cell < k).sum() for k in cell])
+        return regularised(x, np.clip(room / np.array([(cell == k).sum() for k in cell]), 0, 1))
+
+    found = []
+    for k, c in enumerate(starts):
+        est = (u, c)
+        for _ in range(q.FIRST_STEPS):
+            est = step(*est)
+        found.append((np.linalg.slogdet(est[1])[1], k, est))
+    det, _, est = min(found, key=lambda f: f[:2])
+    for _ in range(q.MOST_STEPS):
+        after = step(*est)
+        if det - np.linalg.slogdet(after[1])[1] < q.SETTLED:
+            break
+        det, est = np.linalg.slogdet(after[1])[1], after
+    return det, *regularised(x[distances(x, *est) <= q.INNER], factor=q.consistency(0.975))
+
+
+def group_table(spark, groups: dict):
+    rows = [(k, *map(int, r)) for k, ints in groups.items() for r in ints]
+    return spark.createDataFrame(rows, "g string, x0 long, x1 long, x2 long, x3 long")
+
+
+def test_estimate_is_that_of_a_plain_program(spark, corpus):
+    """Native plan against numpy, for groups with and without junk and correlations, and for real statistics."""
+    rng = np.random.default_rng(4)
+    mix = rng.normal(size=(4, 4))
+    clean = rng.normal(size=(300, 4)) @ mix * 600 + 4000
+    groups = {"clean": clean, "junk": np.vstack([clean, rng.normal(size=(180, 4)) * 100 + 9000]), "flat": np.vstack([np.full((90, 4), 700), clean[:20]]), "few": clean[:9], "one": clean[:1]}
+    good = quality_rules._vector(quality_rules.text_statistics(corpus)).where("source = 's1'").collect()
+    groups["texts"] = np.array([[r[f"x{i}"] for i in range(4)] for r in good])
+    groups = {k: np.abs(v).astype(np.int64) for k, v in groups.items()}
+    frame = group_table(spark, groups)
+    halves = {r.g: r.det for r in quality_rules.least_determinant(frame, ["g"]).collect()}
+    for r in quality_rules.minimum_covariance(frame, ["g"]).collect():
+        det, u, c = plain_mcd(groups[r.g])
+        low = np.linalg.cholesky(c)
+        assert np.allclose(halves[r.g], det, atol=1e-6)
+        assert np.allclose([r[f"u{i}"] for i in range(4)], u, atol=1e-6)
+        assert np.allclose([r[f"l{i}{j}"] for i in range(4) for j in range(i + 1)], [low[i, j] for i in range(4) for j in range(i + 1)], atol=1e-6)
+
+
+def test_determinant_is_about_the_least_of_all_halves(spark):
+    """Against every half of small groups."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(11)
+    groups = {f"g{k}": np.abs(np.vstack([rng.normal(size=(8, 4)) * 700 + 5000, rng.normal(size=(k % 5, 4)) * 300 + 12000]).astype(np.int64)) for k in range(10)}
+    found = {r.g: r.det for r in quality_rules.least_determinant(group_table(spark, groups), ["g"]).collect()}
+    gap = []
+    for g, ints in groups.items():
+        x = ints / quality_rules.SCALE
+        half = -(-len(x) // 2)
+        least = min(np.linalg.slogdet(regularised(x[list(c)])[1])[1] for c in combinations(range(len(x)), half))
+        plain = np.linalg.slogdet(regularised(x)[1])[1]
+        assert found[g] <= least + 0.35 * (plain - least)
+        gap.append(found[g] - least)
+    assert np.median(gap) < 0.3
+
+
+def test_constants_are_those_of_the_chi_square_law():
+    q = quality_rules
+    assert abs(q.CUT_OFF - 18.4668) < 1e-3 and abs(q.INNER - 11.1433) < 1e-3 and abs(q.chi_square_quantile(0.5, 4) - 3.3567) < 1e-3
+    rng = np.random.default_rng(0)
+    d2 = (rng.normal(size=(200_000, 4)) ** 2).sum(axis=1)
+    assert abs((d2 > q.CUT_OFF).mean() - 0.001) < 4e-4
+    near = rng.normal(size=(200_000, 4))
+    near = near[(near**2).sum(axis=1) <= q.chi_square_quantile(0.5, 4)]
+    assert abs(near.var(axis=0).mean() * q.consistency(0.5) - 1) < 0.02
+
+
+def test_small_groups_take_the_estimate_of_their_language_or_of_all(spark):
+    clean = [(k, prose(k, 70), "en", f"tiny{k % 90}") for k in range(450)] + [(1000 + k, prose(3000 + k, 70), None, "s") for k in range(30)]
+    odd = [(9000, " ".join(w + "%%%" for w in prose(5, 70).split()), "en", "tiny3"), (9001, " ".join(w + "%%%" for w in prose(6, 70).split()), None, None), (9002, prose(7, 70), "xx", None)]
+    out = {r.doc_id: r.kept for r in quality_rules.judged_documents(spark.createDataFrame(clean + odd, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, kept in out.items() if not kept} == {9000, 9001}

@@ -1,9 +1,13 @@
+import os
+
 import brute
 import corpus_pipeline
 import pytest
 from brute import prose
 
 from rulewright.llm import queries
+from rulewright.llm.bpe_codec import codec
+from rulewright.llm.common import stored
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +35,7 @@ def test_stages_take_effect(spark, docs):
     good = stage["quality rules"](spark, docs, "")
     assert {r.doc_id for r in good.collect()} == {i for i, t in rows.items() if not brute.quality(t)[-1]}
     one = stage["near-duplicates"](spark, good, "")
-    groups = brute.near([(r.doc_id, r.text) for r in good.collect()])
+    groups = brute.near([(r.doc_id, r.text) for r in good.collect()], width=5)
     assert {r.doc_id for r in one.collect()} == {i for i, (_, c) in groups.items() if i == c}
     bare = stage["substring dedup"](spark, one, "")
     lost = brute.substrings([(r.doc_id, r.text) for r in one.collect()])
@@ -43,12 +47,71 @@ def test_stages_take_effect(spark, docs):
         assert out.columns == docs.columns
         assert all(r.n_chars == len(r.text) for r in out.collect())
     packed = stage["packing"](spark, clean, "").collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in clean.collect()}
+    assert delivered(packed) == {r.doc_id: r.text for r in clean.collect()}
+
+
+def delivered(packed) -> dict:
+    """Texts of a packed corpus by document, from nothing but the token ids."""
+    bytes_of, parts = codec("byte_bpe_50k.tiktoken").bytes_of, {}
+    for r in sorted(packed, key=lambda r: (repr(r.doc_id), r.piece)):
+        assert len(r.ids) == r.length
+        parts.setdefault(r.doc_id, []).extend(r.ids)
+    assert all(ids[-1] == 0 for ids in parts.values())
+    return {i: b"".join(map(bytes_of.__getitem__, ids[:-1])).decode() for i, ids in parts.items()}
+
+
+def expected(rows: list[tuple]) -> dict:
+    """What the five stages leave of (doc_id, text), by plain versions of them (all texts of one clean group)."""
+    good = [(i, t) for i, t in rows if not brute.quality(t)[-1]]
+    groups = brute.near(good, width=5)
+    one = [(i, t) for i, t in good if groups[i][1] == i]
+    out = {}
+    for i, spans in brute.parse(one).items():
+        words = brute.WORD.findall(dict(one)[i])
+        gone = {k for a, b, *_ in spans for k in range(a, b)}
+        text = " ".join(w for k, w in enumerate(words) if k not in gone) if spans else dict(one)[i]
+        spans = [(int(s), int(e), kind) for kind, s, e in (x.split(":") for x in brute.secrets(text).split(",") if x)]
+        for start, end, kind in reversed(spans):
+            text = text[:start] + f"[{kind}]" + text[end:]
+        out[i] = text
+    return out
+
+
+def test_run_delivers_the_corpus(spark, docs, tmp_path):
+    """The whole pipeline against plain versions: the packed ids decode to the cleaned texts."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = expected([(r.doc_id, r.text) for r in docs.collect()])
+    assert len(want) > 80 and delivered(packed) == want
 
 
-def test_run_writes_between_stages(spark, docs, tmp_path):
+def test_run_keeps_no_more_than_two_stages_on_disk(spark, docs, tmp_path, monkeypatch):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before, seen = set(os.listdir(shared)), []
+    pack = corpus_pipeline.STAGES[-1][1]
+
+    def last(*args):
+        seen.extend(sorted(p.split("-")[0] + p.split("-")[1][:1] for p in set(os.listdir(shared)) - before))
+        return pack(*args)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:-1], ("packing", last)])
+    other = stored(spark.range(5), "other")
+    before = set(os.listdir(shared))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 80
+    assert seen == ["stage3"] and other.count() == 5
+
+
+def test_rows_without_or_with_the_same_id_keep_their_own_redacted_texts(spark):
+    """Two null ids and two texts of one id go through the last two stages; no secret stays."""
+    texts = ["token=qrstuvwxyzabcdef one", "plain text", "secret=abcdefghijklmnop two", "password = 'abcdefghijkl9' three", "same", "same"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip([None, None, 7, 7, 8, 8], texts, strict=True)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clean = dict(corpus_pipeline.STAGES)["secret scan"](spark, frame, "")
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == [(0, "[assign] one"), (0, "plain text"), (7, "[assign] two"), (7, "[assign]' three"), (8, "same"), (8, "same")]
+    packed = dict(corpus_pipeline.STAGES)["packing"](spark, clean, "").collect()
+    bytes_of = codec("byte_bpe_50k.tiktoken").bytes_of
+    assert sorted(b"".join(map(bytes_of.__getitem__, r.ids[:-1])).decode() for r in packed) == sorted(r.text for r in clean.collect())
 
 
 def test_ten_operators_are_registered():
