@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.catalogue import CONFLICTS_DDL, SOURCES_DDL, UNKNOWNS_DDL
 from ..sources.shipped import CONFLICTS, SOURCES, UNKNOWNS
 
 LISTED = ("id", "target", "normativity", "autofix")
@@ -60,15 +61,16 @@ def governance_findings(rules: DataFrame) -> DataFrame:
 
 
 def conflicts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CONFLICTS, "conflict_id string, topic string, status string, a_rule_id string, b_rule_id string, b_source_id string, lint string, autofix string, effective_rule string")
+    """The shipped conflicts; those of a catalogue folder come from ``load_registers``."""
+    return spark.createDataFrame(CONFLICTS, CONFLICTS_DDL)
 
 
 def unknowns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(UNKNOWNS, "unknown_id string, topic string, status string")
+    return spark.createDataFrame(UNKNOWNS, UNKNOWNS_DDL)
 
 
 def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(a, b, c) for a, b, c in SOURCES], "source_id string, medium string, handling map<string,boolean>")
+    return spark.createDataFrame([(a, b, c) for a, b, c in SOURCES], SOURCES_DDL)
 
 
 def _sides(found: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ value is not a member.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,10 +26,9 @@ def is_member(value: Column, allowed: tuple[str, ...]) -> Column:
 
 def with_duplicate_flag(rules: DataFrame) -> DataFrame:
     """``duplicate``: an earlier rule, in any file, has this identity; absent ids share one."""
-    order = W.partitionBy("_label", "_named").orderBy("file_ord", "rule_ord")
-    keyed = rules.withColumns({"_label": F.element_at("shown", "label"), "_named": F.element_at("shown", "id")})
-    keyed = keyed.withColumn("_named", F.when(F.array_contains("present_fields", "id"), F.col("_named")).otherwise(F.concat(F.lit("'"), F.col("_label"), F.lit("'"))))
-    return keyed.withColumn("duplicate", F.row_number().over(order) > 1).drop("_label", "_named")
+    order = W.partitionBy("_identity").orderBy("file_ord", "rule_ord")
+    keyed = rules.withColumn("_identity", F.element_at("shown", "identity"))
+    return keyed.withColumn("duplicate", F.row_number().over(order) > 1).drop("_identity")
 
 
 def rule_errors(rules: DataFrame, schema: RuleSchema | None = None) -> DataFrame:
@@ -79,15 +80,23 @@ def table_errors(table: DataFrame, key: str, required: tuple[str, ...] = (), enu
     """(key, err_ord, error) for each breach.
 
     ``required`` columns hold no null; ``enums`` columns one of the values;
-    ``nested`` maps a name to (JSON column, path) that must give a value; later
-    rows (by ``order``) with an identity in ``unique`` seen before are repeats.
-    Checks without ``unique`` need no shuffle.
+    ``nested`` maps a name to (JSON column, path) that must give a value; rows
+    that are not the first (by ``order``) of their identity in ``unique`` are
+    repeats, and where several tie for the first place all of them are.
+    Checks without ``unique`` need no shuffle.  For it, first places are found
+    by aggregates of narrow rows, so an identity that many rows share (null, say)
+    is no sort of all of them in one task.
     """
     found = []
     if unique:
-        by = [F.col(c) for c in order] or [F.col(key)]
-        table = table.withColumn("_repeat", F.row_number().over(W.partitionBy(*unique).orderBy(*by)) > 1)
-        found.append(F.when(F.col("_repeat"), F.lit(f"duplicate {','.join(unique)}")))
+        by = list(order) or [key]
+        places = table.groupBy(*[F.col(c).alias(f"_u{k}") for k, c in enumerate(unique)], F.struct(*by).alias("_place")).agg(F.count("*").alias("_n"))
+        ids = [f"_u{k}" for k in range(len(unique))]
+        first = places.groupBy(*ids).agg(F.min(F.struct("_place", "_n")).alias("_first"), F.sum("_n").alias("_all")).where("_all > 1")
+        same = reduce(lambda a, kc: a & F.col(kc[1]).eqNullSafe(F.col(f"_u{kc[0]}")), enumerate(unique), F.lit(True))
+        table = table.join(first, same, "left")
+        repeat = (F.struct(*by) != F.col("_first._place")) | (F.col("_first._n") > 1)
+        found.append(F.when(F.col("_first").isNotNull() & repeat, F.lit(f"duplicate {','.join(unique)}")))
     found += [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required]
     found += [F.when(~is_member(F.col(c), v), F.concat(F.lit(f"invalid {c} "), F.coalesce(F.col(c).cast("string"), F.lit("None")))) for c, v in (enums or {}).items()]
     found += [F.when(F.get_json_object(c, path).isNull(), F.lit(f"missing {name}")) for name, (c, path) in (nested or {}).items()]

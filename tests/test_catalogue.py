@@ -45,6 +45,20 @@ def test_a_null_id_is_present(spark):
     assert messages(spark, [rule(id=None), rule(id=None)]) == ["None: duplicate id"]
 
 
+def test_ids_are_compared_as_values(spark):
+    """1, 1.0 and true are one id, "1" is another; every message names the id as it is written."""
+    assert messages(spark, [rule(id=1), rule(id=1.0), rule(id=True), rule(id="1"), rule(id=1.5)]) == ["1.0: duplicate id", "True: duplicate id"]
+
+
+def test_dates_are_listed_as_they_print(spark):
+    import datetime
+
+    day = rule(id=datetime.date(2020, 1, 1), target=datetime.date(2021, 2, 3))
+    rules = catalogue.from_files(spark, [("manuscript.yaml", {"rules": [day, day]})])
+    assert {r.line for r in ops.list_lines(rules).collect()} == {"2020-01-01\t2021-02-03\tmandatory\tsafe"}
+    assert messages(spark, [day, day]) == ["2020-01-01: duplicate id"]
+
+
 def test_duplicates_within_and_across_files(spark):
     assert messages(spark, [rule(id="A"), rule(id="A"), rule(id="A")]) == ["A: duplicate id"] * 2
     assert messages(spark, [rule(id="A")], ("citations.yaml", {"rules": [rule(id="A")]})) == ["A: duplicate id"]
@@ -101,6 +115,29 @@ def test_files_read_like_the_shipped_rows(spark, root):
     assert spark.read.format("rule_catalogue").load(str(root)).count() == 49
 
 
+def test_evidence_is_kept(spark, root):
+    found = rule(source={"source_id": "S", "source_type": "example", "locator": "p. 3", "evidence": "in these words"})
+    (root / "rules" / "citations.yaml").write_text(yaml.safe_dump({"rules": [found, rule(id="ER-MS-Y-001")]}))
+    rows = catalogue.load(spark, str(root)).where("file = 'citations.yaml'").orderBy("rule_ord").collect()
+    assert [(r.locator, r.evidence) for r in rows] == [("p. 3", "in these words"), (None, None)]
+
+
+def test_registers_are_read_from_the_folder(spark, root):
+    """Conflicts of the folder govern its rules, not those that are shipped."""
+    assert [d.count() for d in catalogue.load_registers(spark, str(root))] == [0, 0, 0]
+    conflict = {"id": "C1", "topic": "t", "status": "open", "source_a": {"rule_id": "ER-MS-TITLE-001"}, "source_b": {"source_id": "S9"}, "execution": {"lint": "info", "autofix": "never"}}
+    (root / "rules" / "conflicts.yaml").write_text(yaml.safe_dump({"conflicts": [conflict]}))
+    (root / "rules" / "unresolved.yaml").write_text(yaml.safe_dump({"unknowns": [{"id": "U1", "topic": "t", "status": "s"}]}))
+    (root / "sources" / "normalized").mkdir(parents=True)
+    (root / "sources" / "normalized" / "source-index.yaml").write_text(yaml.safe_dump({"sources": [{"id": "ER-REF-GUIDE", "medium": "markdown", "special_handling": {"careful": True}}, {"id": "ER-MS-IMG-NOTES", "medium": "m"}]}))
+    rules = catalogue.load(spark, str(root))
+    conflicts, unknowns, sources = catalogue.load_registers(spark, str(root))
+    policy = {r.id: (r.severity, r.autofix, r.conflict_id) for r in ops.effective_policy(rules, conflicts).collect()}
+    assert policy["ER-MS-TITLE-001"] == ("info", "never", "C1") and policy["ER-REF-FOREIGN-AUTHOR-001"] == ("error", "never", None)
+    assert [tuple(r) for r in ops.dangling_references(rules, conflicts, sources).collect()] == [("conflict source", "C1", "S9")]
+    assert [tuple(r) for r in unknowns.collect()] == [("U1", "t", "s")] and {r.source_id: r.handling for r in sources.collect()}["ER-REF-GUIDE"] == {"careful": True}
+
+
 def test_schema_is_data(spark, root):
     schema = catalogue.load_schema(spark, str(root))
     assert schema.required == REQUIRED_FIELDS
@@ -108,7 +145,7 @@ def test_schema_is_data(spark, root):
     assert validator.rule_errors(catalogue.load(spark, str(root)), schema).count() == 47
 
 
-@pytest.mark.parametrize(("content", "error"), [("[]", "Expected mapping"), ("", "Expected mapping"), ("rules: null", "rules must be a list: citations.yaml"), ("rules: {a: 1}", "rules must be a list")])
+@pytest.mark.parametrize(("content", "error"), [("[]", "citations.yaml holds a list where a mapping"), ("", "citations.yaml holds nothing where a mapping"), ("rules: null", "citations.yaml has a NoneType under 'rules' where a list"), ("rules: {a: 1}", "citations.yaml has a dict under 'rules' where a list")])
 def test_faulty_files(spark, root, content, error):
     (root / "rules" / "citations.yaml").write_text(content)
     with pytest.raises(Exception, match=error):
@@ -156,3 +193,12 @@ def test_order_does_not_depend_on_partitions(spark):
     rules = catalogue.from_files(spark, [("manuscript.yaml", {"rules": [{}, rule(), rule()]})])
     order = ("file_ord", "rule_ord", "err_ord")
     assert validator.rule_errors(rules.repartition(5)).orderBy(*order).collect() == validator.rule_errors(rules.coalesce(1)).orderBy(*order).collect()
+
+
+def test_repeats_in_tables_are_those_behind_the_first(spark):
+    """Nulls are one identity; rows that tie for the first place are all repeats."""
+    rows = [(1, "a", 5), (2, "a", 3), (3, "a", 9), (4, None, 1), (5, None, 2), (6, "b", 1), (7, "c", 4), (8, "c", 4), (9, "c", 7)]
+    table = spark.createDataFrame(rows, "id long, u string, o int")
+    errors = validator.table_errors(table, "id", unique=("u",), order=("o",))
+    assert sorted(r.key for r in errors.collect()) == [1, 3, 5, 7, 8, 9]
+    assert "Window" not in errors._jdf.queryExecution().executedPlan().toString()
