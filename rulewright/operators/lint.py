@@ -1,9 +1,10 @@
 """Linting: rules applied to document elements, citations and references.
 
 Rules are configuration: their requirements are read once on the driver and each
-becomes one boolean expression, so that Catalyst sees constants.  Rules that
-concern one row at a time are evaluated in a single projection without a
-shuffle; the others need a window or an equi-join on the document.
+becomes one boolean expression, so that Catalyst sees constants.  Elements are
+read once: rules that concern one row need no shuffle, and those that look at
+other elements of the document share one exchange for their windows.  Citations
+meet the list of references by equi-joins on document, name and year.
 
 Interpretations are ours wherever the catalogue leaves the evaluation open.
 
@@ -24,6 +25,7 @@ A condition that cannot be decided for lack of a value does not hold.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import has_han, hyphenated_range, initial_is_certain, ladder_step, size_points, surname_initial
+from .policy import CONFIDENCE, FIXABLE, allowed
 
 ELEMENTS_DDL = (
     "doc_id long, part string, seq int, role string, confidence double, page_no int, text string, "
@@ -40,8 +43,6 @@ ELEMENTS_DDL = (
 )
 CITATIONS_DDL = "doc_id long, part string, seq int, cite_no int, form string, lang string, authors array<string>, years array<string>, pages string, raw string"
 REFS_DDL = "doc_id long, ref_no int, lang string, is_translation boolean, authors array<struct<surname:string,given:string>>, year int, suffix string, title string, kind string, container string, volume string, pages string, raw string"
-#: A fix that depends on recognised structure needs at least this confidence (ours: the catalogue gives no number).
-CONFIDENCE = 0.9
 #: Words that stay lower case in a title (ours: the catalogue gives no list).
 SMALL_WORDS = ("a", "an", "the", "and", "or", "but", "nor", "of", "in", "on", "at", "to", "for", "from", "by", "with", "as", "vs")
 
@@ -81,18 +82,30 @@ def _latin(need: dict) -> Column:
     return _sure(F.forall(latin, lambda r: _sure((r["ascii_font"] == need["ascii_font"]) & (r["hansi_font"] == need["hansi_font"]))))
 
 
+def _number_pattern(sample: str) -> str:
+    """What a sample number stands for: `1.` for any number with a point, `（一）` for any Chinese one in brackets."""
+    parts = re.split(r"([0-9]+|[一二三四五六七八九十]+)", sample)
+    return r"^\s*" + "".join(("[0-9]+" if p[0].isdigit() and p.isascii() else "[一二三四五六七八九十]+") if k % 2 else re.escape(p) for k, p in enumerate(parts) if p)
+
+
+def _level() -> Column:
+    """The level of a heading, null for other elements."""
+    return F.when(F.col("role") == "heading_level_1", 1).when(F.col("role") == "heading_numbering", F.nullif(F.regexp_extract("para.style_id", r"([0-9]+)$", 1), F.lit("")).cast("int"))
+
+
 def _numbering(need: dict) -> Column:
-    """Level 2 is （numeral） behind two spaces; deeper levels are `1.` and `（1）`."""
-    level = F.regexp_extract("para.style_id", r"([0-9]+)$", 1)
-    second = F.col("text").rlike(r"^\s*（[一二三四五六七八九十]+）") & (F.col("para.lead_spaces") == need["level_2"]["leading_spaces_cn"])
-    return _sure(F.when(level == "2", second).when(level == "3", F.col("text").rlike(r"^\s*[0-9]+\.")).when(level == "4", F.col("text").rlike(r"^\s*（[0-9]+）")).otherwise(F.lit(True)))
+    """Each level has the form of its number, and no level is left out on the way down."""
+    level, second = _level(), need["level_2"]
+    right = F.when(level == 2, F.col("text").rlike(_number_pattern(second["prefix_pattern"])) & (F.col("para.lead_spaces") == second["leading_spaces_cn"]))
+    for k, sample in enumerate(need["lower_levels"]["sequence"], 3):
+        right = right.when(level == k, F.col("text").rlike(_number_pattern(sample)))
+    return _sure(right.otherwise(F.lit(True)) & F.coalesce(level <= F.coalesce("_last_level", F.lit(0)) + 1, F.lit(True)))
 
 
-#: Rules decided on one element; others of the element rules are in ``_across``.
+#: Rules decided on one element.
 ELEMENT_CHECKS: dict[str, Check] = {
     **{r: _layout for r in ("ER-MS-TITLE-001", "ER-MS-AUTHOR-001", "ER-MS-AUTHORINFO-001", "ER-MS-ABSTRACT-001", "ER-MS-HEADING1-001", "ER-MS-TABLE-NOTE-002", "ER-MS-FOOTNOTE-001", "ER-MS-FOOTNOTE-002", "ER-MS-FIGURE-001", "ER-MS-REF-LAYOUT-001", "ER-MS-REF-JOURNAL-001")},
     "ER-MS-AUTHORINFO-002": lambda need: _sure(~F.contains("text", F.lit(need["disallowed_term"]))),
-    "ER-MS-HEADING-HIERARCHY-001": _numbering,
     "ER-MS-EQUATION-001": lambda need: _sure(F.col("obj.editor").isin(need["allowed_editors"])),
     "ER-MS-EQUATION-002": lambda need: _sure(~F.startswith(F.trim("text"), F.lit(need["trigger_text"])) | (F.col("para.lead_spaces") == need["leading_spaces_cn"])),
     "ER-MS-FIGURE-002": lambda need: _sure(F.col("obj.color_mode") == need["color_mode"]),
@@ -104,6 +117,32 @@ ELEMENT_CHECKS: dict[str, Check] = {
 }
 
 
+def _points() -> Column:
+    return F.array_max(F.transform("runs", lambda r: r["size_pt"]))
+
+
+#: Rules that look at other elements of the document, through the columns of ``_with_neighbours``.
+NEIGHBOUR_CHECKS: dict[str, Check] = {
+    "ER-MS-TITLE-002": lambda need: _sure(F.col("_noted") & F.contains("text", F.lit(need["marker"]))),
+    "ER-MS-HEADING-HIERARCHY-001": _numbering,
+    "ER-MS-TABLE-001": lambda need: _sure(_points() < F.col("_body")) & _layout({"east_asia_font": need["east_asia_font"]}),
+    "ER-MS-TABLE-NOTE-001": lambda need: _sure(ladder_step(_points()) - ladder_step(F.col("_table")) == 1),
+}
+
+
+def _with_neighbours(elements: DataFrame, marker: str) -> DataFrame:
+    """A footnote with the marker, least size of the body and of the own table, and level of the heading before.
+
+    All windows are partitioned by the document, so one exchange serves them all.
+    """
+    document = W.partitionBy("doc_id")
+    return elements.withColumns({
+        "_noted": F.max((F.col("part") == "footnote") & F.startswith(F.trim("text"), F.lit(marker))).over(document),
+        "_body": F.min(F.when(F.col("role") == "body", _points())).over(document),
+        "_table": F.when(F.col("parent_seq").isNotNull(), F.min(F.when(F.col("role") == "table_text", _points())).over(W.partitionBy("doc_id", "parent_seq"))),
+        "_last_level": F.last(_level(), ignorenulls=True).over(document.orderBy("seq").rowsBetween(W.unboundedPreceding, -1)),
+    })
+
 
 def _first_author() -> Column:
     return F.get("authors", F.lit(0))
@@ -122,13 +161,13 @@ CITATION_CHECKS: dict[str, Check] = {
     "ER-CIT-GENERAL-001": lambda need: _sure((F.col("part") != "footnote") & (F.col("form") != "footnote")),
     "ER-CIT-GENERAL-002": lambda need: _sure((F.size("authors") > 0) & (F.size("years") > 0) & F.forall("years", lambda y: ~y.rlike(r"[0-9]{4}[-./年][0-9]{1,2}"))),
     "ER-CIT-NARRATIVE-001": lambda need: _sure(F.col("raw").rlike(r"[（(][0-9]{4}[a-z]?([，,:：][^（()）]*)?[)）]")),
-    "ER-CIT-SELF-001": lambda need: _sure(F.length(F.trim(_first_author())) > 0),
+    "ER-CIT-SELF-001": lambda need: _sure(F.length(F.trim(_first_author())) > 0) & F.coalesce(F.contains("_document_authors", _first_author()), F.lit(True)),
     "ER-CIT-TITLE-IN-SENTENCE-001": lambda need: _sure(F.col("raw").rlike(r"^[（(][0-9]{4}[a-z]?([，,:：] ?(第|pp?\.? ?)?[0-9—-]+页?)?[)）]$")),
     "ER-CIT-MULTI-AUTHORSOURCES-001": lambda need: _sure(F.size(F.split("raw", need["separator"])) >= F.size("years")),
     "ER-CIT-SAMEAUTHOR-MULTIYEAR-001": _year_list,
-    "ER-CIT-TRANSLATION-001": lambda need: has_han(_first_author()),
+    "ER-CIT-TRANSLATION-001": lambda need: has_han(_first_author()) & F.coalesce(F.col("_translation_of_year") | ~F.col("_translation"), F.lit(True)),
     "ER-CIT-FOREIGN-ORIGINAL-001": lambda need: _sure((F.size("authors") > 0) & F.forall("authors", lambda a: ~has_han(a))),
-    "ER-CIT-MIXEDLANG-001": lambda need: _sure(F.exists("authors", has_han) & F.exists("authors", lambda a: ~has_han(a))),
+    "ER-CIT-MIXEDLANG-001": lambda need: _sure(F.exists("authors", has_han) & F.exists("authors", lambda a: ~has_han(a))) & ~F.coalesce("_contradicts", F.lit(False)),
     "ER-CIT-EN-TWOAUTHORS-001": lambda need: _sure(F.col("raw").rlike(rf"\p{{L}} {need['author_connector']} \p{{L}}")),
     "ER-CIT-EN-MULTIAUTHORS-001": lambda need: _sure(F.contains("raw", F.lit(need["abbreviation"]))),
     "ER-CIT-ZH-TWOAUTHORS-001": lambda need: _sure(F.contains("raw", F.lit(need["author_connector"]))),
@@ -136,7 +175,8 @@ CITATION_CHECKS: dict[str, Check] = {
 }
 
 def citation_scope() -> dict[str, Column]:
-    """Which citations a rule concerns, by the citation's own fields."""
+    """Which citations a rule concerns, by their own fields and the number of authors that the list has for them."""
+    several = F.coalesce("_listed_authors", F.size("authors")) >= 3
     return {
         "ER-CIT-GENERAL-001": F.lit(True),
         "ER-CIT-GENERAL-002": F.col("form") == "parenthetical",
@@ -148,10 +188,10 @@ def citation_scope() -> dict[str, Column]:
         "ER-CIT-TRANSLATION-001": F.col("form") == "translation",
         "ER-CIT-FOREIGN-ORIGINAL-001": ~_is_zh() & (F.col("form") == "original"),
         "ER-CIT-MIXEDLANG-001": F.col("lang") == "mixed",
-        "ER-CIT-EN-TWOAUTHORS-001": (F.col("lang") == "en") & (F.size("authors") == 2) & F.col("form").isin("narrative", "parenthetical"),
-        "ER-CIT-EN-MULTIAUTHORS-001": (F.col("lang") == "en") & (F.size("authors") >= 3) & F.col("form").isin("narrative", "parenthetical"),
-        "ER-CIT-ZH-TWOAUTHORS-001": _is_zh() & (F.size("authors") == 2) & F.col("form").isin("narrative", "parenthetical"),
-        "ER-CIT-ZH-MULTIAUTHORS-001": _is_zh() & (F.size("authors") >= 3) & F.col("form").isin("narrative", "parenthetical"),
+        "ER-CIT-EN-TWOAUTHORS-001": (F.col("lang") == "en") & (F.size("authors") == 2) & ~several & F.col("form").isin("narrative", "parenthetical"),
+        "ER-CIT-EN-MULTIAUTHORS-001": (F.col("lang") == "en") & several & F.col("form").isin("narrative", "parenthetical"),
+        "ER-CIT-ZH-TWOAUTHORS-001": _is_zh() & (F.size("authors") == 2) & ~several & F.col("form").isin("narrative", "parenthetical"),
+        "ER-CIT-ZH-MULTIAUTHORS-001": _is_zh() & several & F.col("form").isin("narrative", "parenthetical"),
     }
 
 
@@ -189,9 +229,9 @@ def reference_scope() -> dict[str, Column]:
     return {"ER-REF-ORDER-FIELDS-001": F.lit(True), "ER-REF-TRANSLATION-001": translated} | dict.fromkeys(of_foreign, foreign)
 
 
-#: Rules that need several rows, decided in the functions below.
+#: Rules that need several rows.
 ACROSS = (
-    "ER-MS-TITLE-002", "ER-MS-TABLE-001", "ER-MS-TABLE-NOTE-001", "ER-CIT-REF-FULLAUTHORS-001",
+    *NEIGHBOUR_CHECKS, "ER-CIT-REF-FULLAUTHORS-001",
     "ER-REF-SORT-001", "ER-REF-SAMEYEAR-001", "ER-REF-LANGUAGE-GROUP-001", "ER-REF-CONTENT-FOOTNOTE-001",
 )
 
@@ -212,44 +252,64 @@ def _explode(rows: DataFrame, seq: str, checks: list[tuple[str, str, Column, Col
     return rows.select("doc_id", F.col(seq).alias("seq"), confidence.alias("confidence"), found).select("doc_id", "seq", "confidence", "_f.*")
 
 
-def _points(runs: str = "runs") -> Column:
-    return F.array_max(F.transform(runs, lambda r: r["size_pt"]))
-
-
 def lint_elements(elements: DataFrame, rules: dict[str, dict]) -> DataFrame:
-    """Findings of the manuscript rules."""
-    single = [(r, rules[r]["target"], F.col("role") == rules[r]["target"], check(rules[r]["need"])) for r, check in ELEMENT_CHECKS.items() if r in rules]
-    found = _explode(elements, "seq", single)
-    row = lambda d, rule, ok: d.select("doc_id", "seq", "confidence", F.lit(rule).alias("rule_id"), F.lit(rules[rule]["target"]).alias("target"), _sure(ok).alias("ok"))
-    of = lambda rule: elements.where(F.col("role") == rules[rule]["target"])
-    if (rule := "ER-MS-TITLE-002") in rules:
-        marked = elements.where((F.col("part") == "footnote") & F.startswith(F.trim("text"), F.lit(rules[rule]["need"]["marker"]))).select("doc_id", F.lit(True).alias("_noted")).distinct()
-        found = found.unionByName(row(of(rule).join(marked, "doc_id", "left"), rule, F.col("_noted") & F.contains("text", F.lit(rules[rule]["need"]["marker"]))))
-    if (rule := "ER-MS-TABLE-001") in rules:
-        body = elements.where("role = 'body'").groupBy("doc_id").agg(F.min(_points()).alias("_body"))
-        found = found.unionByName(row(of(rule).join(body, "doc_id", "left"), rule, (_points() < F.col("_body")) & _layout({"east_asia_font": rules[rule]["need"]["east_asia_font"]})))
-    if (rule := "ER-MS-TABLE-NOTE-001") in rules:
-        table = elements.where("role = 'table_text'").groupBy("doc_id", "parent_seq").agg(F.min(_points()).alias("_table"))
-        found = found.unionByName(row(of(rule).join(table, ["doc_id", "parent_seq"], "left"), rule, ladder_step(_points()) - ladder_step(F.col("_table")) == 1))
-    return found
-
-
-def lint_citations(citations: DataFrame, refs: DataFrame, rules: dict[str, dict]) -> DataFrame:
+    """Findings of the manuscript rules, from one pass over the elements."""
+    checks = ELEMENT_CHECKS | NEIGHBOUR_CHECKS
+    due = [(r, rules[r]["target"], F.col("role") == rules[r]["target"], check(rules[r]["need"])) for r, check in checks.items() if r in rules]
+    if any(r in rules for r in NEIGHBOUR_CHECKS):
+        elements = _with_neighbours(elements, rules.get("ER-MS-TITLE-002", {"need": {"marker": "*"}})["need"]["marker"])
+    return _explode(elements, "seq", due)
+
+
+def _with_references(citations: DataFrame, refs: DataFrame, authors: DataFrame | None) -> DataFrame:
+    """Citations with what the list of references and the document's authors say of them.
+
+    _listed_authors       number of authors of the entry of this first author and year
+    _contradicts          a part is in the list under the other kind of script
+    _translation          the first author has a translated entry
+    _translation_of_year  and one of this year
+    _document_authors     the document's own authors
+    """
+    key = ["doc_id", "part", "seq", "cite_no"]
+    chinese = _is_zh() | F.coalesce("is_translation", F.lit(False))
+    entries = refs.select("doc_id", cited_name(F.get("authors", F.lit(0))).alias("_name"), F.col("year").cast("string").alias("_year"), F.size("authors").alias("_n"), chinese.alias("_zh"), F.coalesce("is_translation", F.lit(False)).alias("_is_translation"))
+    listed = entries.groupBy("doc_id", "_name", "_year").agg(F.max("_n").alias("_n"), F.max("_zh").alias("_any_zh"), F.min("_zh").alias("_all_zh"), F.max("_is_translation").alias("_t_year"))
+    translated = entries.where("_is_translation").select("doc_id", "_name", F.lit(True).alias("_t")).distinct()
+    parts = citations.select(*key, "years", F.posexplode("authors").alias("_pos", "_author")).withColumns({"_name": F.lower("_author"), "_year": F.substring(F.coalesce(F.get("years", F.col("_pos")), F.get("years", F.lit(0))), 1, 4)})
+    met = parts.join(listed, ["doc_id", "_name", "_year"], "left").join(translated, ["doc_id", "_name"], "left")
+    first = F.col("_pos") == 0
+    wrong = F.when(has_han(F.col("_author")), ~F.col("_any_zh")).otherwise(F.col("_all_zh"))
+    known = met.groupBy(*key).agg(
+        F.max(F.when(first, F.col("_n"))).alias("_listed_authors"), F.max(wrong).alias("_contradicts"),
+        F.max(F.when(first, F.coalesce("_t", F.lit(False)))).alias("_translation"), F.max(F.when(first, F.coalesce("_t_year", F.lit(False)))).alias("_translation_of_year"),
+    )
+    out = citations.join(known, key, "left")
+    return out.withColumn("_document_authors", F.lit(None).cast("string")) if authors is None else out.join(authors.select("doc_id", F.col("names").alias("_document_authors")), "doc_id", "left")
+
+
+def document_authors(elements: DataFrame) -> DataFrame:
+    """(doc_id, names): the texts of a document's author lines."""
+    return elements.where("role = 'author_name'").groupBy("doc_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("text"))).alias("names"))
+
+
+def lint_citations(citations: DataFrame, refs: DataFrame, rules: dict[str, dict], authors: DataFrame | None = None) -> DataFrame:
     """Findings of the citation rules; citations inside content footnotes are held to the same ones.
 
     A citation whose only home is a footnote (form `footnote`) breaks the first
     rule; one inside a footnote that says more has another form and its part is
-    taken as text.
+    taken as text.  ``authors`` (doc_id, names) are those that a self-citation may name.
     """
-    inside = citations.where("part = 'footnote' and form <> 'footnote'")
-    stream = citations.withColumn("part", F.when((F.col("part") == "footnote") & (F.col("form") != "footnote"), F.lit("note_text")).otherwise(F.col("part")))
     scope = citation_scope()
+    citations = _with_references(citations, refs, authors)
+    in_note = (F.col("part") == "footnote") & (F.col("form") != "footnote")
+    stream = citations.withColumns({"_in_note": in_note, "part": F.when(in_note, F.lit("note_text")).otherwise(F.col("part"))})
     checks = [(r, rules[r]["target"], scope[r], check(rules[r]["need"])) for r, check in CITATION_CHECKS.items() if r in rules]
-    found = _explode(stream, "seq", checks)
     if (rule := "ER-REF-CONTENT-FOOTNOTE-001") in rules:
-        passed = found.where(F.col("rule_id").startswith("ER-CIT")).groupBy("doc_id", "seq").agg(F.min(F.col("ok").cast("int")).alias("_least"))
-        joined = inside.join(passed, ["doc_id", "seq"], "left")
-        found = found.unionByName(joined.select("doc_id", "seq", F.lit(1.0).alias("confidence"), F.lit(rule).alias("rule_id"), F.lit(rules[rule]["target"]).alias("target"), _sure(F.coalesce("_least", F.lit(1)) == 1).alias("ok")))
+        all_hold = F.lit(True)
+        for _, _, concerned, ok in checks:
+            all_hold = all_hold & (~_sure(concerned) | ok)
+        checks = [*checks, (rule, rules[rule]["target"], F.col("_in_note"), all_hold)]
+    found = _explode(stream, "seq", checks)
     if (rule := "ER-CIT-REF-FULLAUTHORS-001") in rules:
         short = citations.where(F.col("raw").rlike(r"et al\.|等")).select("doc_id", F.lower(_first_author()).alias("_name"), F.explode(F.transform("years", lambda y: F.substring(y, 1, 4))).alias("_year")).distinct()
         listed = refs.select("*", F.lower(F.get("authors", F.lit(0))["surname"]).alias("_surname"), F.col("year").cast("string").alias("_year"))
@@ -286,23 +346,27 @@ def lint_references(refs: DataFrame, rules: dict[str, dict]) -> DataFrame:
 def lint(elements: DataFrame, citations: DataFrame, refs: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, seq, confidence, rule_id, target, ok): all findings of all rules."""
     known = compiled(rules)
-    return lint_elements(elements, known).unionByName(lint_citations(citations, refs, known)).unionByName(lint_references(refs, known))
+    of_citations = lint_citations(citations, refs, known, document_authors(elements))
+    return lint_elements(elements, known).unionByName(of_citations).unionByName(lint_references(refs, known))
 
 
-def verdicts(found: DataFrame, rules: DataFrame, policy: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
-    """(doc_id, seq, rule_id, target, status, fixable), and NOT_CHECKED for rules that no document's element met.
+def verdicts(found: DataFrame, rules: DataFrame, policy: DataFrame, documents: DataFrame | None = None, confidence: float = CONFIDENCE) -> DataFrame:
+    """(doc_id, seq, rule_id, target, status, fixable), and for every document NOT_CHECKED for each rule that nothing in it met.
 
-    Under ``policy`` (effective severity and fix of each rule).  A breach of
-    order that hangs on a surname with two readings is for a person to judge.
+    Under ``policy`` (effective severity and fix of each rule).  ``documents``
+    (doc_id) are those that were linted; by default those with findings.  A breach
+    of order that hangs on a surname with two readings is for a person to judge.
+    ``fixable`` is what ``fix`` would change: policy allows it and there is a remedy.
     """
-    policy = F.broadcast(policy.select(F.col("id").alias("rule_id"), "severity", "autofix"))  # one row a rule
-    graded = found.join(policy, "rule_id")
+    effective = {r["id"]: r for r in policy.select("id", "severity", "autofix").collect()}  # configuration
+    due = F.array(*[F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["target"]).alias("_target"), F.lit(effective[r["id"]]["severity"]).alias("severity"), F.lit(effective[r["id"]]["autofix"]).alias("autofix")) for r in rules.select("id", "target").collect()])
+    documents = (found if documents is None else documents).select("doc_id").distinct()
+    expected = documents.select("doc_id", F.explode(due).alias("_r")).select("doc_id", "_r.*")
+    graded = expected.join(found, ["doc_id", "rule_id"], "left")
     doubtful = (F.col("rule_id") == "ER-REF-SORT-001") & (F.col("confidence") < confidence)
-    status = F.when((F.col("severity") == "manual_review") | (~F.col("ok") & doubtful), "MANUAL_REVIEW").when(F.col("ok"), "PASS").otherwise(F.upper("severity"))
-    fixable = ~F.col("ok") & ((F.col("autofix") == "safe") | ((F.col("autofix") == "conditional") & (F.coalesce("confidence", F.lit(0.0)) >= confidence)))
-    done = graded.select("doc_id", "seq", "rule_id", "target", status.alias("status"), fixable.alias("fixable"))
-    missing = rules.select(F.col("id").alias("rule_id"), "target").join(found.select("rule_id").distinct(), "rule_id", "left_anti")
-    return done.unionByName(missing.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("seq"), "rule_id", "target", F.lit("NOT_CHECKED").alias("status"), F.lit(False).alias("fixable")))
+    status = F.when(F.col("ok").isNull(), "NOT_CHECKED").when((F.col("severity") == "manual_review") | (~F.col("ok") & doubtful), "MANUAL_REVIEW").when(F.col("ok"), "PASS").otherwise(F.upper("severity"))
+    fixable = F.coalesce(~F.col("ok") & F.col("rule_id").isin(*FIXABLE) & allowed(F.col("autofix"), F.col("confidence"), confidence), F.lit(False))
+    return graded.select("doc_id", "seq", "rule_id", F.col("_target").alias("target"), status.alias("status"), fixable.alias("fixable"))
 
 
 def cited_name(author: Column) -> Column:

@@ -19,10 +19,13 @@ from ..operators import catalogue as ops
 from ..operators import fix as fixes
 from ..operators import lint as lints
 from ..operators import report
+from ..operators.policy import FIXABLE
 from ..operators.references import format_references, parse_references
 from ..sources import catalogue, fixtures
 from ..sources.shipped import CONFLICTS, ENUMS, REQUIRED_FIELDS, SOURCES, UNKNOWNS, shipped_files
-from . import validator
+from . import lint_sql, validator
+from .lint_sql import literal as _literal
+from .lint_sql import values as _values
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,22 +46,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _literal(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return str(value).upper()
-    if isinstance(value, (int, float)):
-        return repr(value)
-    return "'" + str(value).replace("'", "''") + "'"
-
-
-def _values(name: str, columns: str, rows) -> str:
-    """``name(columns) AS (VALUES ...)`` for a WITH clause; document ids are BIGINT."""
-    wide = [c.strip() == "doc_id" for c in columns.split(",")]
-    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(_literal(v) + '::BIGINT' * w for v, w in zip(r, wide, strict=True)) + ')' for r in rows)})"
-
-
 def _rules_sql(files) -> str:
     rows = [(f, r, json.dumps(rule, ensure_ascii=False, separators=(",", ":"), sort_keys=True)) for f, (_, data) in enumerate(files) for r, rule in enumerate(data.get("rules", []))]
     return _values("raw", "file_ord, rule_ord, j", rows)
@@ -221,43 +208,58 @@ def _policy(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return rules, ops.effective_policy(rules, ops.conflicts(spark))
 
 
-_TEXT_RULES = {
-    "ER-MS-AUTHORINFO-002": ("contact_label", "NOT contains(text, '电子邮箱')"),
-    "ER-MS-REF-PAGERANGE-001": ("reference_page_range", "NOT regexp_matches(text, '[0-9] *[-–−~～] *[0-9]')"),
-    "ER-MS-EQUATION-002": ("equation_where_paragraph", "NOT starts_with(text, '其中') OR lead = 2"),
-    "ER-MS-REF-TITLECASE-001": ("english_reference_title", "regexp_matches(text, '^[A-Z]')"),
-}
-_TEXT_SQL = " UNION ALL ".join(f"SELECT doc_id, seq, confidence, '{r}' AS rule_id, role AS target, {c} AS ok FROM e WHERE role = '{role}'" for r, (role, c) in _TEXT_RULES.items())
+_FOUND = lint_sql.found_sql()
+_TEXT_RULES = ("ER-MS-AUTHORINFO-002", "ER-MS-REF-PAGERANGE-001", "ER-MS-EQUATION-002", "ER-MS-REF-TITLECASE-001")
+_OF_TEXT = f"rule_id IN {_TEXT_RULES}"
+_FIXABLE = f"{FIXABLE}"
+#: Policy on a finding: what may be changed, and which of that has a remedy.
+_MAY = f"(autofix = 'safe' AND coalesce(confidence > 0, TRUE) OR autofix = 'conditional' AND coalesce(confidence >= 0.9, FALSE)) AND rule_id IN {_FIXABLE}"
+_POLICY_SQL = f"""{_CONFLICTS_SQL}, sides AS (SELECT a_rule_id AS rule_id, lint, autofix, effective_rule FROM conflicts UNION ALL SELECT b_rule_id, lint, autofix, effective_rule FROM conflicts),
+    policy AS (SELECT id, coalesce(s.lint, r.severity) AS severity, coalesce(s.autofix, r.autofix) AS autofix, target FROM rules r LEFT JOIN sides s ON s.rule_id = r.id AND s.rule_id IS DISTINCT FROM s.effective_rule)"""
+_VERDICTS = f"""WITH {_FOUND}, {_FLAT}, {_POLICY_SQL}, verdicts AS (
+    SELECT d.doc_id, CAST(f.seq AS INTEGER) AS seq, p.id AS rule_id, p.target, CASE WHEN ok IS NULL THEN 'NOT_CHECKED' WHEN severity = 'manual_review' OR NOT ok AND p.id = 'ER-REF-SORT-001' AND confidence < 0.9 THEN 'MANUAL_REVIEW' WHEN ok THEN 'PASS' ELSE upper(severity) END AS status,
+        coalesce(NOT ok AND {_MAY}, FALSE) AS fixable
+    FROM (SELECT DISTINCT doc_id FROM e) d CROSS JOIN policy p LEFT JOIN found f ON f.doc_id = d.doc_id AND f.rule_id = p.id)"""
+
+
+def _verdicts(spark: SparkSession) -> DataFrame:
+    """Every rule on every document of the fixture."""
+    rules, policy = _policy(spark)
+    manuscript = fixtures.manuscript(spark)
+    return lints.verdicts(lints.lint(*manuscript, rules), rules, policy, manuscript[0])
 
 
-@_query(f"WITH {_ELEMENTS_SQL} SELECT doc_id, CAST(seq AS INTEGER) AS seq, rule_id, target, ok FROM ({_TEXT_SQL})")
+@_query(f"WITH {_FOUND} SELECT doc_id, CAST(seq AS INTEGER) AS seq, rule_id, target, ok FROM found WHERE {_OF_TEXT}")
 def lint_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules on wording, over elements with the right and the wrong role."""
     found = lints.lint_elements(fixtures.manuscript(spark)[0], lints.compiled(catalogue.shipped(spark)))
     return found.where(F.col("rule_id").isin(list(_TEXT_RULES))).select("doc_id", "seq", "rule_id", "target", "ok")
 
 
-@_query(f"""WITH {_ELEMENTS_SQL}, f AS ({_TEXT_SQL}), {_FLAT} SELECT doc_id, CAST(seq AS INTEGER) AS seq, rule_id, f.target, CASE WHEN severity = 'manual_review' THEN 'MANUAL_REVIEW' WHEN ok THEN 'PASS' ELSE upper(severity) END AS status,
-    NOT ok AND (autofix = 'safe' OR autofix = 'conditional' AND confidence >= 0.9) AS fixable FROM f JOIN rules ON rule_id = id""")
+@_query(f"{_VERDICTS} SELECT * FROM verdicts WHERE {_OF_TEXT}")
 def verdicts_of_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules, policy = _policy(spark)
-    found = lints.lint_elements(fixtures.manuscript(spark)[0], lints.compiled(rules)).where(F.col("rule_id").isin(list(_TEXT_RULES)))
-    return lints.verdicts(found, rules.where(F.col("id").isin(list(_TEXT_RULES))), policy)
+    return _verdicts(spark).where(F.col("rule_id").isin(list(_TEXT_RULES)))
 
 
-@_query()
+@_query(f"WITH {_FOUND} SELECT doc_id, CAST(seq AS INTEGER) AS seq, CAST(confidence AS DOUBLE) AS confidence, rule_id, target, ok FROM found")
 def lint_manuscript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules over the whole fixture; tests hold each rule against its passing and failing rows."""
+    """All rules over the whole fixture."""
     return lints.lint(*fixtures.manuscript(spark), catalogue.shipped(spark))
 
 
-@_query(f"WITH {_FLAT} SELECT id AS rule_id, target, 'NOT_CHECKED' AS status FROM rules WHERE domain <> 'manuscript'")
+@_query(f"{_VERDICTS} SELECT * FROM verdicts")
+def verdicts_of_manuscript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every rule on every document, under the policy of open conflicts."""
+    return _verdicts(spark)
+
+
+@_query(f"WITH {_FOUND}, {_FLAT} SELECT d.doc_id, id AS rule_id, rules.target, 'NOT_CHECKED' AS status FROM (SELECT DISTINCT doc_id FROM e) d CROSS JOIN rules WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = d.doc_id AND f.rule_id = id AND f.rule_id IN {tuple(lint_sql.ELEMENT_RULES)})")
 def not_checked_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that a manuscript without citations and references leaves unchecked."""
+    """Rules that each manuscript leaves unchecked when only its elements are read."""
     rules, policy = _policy(spark)
-    elements = fixtures.manuscript(spark)[0].where("role <> 'foreign_reference_entry_layout'")
+    elements = fixtures.manuscript(spark)[0]
     found = lints.lint_elements(elements, lints.compiled(rules))
-    return lints.verdicts(found, rules, policy).where("status = 'NOT_CHECKED'").select("rule_id", "target", "status")
+    return lints.verdicts(found, rules, policy, elements).where("status = 'NOT_CHECKED'").select("doc_id", "rule_id", "target", "status")
 
 
 _REFS_SQL = _values("refs", "doc_id, ref_no, zh, name, who, year, suffix", [(r[0], r[1], r[2] == "zh" or r[3], ((r[4][0][0] + r[4][0][1]) if ord(r[4][0][0][0]) > 0x2FFF else r[4][0][0]).lower(), "|".join(",".join(a) for a in r[4]), r[5], r[6]) for r in fixtures.references()])
@@ -297,21 +299,20 @@ def fix_manuscript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixes.fix(fixtures.manuscript(spark)[0], lints.compiled(catalogue.shipped(spark))).select("doc_id", "seq", "text")
 
 
-@_query(f"""WITH {_ELEMENTS_SQL} SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE role WHEN 'contact_label' THEN 'ER-MS-AUTHORINFO-002' ELSE 'ER-MS-REF-PAGERANGE-001' END AS rule_id, 'ERROR' AS was, 'PASS' AS now FROM e
-    WHERE role = 'contact_label' AND contains(text, '电子邮箱') OR role = 'reference_page_range' AND confidence > 0 AND regexp_matches(text, '[0-9]-[0-9]')""")
+@_query(f"""WITH {_FOUND}, {_FLAT} SELECT doc_id, CAST(seq AS INTEGER) AS seq, rule_id, upper(severity) AS was, 'PASS' AS now FROM found JOIN rules ON id = rule_id WHERE NOT ok AND {_MAY}""")
 def relint_after_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second lint says of elements that were fixed: each breach that may be changed and has a remedy is gone, nothing else moved."""
     rules, policy = _policy(spark)
     known = lints.compiled(rules)
     before = fixtures.manuscript(spark)[0]
     after = fixes.fix(before, known).drop("fixed_rules")
-    first, second = (lints.verdicts(lints.lint_elements(e, known), rules, policy) for e in (before, after))
+    first, second = (lints.verdicts(lints.lint_elements(e, known), rules, policy, before) for e in (before, after))
     return fixes.relint_changes(first, second)
 
 
-@_query(f"""WITH {_ELEMENTS_SQL}, f AS ({_TEXT_SQL}), {_FLAT} SELECT rule_id, CASE WHEN severity = 'manual_review' THEN 'MANUAL_REVIEW' WHEN ok THEN 'PASS' ELSE upper(severity) END AS status, count(*) AS n,
-    CAST(count(*) FILTER (NOT ok AND (autofix = 'safe' OR autofix = 'conditional' AND confidence >= 0.9)) AS BIGINT) AS fixable FROM f JOIN rules ON rule_id = id GROUP BY 1, 2""")
+@_query(f"{_VERDICTS} SELECT rule_id, status, count(*) AS n, CAST(count(*) FILTER (fixable) AS BIGINT) AS fixable FROM verdicts GROUP BY 1, 2")
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.summary(verdicts_of_text_rules(spark, sf_dir))
+    return report.summary(_verdicts(spark))
 
 
 _LINES = [(1, 1, "张三、李四，1990a，论乙，经济学刊，1，1—9"), (1, 2, 'Smith, J.; Jones, K., 1999, "Growth and Trade", <i>Econ Rev</i>, 2, 3—8'), (1, 3, "Doe, A., 2001, On Trade, Some Press"), (1, 4, "no reference at all"), (2, 1, "王五，2020，论戊，某出版社")]

@@ -4,19 +4,21 @@
 cells, foot- and endnotes, with alignment, indents, runs, fonts, sizes, fields
 and numbering.  Run properties fall back to those of the paragraph style, its
 ancestors, and the document defaults.  ``write_docx`` writes a new file in which
-the texts of changed paragraphs are replaced in place; everything else, fields
-and equations included, is copied byte for byte.
+the changed characters are replaced where they stand, across runs if need be;
+everything else, fields and equations included, is copied byte for byte.
 
 A file that is no readable Word file gives one element of role ``unreadable``.
 """
 
 from __future__ import annotations
 
+import difflib
 import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.fix import fix
 from ..operators.lint import ELEMENTS_DDL
+from ..operators.structure import in_context, with_parts
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
@@ -164,38 +167,104 @@ def classify(elements: DataFrame) -> DataFrame:
     return elements.withColumns({"role": role, "confidence": sure})
 
 
-def write_docx(content: bytes, changes: dict[str, str]) -> bytes:
-    """A new file in which texts of single runs are replaced: old text -> new text; other bytes of all parts stay."""
+def _texts_of(data: bytes) -> list[list[tuple[int, int, str]]]:
+    """For each paragraph, in document order, (first byte, end byte, characters) of its text nodes."""
+    word = _W.strip("{}")
+    paragraphs: list[list[tuple[int, int, str]]] = []
+    within: list[int] = []
+    node: dict = {}
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.buffer_text = True
+
+    def begin(name: str, _: dict) -> None:
+        if name == f"{word}}}p":
+            within.append(len(paragraphs))
+            paragraphs.append([])
+        elif name == f"{word}}}t":
+            node.update(at=data.index(b">", parser.CurrentByteIndex) + 1, text="")
+
+    def characters(text: str) -> None:
+        if node:
+            node["text"] += text
+
+    def end(name: str) -> None:
+        if name == f"{word}}}p":
+            within.pop()
+        elif name == f"{word}}}t":
+            if node["text"]:
+                for k in within:
+                    paragraphs[k].append((node["at"], parser.CurrentByteIndex, node["text"]))
+            node.clear()
+
+    parser.StartElementHandler, parser.CharacterDataHandler, parser.EndElementHandler = begin, characters, end
+    parser.Parse(data, True)
+    return paragraphs
+
+
+def _edited(texts: list[str], old: str, new: str) -> list[str]:
+    """The text nodes of a paragraph after its last ``old`` has become ``new``; only differing characters move."""
+    at = "".join(texts).rfind(old)
+    if at < 0:
+        return texts
+    for kind, i, j, k, m in reversed(difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes()):
+        if kind == "equal":
+            continue
+        begin, end, put, out = at + i, at + j, new[k:m], []
+        first = 0
+        for text in texts:
+            a, b = max(0, min(len(text), begin - first)), max(0, min(len(text), end - first))
+            here = first <= begin < first + len(text) or (begin == first + len(text) and text is texts[-1])
+            out.append(text[:a] + put + text[b:] if here else text[:a] + text[b:])
+            put = "" if here else put
+            first += len(text)
+        texts = out
+    return texts
+
+
+def write_docx(content: bytes, changes: dict[int, list[tuple[str, str]]]) -> bytes:
+    """A new file in which (old, new) words of paragraphs, named by ``seq``, are exchanged; all other bytes of all parts stay."""
     source, target = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO()
     escape = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    present = [name for name in _PARTS if name in source.namelist()]
+    seq, edited = 0, {}
+    for name in present:
+        data = source.read(name)
+        put: dict[tuple[int, int], str] = {}
+        for nodes in _texts_of(data):
+            texts = [t for _, _, t in nodes]
+            for old, new in changes.get(seq, []):
+                texts = _edited(texts, old, new)
+            put |= {(a, b): now for (a, b, was), now in zip(nodes, texts, strict=True) if now != was}
+            seq += 1
+        for (a, b), now in sorted(put.items(), reverse=True):
+            data = data[:a] + escape(now).encode("utf-8") + data[b:]
+        edited[name] = data
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for item in source.infolist():
-            data = source.read(item.filename)
-            if item.filename in _PARTS:
-                text = data.decode("utf-8")
-                for old, new in changes.items():
-                    text = re.sub(rf"(<w:t(?: [^>]*)?>){re.escape(escape(old))}(</w:t>)", lambda m, n=new: m[1] + escape(n) + m[2], text)
-                data = text.encode("utf-8")
-            out.writestr(item, data)
+            out.writestr(item, edited.get(item.filename, None) if item.filename in edited else source.read(item.filename))
     return target.getvalue()
 
 
 def fixed_files(spark: SparkSession, path: str, rules: dict[str, dict]) -> DataFrame:
-    """(path, content, changed): all Word files below a path with safe fixes of texts applied.
+    """(path, content, changed): all Word files below a path with the fixes of texts applied.
 
-    Nothing is written: the caller stores ``content`` under a new name.  Texts of
-    paragraphs that are one run are replaced; others keep their runs and are left
-    to a person.
+    Nothing is written: the caller stores ``content`` under a new name.  Fixes of
+    layout stay in the elements; a text that holds a tab is left to a person.
     """
-    elements = classify(read_docx(spark, path)).withColumn("_was", F.col("text"))
-    single = (F.size("fixed_rules") > 0) & (F.size("runs") == 1)
-    changes = fix(elements, rules).where(single).groupBy("doc_id").agg(F.collect_set(F.struct("_was", "text")).alias("changes"))
+    elements = with_parts(in_context(classify(read_docx(spark, path)))).withColumn("_was", F.col("text"))
+    fixed = fix(elements, rules).where("_was <> text")
+    changes = fixed.groupBy("doc_id").agg(F.collect_set(F.struct("seq", "_was", "text")).alias("changes"))
 
     @F.pandas_udf("binary")
     def rewritten(content: pd.Series, found: pd.Series) -> pd.Series:
-        pairs = [{x["_was"]: x["text"] for x in y} if y is not None else {} for y in found]
-        return pd.Series([write_docx(c, p) if p else c for c, p in zip(content, pairs, strict=True)])
+        out = []
+        for data, rows in zip(content, found, strict=True):
+            by_seq: dict[int, list[tuple[str, str]]] = {}
+            for x in sorted(rows, key=lambda x: (x["seq"], x["_was"])) if rows is not None else []:
+                by_seq.setdefault(int(x["seq"]), []).append((x["_was"], x["text"]))
+            out.append(write_docx(data, by_seq) if by_seq else data)
+        return pd.Series(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select(F.xxhash64("path").alias("doc_id"), "path", "content")
     joined = files.join(changes, "doc_id", "left")
-    return joined.select("path", rewritten("content", F.coalesce("changes", F.expr("cast(array() as array<struct<_was:string,text:string>>)"))).alias("content"), F.col("changes").isNotNull().alias("changed"))
+    return joined.select("path", rewritten("content", F.coalesce("changes", F.expr("cast(array() as array<struct<seq:int,_was:string,text:string>>)"))).alias("content"), F.col("changes").isNotNull().alias("changed"))

@@ -56,7 +56,7 @@ def elements() -> list[tuple]:
     rows = [
         _element(0, "title", align="center", runs=r("宋体", 16.0)), _element(1, "title", align="left", runs=r("宋体", 16.0)),
         _element(2, "title_author_info_marker", "题目*"), _element(3, "title_author_info_marker", "题目"),
-        _element(4, "author_name", align="center", runs=r("宋体", 12.0)), _element(5, "author_name", align="center", runs=r("宋体", 14.0)),
+        _element(4, "author_name", "李四", align="center", runs=r("宋体", 12.0)), _element(5, "author_name", "张三", align="center", runs=r("宋体", 14.0)),
         _element(6, "author_information_footnote", "* 作者", part="footnote"), _element(7, "author_information_footnote", "某校", part="footnote", runs=r("黑体", 7.5)),
         _element(8, "contact_label", "电子信箱：a@b"), _element(9, "contact_label", "电子邮箱：a@b"), _element(10, "body", "电子邮箱：a@b", runs=r("宋体", 10.5)),
         _element(11, "abstract", runs=r("仿宋", 10.5)), _element(12, "abstract", runs=r("宋体", 10.5)),
@@ -78,13 +78,15 @@ def elements() -> list[tuple]:
         _element(45, "english_reference_journal_name", runs=[_run("Journal", italic=True)]), _element(46, "english_reference_journal_name", runs=[_run("Journal")]),
         _element(47, "reference_page_range", "3-4", confidence=0.0), _element(48, "foreign_reference_entry_layout", "Smith, J., 2001, Title"), _element(49, "foreign_reference_entry_layout", "Smith J. 2001"),
         _element(50, "title", part="footnote", text="* 注", doc=2, align="center", runs=r("宋体", 15.0)),
+        _element(60, "heading_level_1", doc=3, align="center", runs=r("宋体", 14.0)), _element(61, "heading_numbering", "1. 题", style="heading3", doc=3), _element(62, "heading_numbering", "（1）题", style="heading4", doc=3),
+        _element(63, "table_text", doc=3, parent=63, runs=r("仿宋", 7.5)),
     ]
     return rows
 
 
 def citations() -> list[tuple]:
     """(doc_id, part, seq, cite_no, form, lang, authors, years, pages, raw)"""
-    c = lambda seq, form, lang, authors, years, raw, part="body": (1, part, seq, seq, form, lang, authors, years, None, raw)
+    c = lambda seq, form, lang, authors, years, raw, part="body", doc=1: (doc, part, seq, seq, form, lang, authors, years, None, raw)
     return [
         c(0, "parenthetical", "zh", ["张三"], ["1990"], "（张三，1990）"), c(1, "parenthetical", "zh", [], ["1990"], "（1990）"), c(2, "footnote", "zh", ["张三"], ["1990"], "张三，1990", "footnote"),
         c(3, "narrative", "zh", ["张三"], ["1990"], "张三（1990）"), c(4, "narrative", "zh", ["张三"], ["1990"], "张三（张三，1990）"),
@@ -96,10 +98,12 @@ def citations() -> list[tuple]:
         c(15, "original", "en", ["Smith"], ["1999"], "（Smith，1999）"), c(16, "original", "en", ["史密斯"], ["1999"], "（史密斯，1999）"),
         c(17, "mixed", "mixed", ["张三", "Smith"], ["1990", "1999"], "（张三，1990；Smith，1999）"), c(18, "mixed", "mixed", ["张三", "史密斯"], ["1990", "1999"], "（张三，1990；史密斯，1999）"),
         c(19, "narrative", "en", ["Smith", "Jones"], ["2001"], "Smith & Jones (2001)"), c(20, "narrative", "en", ["Smith", "Jones"], ["2001"], "Smith and Jones (2001)"),
-        c(21, "narrative", "en", ["Wang", "Li", "Xu"], ["2013"], "Wang et al. (2013)"), c(22, "narrative", "en", ["Wang", "Li", "Xu"], ["2013"], "Wang, Li & Xu (2013)"),
+        c(21, "narrative", "en", ["Wang"], ["2013"], "Wang et al. (2013)"), c(22, "narrative", "en", ["Wang", "Li", "Xu"], ["2013"], "Wang, Li & Xu (2013)"),
         c(23, "narrative", "zh", ["张三", "李四"], ["2020"], "张三和李四（2020）"), c(24, "narrative", "zh", ["张三", "李四"], ["2020"], "张三、李四（2020）"),
-        c(25, "narrative", "zh", ["张三", "李四", "王五"], ["2020"], "张三等（2020）"), c(26, "narrative", "zh", ["张三", "李四", "王五"], ["2020"], "张三、李四、王五（2020）"),
+        c(25, "narrative", "zh", ["张三"], ["2020"], "张三等（2020）"), c(26, "narrative", "zh", ["张三", "李四", "王五"], ["2020"], "张三、李四、王五（2020）"),
         c(27, "narrative", "zh", ["张三"], ["1990"], "张三（1990）", "footnote"), c(28, "parenthetical", "zh", [], ["1990"], "（1990）", "footnote"),
+        c(30, "narrative", "zh", ["张三"], ["2020"], "张三等（2020）", doc=3), c(31, "self", "zh", ["王五"], ["2001"], "（王五，2001）"), c(32, "translation", "zh", ["斯密"], ["1973"], "（斯密，1973）"),
+        c(33, "mixed", "mixed", ["张三", "Smith"], ["1990", "1972"], "（张三，1990；Smith，1972）"), c(34, "narrative", "zh", ["张三"], ["2020"], "张三（2020）", doc=3), c(35, "self", "zh", ["王五"], ["2001"], "（王五，2001）", doc=3),
     ]
 
 
@@ -119,6 +123,7 @@ def references() -> list[tuple]:
         z(9, [("王", "五")], 2020, "论戊", "王五，2020，论戊，经济学刊，1，1—9"),
         f(10, [("Wang", "B."), ("Li", "C."), ("Xu", "D.")], 2013, "Of Trees", "article", "Econ Rev", 'Wang, B., C. Li and D. Xu, 2013, "Of Trees", <i>Econ Rev</i>, 2, 3—8'),
         z(11, [("张", "三等")], 2020, "论己", "张三等，2020，论己，经济学刊，1，1—9"),
+        z(12, [("张", "三"), ("李", "四"), ("王", "五")], 2020, "论壬", "张三、李四、王五，2020，论壬，经济学刊，1，1—9", doc=3),
         z(1, [("单", "一")], 2000, "论庚", "单一，2000，论庚，经济学刊，1，1—9", doc=2),
         z(2, [("丁", "二")], 2000, "论辛", "丁二，2000，论辛，经济学刊，1，1—9", doc=2),
     ]
