@@ -49,6 +49,12 @@ def test_entry_stands_without_the_optional_operators(tmp_path):
     assert out == [str(len(rules.QUERIES)), str(len(rules.ORACLE_SQL))]
 
 
+def test_a_missing_dependency_of_theirs_is_no_silence():
+    hide = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    out = subprocess.run([sys.executable, "-c", hide], cwd=ROOT, capture_output=True, text=True, check=False)
+    assert not os.path.isdir(f"{ROOT}/rulewright/llm") or (out.returncode and "xxhash" in out.stderr)
+
+
 def test_nothing_else_imports_the_optional_operators():
     for path in glob.glob(f"{ROOT}/rulewright/**/*.py", recursive=True):
         if "/llm/" not in path:
