@@ -145,6 +145,30 @@ def test_plan_uses_every_piece_once_and_fits(counts):
     assert sum(f.bins for f in fills) <= sum(-(-n * c // 32) for n, c in counts.items()) + 1  # best fit leaves no two bins half empty
 
 
+def least_bins(lengths, capacity):
+    """The fewest sequences for a few pieces, by dynamic programming over subsets: (sequences, tokens in the last one)."""
+    best = {0: (1, 0)}
+    for mask in range(1, 1 << len(lengths)):
+        options = []
+        for k, n in enumerate(lengths):
+            if mask >> k & 1:
+                bins, used = best[mask ^ 1 << k]
+                options.append((bins, used + n) if used + n <= capacity else (bins + 1, n))
+        best[mask] = min(options)
+    return best[(1 << len(lengths)) - 1][0] if lengths else 0
+
+
+def test_plans_are_close_to_the_fewest_sequences():
+    import random
+
+    rng, excess = random.Random(3), []
+    for _ in range(150):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 10))]
+        counts = {n: lengths.count(n) for n in lengths}
+        excess.append(sum(f.bins for f in packing.plan_bins(counts, 20)) - least_bins(lengths, 20))
+    assert min(excess) == 0 and max(excess) <= 1 and sum(excess) <= 12
+
+
 def test_complements_fill_exactly():
     assert sum(f.bins for f in packing.plan_bins({60: 5, 40: 5, 55: 4, 25: 4, 20: 4, 50: 3, 30: 3, 15: 3, 5: 3}, 100)) == 12
 
