@@ -2,12 +2,13 @@
 
 Nothing outside this subpackage imports it.  Three concerns live here:
 
-* ``prepare(spark)`` sends this package to the executors; no setting of the
-  session is changed.  Spark bounds an Arrow batch in bytes, and ``map_arrow``
-  works through it in slices of few rows, so very long texts fit a worker;
+* ``prepare(spark)`` sends this package to the executors;
 * ``stored(df, name)`` cuts lineage by writing a table below the folder named by
   ``spark.checkpoint.dir`` and reading it back.  The files are shared, so the
-  loss of an executor never costs more than the running stage;
+  loss of an executor never costs more than the running stage.  While a table is
+  written, Arrow batches are small; the session's setting is put back after it.
+  Elsewhere Spark bounds a batch in bytes, and ``map_arrow`` works through it in
+  slices of few rows, so very long texts fit a worker;
 * small vectorised hash helpers used by several operators.
 """
 
@@ -19,6 +20,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -38,6 +40,8 @@ MEMO_KEY_CHARS = 48
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _shipped: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_batches = threading.Lock()
+_small: dict[str, tuple[int, str]] = {}
 _scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
@@ -85,11 +89,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH_ROWS`` inside; the last of several that overlap puts the setting back."""
+    key, session = "spark.sql.execution.arrow.maxRecordsPerBatch", str(spark._jsparkSession.sessionUUID())
+    with _batches:
+        inside, before = _small.get(session, (0, spark.conf.get(key)))
+        _small[session] = (inside + 1, before)
+        spark.conf.set(key, str(BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before))))
+    try:
+        yield
+    finally:
+        with _batches:
+            inside, before = _small.pop(session)
+            if inside > 1:
+                _small[session] = (inside - 1, before)
+            else:
+                spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

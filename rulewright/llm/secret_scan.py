@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, prepare, scratch_path, stored, text_column
+from .common import map_arrow, prepare, scratch_path, small_batches, stored, text_column
 
 #: Fixed by the contract: kind -> pattern, group that is measured, least length of it.
 KINDS = ("assign", "access", "hex")
@@ -124,7 +124,8 @@ class BlobLedger:
         here = addressed.join(stored(unseen, "unseen"), mark == F.col("_mark"), "left_semi")
         # marks choose the texts; that a pair enters once is settled on the blobs themselves, without texts
         found = scan_blobs(here, rule_version).dropDuplicates(["blob"]).join(known, "blob", "left_anti")
-        found.select(*[c.split()[0] for c in LEDGER_DDL.split(", ")]).write.mode("append").partitionBy("rule_version").parquet(self.path)
+        with small_batches(self.spark):
+            found.select(*[c.split()[0] for c in LEDGER_DDL.split(", ")]).write.mode("append").partitionBy("rule_version").parquet(self.path)
         return paths
 
     def scan(self, versions: DataFrame, key_cols: list[str], text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:

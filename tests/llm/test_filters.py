@@ -64,6 +64,20 @@ def test_texts_that_are_known_are_not_read_by_the_rules(spark, monkeypatch):
     assert scanned[0][0] == 1 and "BroadcastHashJoin" in scanned[0][1] and "ShuffleExchange" not in scanned[0][1] and "hashpartitioning" not in scanned[0][1]
 
 
+def test_settings_of_the_session_are_left_as_they_were(spark, edge_docs):
+    from rulewright.llm import common, minhash_dedup
+
+    before = {r.key: r.value for r in spark.sql("SET").collect()}
+    with common.small_batches(spark), common.small_batches(spark):
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(common.BATCH_ROWS)
+        minhash_dedup.near_duplicates(edge_docs).count()
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(common.BATCH_ROWS)
+    after = {r.key: r.value for r in spark.sql("SET").collect()}
+    assert after.pop("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    before.pop("spark.sql.execution.arrow.maxRecordsPerBatch", None)
+    assert after == before
+
+
 def test_intermediate_tables_can_be_swept(spark):
     from rulewright.llm.common import scratch_dir, stored, sweep
 
