@@ -16,7 +16,8 @@ import difflib
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from xml.etree import ElementTree
 from xml.parsers import expat
 
@@ -72,18 +73,18 @@ def _paragraph(node, defaults: dict, styles: dict, numbering: str | None) -> dic
     props = node.find(f"{_W}pPr")
     style_id = _value(props, "pStyle")
     style = styles.get(style_id, {})
-    runs, text, field = [], "", None
+    runs, text, field_kind = [], "", None
     for run in node.iter(f"{_W}r"):
         mark = run.find(f"{_W}fldChar")
         if mark is not None:
-            field = None if mark.get(f"{_W}fldCharType") == "end" else field or "field"
+            field_kind = None if mark.get(f"{_W}fldCharType") == "end" else field_kind or "field"
         code = run.find(f"{_W}instrText")
         if code is not None and code.text:
-            field = code.text.split()[0] if code.text.split() else "field"
+            field_kind = code.text.split()[0] if code.text.split() else "field"
         piece = "".join("\t" if t.tag == f"{_W}tab" else t.text or "" for t in run if t.tag in (f"{_W}t", f"{_W}tab"))
         if piece:
             own = defaults | style | _run_properties(run.find(f"{_W}rPr"))
-            runs.append({"text": piece} | {k: own.get(k) for k in _RUN_FIELDS} | {"field_kind": field})
+            runs.append({"text": piece} | {k: own.get(k) for k in _RUN_FIELDS} | {"field_kind": field_kind})
             text += piece
     indent = props.find(f"{_W}ind") if props is not None else None
     chars = indent.get(f"{_W}firstLineChars") if indent is not None else None
@@ -167,33 +168,46 @@ def classify(elements: DataFrame) -> DataFrame:
     return elements.withColumns({"role": role, "confidence": sure})
 
 
-def _texts_of(data: bytes) -> list[list[tuple[int, int, str]]]:
-    """For each paragraph, in document order, (first byte, end byte, characters) of its text nodes."""
+@dataclass
+class _Place:
+    """Where a paragraph stands in the bytes of its part: its text nodes, its end (none if it is empty), and the prefix of its tags."""
+
+    prefix: bytes
+    texts: list[tuple[int, int, str]] = field(default_factory=list)
+    end: int | None = None
+
+
+def _places(data: bytes) -> list[_Place]:
+    """The paragraphs of a part in document order."""
     word = _W.strip("{}")
-    paragraphs: list[list[tuple[int, int, str]]] = []
-    within: list[int] = []
+    paragraphs: list[_Place] = []
+    within: list[_Place] = []
     node: dict = {}
     parser = expat.ParserCreate(namespace_separator="}")
     parser.buffer_text = True
 
     def begin(name: str, _: dict) -> None:
+        at = parser.CurrentByteIndex
         if name == f"{word}}}p":
-            within.append(len(paragraphs))
-            paragraphs.append([])
+            tag = re.match(rb"<([^\s/>]*)p[\s/>]", data[at : at + 80])
+            within.append(_Place(tag[1] if tag else b""))
+            paragraphs.append(within[-1])
         elif name == f"{word}}}t":
-            node.update(at=data.index(b">", parser.CurrentByteIndex) + 1, text="")
+            node.update(at=data.index(b">", at) + 1, text="")
 
     def characters(text: str) -> None:
         if node:
             node["text"] += text
 
     def end(name: str) -> None:
+        at = parser.CurrentByteIndex
         if name == f"{word}}}p":
-            within.pop()
+            place = within.pop()
+            place.end = at if data[at : at + 2] == b"</" else None
         elif name == f"{word}}}t":
             if node["text"]:
-                for k in within:
-                    paragraphs[k].append((node["at"], parser.CurrentByteIndex, node["text"]))
+                for place in within:
+                    place.texts.append((node["at"], at, node["text"]))
             node.clear()
 
     parser.StartElementHandler, parser.CharacterDataHandler, parser.EndElementHandler = begin, characters, end
@@ -201,6 +215,29 @@ def _texts_of(data: bytes) -> list[list[tuple[int, int, str]]]:
     return paragraphs
 
 
+def _escaped(text: str) -> bytes:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").encode("utf-8")
+
+
+def _rewritten(content: bytes, edit: Callable[[int, _Place], dict[tuple[int, int], bytes]]) -> bytes:
+    """A copy of a file in which ``edit`` of (seq, paragraph) says what comes in the place of which bytes."""
+    source, target = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO()
+    seq, edited = 0, {}
+    for name in (n for n in _PARTS if n in source.namelist()):
+        data = source.read(name)
+        put: dict[tuple[int, int], bytes] = {}
+        for place in _places(data):
+            put |= edit(seq, place)
+            seq += 1
+        for (a, b), now in sorted(put.items(), reverse=True):
+            data = data[:a] + now + data[b:]
+        edited[name] = data
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for item in source.infolist():
+            out.writestr(item, edited[item.filename] if item.filename in edited else source.read(item.filename))
+    return target.getvalue()
+
+
 def _edited(texts: list[str], old: str, new: str) -> list[str]:
     """The text nodes of a paragraph after its last ``old`` has become ``new``; only differing characters move."""
     at = "".join(texts).rfind(old)
@@ -223,26 +260,46 @@ def _edited(texts: list[str], old: str, new: str) -> list[str]:
 
 def write_docx(content: bytes, changes: dict[int, list[tuple[str, str]]]) -> bytes:
     """A new file in which (old, new) words of paragraphs, named by ``seq``, are exchanged; all other bytes of all parts stay."""
-    source, target = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO()
-    escape = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    present = [name for name in _PARTS if name in source.namelist()]
-    seq, edited = 0, {}
-    for name in present:
-        data = source.read(name)
-        put: dict[tuple[int, int], str] = {}
-        for nodes in _texts_of(data):
-            texts = [t for _, _, t in nodes]
-            for old, new in changes.get(seq, []):
-                texts = _edited(texts, old, new)
-            put |= {(a, b): now for (a, b, was), now in zip(nodes, texts, strict=True) if now != was}
-            seq += 1
-        for (a, b), now in sorted(put.items(), reverse=True):
-            data = data[:a] + escape(now).encode("utf-8") + data[b:]
-        edited[name] = data
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for item in source.infolist():
-            out.writestr(item, edited.get(item.filename, None) if item.filename in edited else source.read(item.filename))
-    return target.getvalue()
+
+    def edit(seq: int, place: _Place) -> dict[tuple[int, int], bytes]:
+        was = now = [t for _, _, t in place.texts]
+        for old, new in changes.get(seq, []):
+            now = _edited(now, old, new)
+        return {(a, b): _escaped(n) for (a, b, _), w, n in zip(place.texts, was, now, strict=True) if n != w}
+
+    return _rewritten(content, edit)
+
+
+def mark_docx(content: bytes, notes: dict[int, list[str]]) -> bytes:
+    """A new file in which each note stands in red at the end of its paragraph; all other bytes stay."""
+
+    def edit(seq: int, place: _Place) -> dict[tuple[int, int], bytes]:
+        if seq not in notes or place.end is None:
+            return {}
+        w = place.prefix
+        text = _escaped(" " + " ".join(f"[{n}]" for n in notes[seq]))
+        run = b"<%br><%brPr><%bcolor %bval=\"FF0000\"/></%brPr><%bt xml:space=\"preserve\">%b</%bt></%br>" % (w, w, w, w or b"w:", w, w, text, w, w)
+        return {(place.end, place.end): run}
+
+    return _rewritten(content, edit)
+
+
+def marked_files(spark: SparkSession, path: str, verdicts: DataFrame) -> DataFrame:
+    """(path, content): all Word files below a path, with what ``verdicts`` holds against a paragraph written behind it.
+
+    ``verdicts`` (doc_id, seq, rule_id, status) are of elements; findings on the
+    list of references and on citations have numbers of their own and stay in the reports.
+    """
+    bad = verdicts.where("seq is not null and status in ('ERROR', 'WARNING', 'MANUAL_REVIEW') and rule_id like 'ER-MS%'")
+    notes = bad.groupBy("doc_id", "seq").agg(F.sort_array(F.collect_set(F.concat_ws(" ", "status", "rule_id"))).alias("notes")).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "notes")).alias("all"))
+
+    @F.pandas_udf("binary")
+    def marked(content: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([mark_docx(c, {int(x["seq"]): list(x["notes"]) for x in f}) if len(f) else c for c, f in zip(content, found, strict=True)])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select(F.xxhash64("path").alias("doc_id"), "path", "content")
+    none = F.expr("cast(array() as array<struct<seq:int,notes:array<string>>>)")
+    return files.join(notes, "doc_id", "left").select("path", marked("content", F.coalesce("all", none)).alias("content"))
 
 
 def fixed_files(spark: SparkSession, path: str, rules: dict[str, dict]) -> DataFrame:

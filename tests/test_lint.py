@@ -1,4 +1,5 @@
 import io
+import re
 import zipfile
 
 import pytest
@@ -228,6 +229,19 @@ def test_page_ranges_are_fixed_across_runs(spark, rules, paper):
     assert after == before.replace("<w:t>-9<", "<w:t>—9<").replace(", 2, 3-8", ", 2, 3—8") and row.changed
 
 
+def test_findings_are_written_into_a_copy(spark, rules, paper):
+    elements, citations, refs = structure.manuscript(docx.classify(docx.read_docx(spark, str(paper))))
+    known = lint.lint(elements, citations, refs, rules)
+    verdicts = lint.verdicts(known, rules, ops.effective_policy(rules, ops.conflicts(spark)))
+    row = docx.marked_files(spark, str(paper), verdicts).first()
+    old, new = (zipfile.ZipFile(io.BytesIO(c)).read("word/document.xml").decode() for c in ((paper / "paper.docx").read_bytes(), bytes(row.content)))
+    notes = re.findall(r'<w:r><w:rPr><w:color w:val="FF0000"/></w:rPr><w:t xml:space="preserve">[^<]*</w:t></w:r>', new)
+    assert len(notes) > 4 and any("ERROR ER-MS-REF-PAGERANGE-001" in n for n in notes)
+    for n in notes:
+        new = new.replace(n, "", 1)
+    assert new == old
+
+
 def test_edits_move_only_what_differs():
     assert docx._edited(["ab", "cd", "ef"], "bcde", "bXe") == ["ab", "X", "ef"]
     assert docx._edited(["1", "-", "2 1-2"], "1-2", "1—2") == ["1", "-", "2 1—2"] and docx._edited(["a"], "x", "y") == ["a"]
