@@ -27,7 +27,7 @@ _YEAR = r"([12][0-9]{3}[a-z]?)"
 
 
 def in_context(elements: DataFrame) -> DataFrame:
-    """Roles that hang on the paragraphs before: author lines behind the title, entries behind the list's heading."""
+    """What hangs on the paragraphs before: author lines behind the title, entries behind the list's heading, the figure of a caption."""
     before = W.partitionBy("doc_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     own, text = F.col("role"), F.trim(F.coalesce("text", F.lit("")))
     plain = (F.col("part") == "body") & (own == "body")
@@ -37,6 +37,7 @@ def in_context(elements: DataFrame) -> DataFrame:
     author = plain & (last == "title") & (F.length(text) <= 40) & ~text.rlike("[。.]$")
     return elements.withColumns({"_entry": entry, "_author": F.coalesce(author, F.lit(False))}).withColumns({
         "role": F.when(F.col("_entry"), F.lit("reference_entry")).when(F.col("_author"), F.lit("author_name")).otherwise(own),
+        "parent_seq": F.when(own == "figure_caption", F.last(F.when(own == "figure", F.col("seq")), ignorenulls=True).over(before)).otherwise(F.col("parent_seq")),
         "confidence": F.when(F.col("_entry"), F.lit(0.9)).when(F.col("_author"), F.lit(0.8)).otherwise(F.col("confidence")),
     }).drop("_entry", "_author")
 
@@ -75,7 +76,7 @@ def with_parts(elements: DataFrame) -> DataFrame:
         F.struct(role.alias("role"), F.col("confidence").alias("confidence"), text.alias("text"), runs.alias("runs")),
         part(role == "title", "title_author_info_marker"),
         part(F.col("_first_note"), "ordinary_footnote_numbering"),
-        part(text.rlike("[A-Za-z0-9]") & ~role.isin("unreadable", "empty"), "latin_letters_and_digits"),
+        part(text.rlike("[A-Za-z0-9]") & ~role.isin("unreadable", "empty", "hyperlink", "bookmark", "section"), "latin_letters_and_digits"),
         part((role == "reference_entry") & text.rlike(_RANGE), "reference_page_range", F.regexp_extract(text, _RANGE, 1)),
         part(foreign, "foreign_reference_entry_layout"),
         part(F.length("_names") > 0, "english_reference_authors", F.col("_names"), sure=F.lit(0.8)),

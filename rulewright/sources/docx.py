@@ -103,7 +103,8 @@ def _paragraph(node, defaults: dict, styles: dict, numbering: str | None) -> dic
 
 
 def elements_of(content: bytes, doc_id: int) -> list[dict]:
-    """The elements of one file, in document order; ``role`` is left to the classifier."""
+    """The elements of one file: paragraphs in document order, whose ``role`` is left to the classifier, then the
+    hyperlinks, bookmarks and sections, whose ``parent_seq`` is the paragraph they stand in."""
     blank = {"doc_id": doc_id, "confidence": None, "page_no": None, "parent_seq": None}
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
@@ -112,6 +113,7 @@ def elements_of(content: bytes, doc_id: int) -> list[dict]:
     except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, EOFError):
         return [blank | {"part": "file", "seq": 0, "role": "unreadable", "text": None, "para": None, "runs": [], "obj": None}]
     out: list[dict] = []
+    marks: list[dict] = []
     for part, root in roots.items():
         restart = next((n.get(f"{_W}val") for n in roots["body"].iter(f"{_W}numRestart")), None) if "body" in roots else None
         restart = {"eachPage": "each_page", "eachSect": "each_section"}.get(restart, restart) if part == "footnote" else None
@@ -122,7 +124,19 @@ def elements_of(content: bytes, doc_id: int) -> list[dict]:
             table = in_table.get(node)
             parent = first_of.setdefault(table, seq) if table else None
             out.append(blank | {"part": "table" if table else part, "seq": seq, "role": None, "parent_seq": parent} | _paragraph(node, defaults, styles, restart))
-    return out
+            marks += [blank | {"part": kind, "role": kind, "text": text, "parent_seq": seq, "para": None, "runs": [], "obj": None} for kind, text in _marks(node)]
+        marks += [blank | {"part": "section", "role": "section", "text": None, "parent_seq": None, "para": None, "runs": [], "obj": None} for _ in root.findall(f"{_W}body/{_W}sectPr")]
+    return out + [m | {"seq": len(out) + k} for k, m in enumerate(marks)]
+
+
+def _marks(node) -> Iterator[tuple[str, str | None]]:
+    """(kind, text) of what a paragraph holds besides its text: hyperlinks, bookmarks, the end of a section."""
+    for link in node.iter(f"{_W}hyperlink"):
+        yield "hyperlink", "".join(t.text or "" for t in link.iter(f"{_W}t"))
+    for mark in node.iter(f"{_W}bookmarkStart"):
+        yield "bookmark", mark.get(f"{_W}name")
+    for _ in node.iter(f"{_W}sectPr"):
+        yield "section", None
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +155,7 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 def _role_rules() -> list[tuple[str, float, Column]]:
     style, text, part = F.lower(F.coalesce("para.style_id", F.lit(""))), F.trim(F.coalesce("text", F.lit(""))), F.col("part")
     return [
-        ("unreadable", 1.0, F.coalesce(F.col("role") == "unreadable", F.lit(False))),
+        *[(kind, 1.0, F.coalesce(F.col("role") == kind, F.lit(False))) for kind in ("unreadable", "hyperlink", "bookmark", "section")],
         ("ordinary_footnote_text", 0.95, part.isin("footnote", "endnote") & ~text.startswith("*")),
         ("author_information_footnote", 0.9, part.isin("footnote", "endnote")),
         ("table_text", 0.95, part == "table"),

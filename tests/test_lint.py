@@ -164,6 +164,17 @@ def test_word_files(spark, word_file):
     assert [x.runs[0].field_kind for x in rows if x.text == "（张三，1990）"] == ["ADDIN"]
 
 
+def test_links_bookmarks_sections_and_captions(spark, tmp_path):
+    drawing = "<w:p><w:r><w:drawing/></w:r></w:p>"
+    link = '<w:p><w:bookmarkStart w:name="here"/><w:r><w:t>see </w:t></w:r><w:hyperlink><w:r><w:t>this</w:t></w:r></w:hyperlink></w:p>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{drawing}<w:p><w:r><w:t>图1 题</w:t></w:r></w:p>{link}<w:p><w:pPr><w:sectPr/></w:pPr></w:p><w:sectPr/></w:body></w:document>")
+    rows = structure.in_context(docx.classify(docx.read_docx(spark, str(tmp_path)))).orderBy("seq").collect()
+    assert [(r.role, r.parent_seq) for r in rows if r.role in ("figure", "figure_caption")] == [("figure", None), ("figure_caption", 0)]
+    assert [(r.seq, r.role, r.text, r.parent_seq) for r in rows if r.seq >= 4] == [(4, "hyperlink", "this", 2), (5, "bookmark", "here", 2), (6, "section", None, 3), (7, "section", None, None)]
+    assert rows[2].text == "see this"
+
+
 def test_word_files_are_changed_in_place(word_file):
     before = word_file.read_bytes()
     after = zipfile.ZipFile(io.BytesIO(docx.write_docx(before, {1: [("电子邮箱：a&b", "电子信箱：a&b")]})))
