@@ -69,7 +69,29 @@ def _styles(archive: zipfile.ZipFile) -> tuple[dict, dict]:
     return defaults, {s: resolve(s) for s in raw}
 
 
-def _paragraph(node, defaults: dict, styles: dict, numbering: str | None) -> dict:
+def color_mode(image: bytes) -> str | None:
+    """What an image file can hold by its header: `black_and_white` for one channel of grey, else `color`; null if unknown."""
+    if image[:8] == b"\x89PNG\r\n\x1a\n" and len(image) > 25:
+        return "black_and_white" if image[25] in (0, 4) else "color"
+    at = 2
+    while image[:2] == b"\xff\xd8" and at + 9 < len(image) and image[at] == 0xFF:
+        kind, size = image[at + 1], int.from_bytes(image[at + 2 : at + 4], "big")
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # the frame's header names its components
+            return "black_and_white" if image[at + 9] == 1 else "color"
+        at += 2 + size
+    return None
+
+
+def _images(archive: zipfile.ZipFile) -> dict[str, str | None]:
+    """relation id -> colour mode of the image it names."""
+    if "word/_rels/document.xml.rels" not in archive.namelist():
+        return {}
+    listed = ElementTree.fromstring(archive.read("word/_rels/document.xml.rels"))
+    files = {r.get("Id"): f"word/{r.get('Target')}" for r in listed if str(r.get("Type")).endswith("/image")}
+    return {k: color_mode(archive.read(f)) for k, f in files.items() if f in archive.namelist()}
+
+
+def _paragraph(node, defaults: dict, styles: dict, numbering: str | None, images: dict[str, str | None]) -> dict:
     props = node.find(f"{_W}pPr")
     style_id = _value(props, "pStyle")
     style = styles.get(style_id, {})
@@ -98,7 +120,8 @@ def _paragraph(node, defaults: dict, styles: dict, numbering: str | None) -> dic
         blob = ElementTree.tostring(node, encoding="unicode")
         obj = {"kind": "object", "editor": "MathType" if "Equation.DSMT" in blob or "MathType" in blob else None, "color_mode": None}
     elif any(True for _ in node.iter(f"{_W}drawing")):
-        obj = {"kind": "figure", "editor": None, "color_mode": None}
+        modes = {images.get(v) for x in node.iter() for k, v in x.attrib.items() if k.endswith("}embed")}
+        obj = {"kind": "figure", "editor": None, "color_mode": modes.pop() if len(modes) == 1 else "color" if "color" in modes else None}
     return {"text": text, "para": para, "runs": runs, "obj": obj}
 
 
@@ -108,7 +131,7 @@ def elements_of(content: bytes, doc_id: int) -> list[dict]:
     blank = {"doc_id": doc_id, "confidence": None, "page_no": None, "parent_seq": None}
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
-        defaults, styles = _styles(archive)
+        (defaults, styles), images = _styles(archive), _images(archive)
         roots = {part: ElementTree.fromstring(archive.read(name)) for name, part in _PARTS.items() if name in archive.namelist()}
     except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, EOFError):
         return [blank | {"part": "file", "seq": 0, "role": "unreadable", "text": None, "para": None, "runs": [], "obj": None}]
@@ -123,7 +146,7 @@ def elements_of(content: bytes, doc_id: int) -> list[dict]:
             seq = len(out)
             table = in_table.get(node)
             parent = first_of.setdefault(table, seq) if table else None
-            out.append(blank | {"part": "table" if table else part, "seq": seq, "role": None, "parent_seq": parent} | _paragraph(node, defaults, styles, restart))
+            out.append(blank | {"part": "table" if table else part, "seq": seq, "role": None, "parent_seq": parent} | _paragraph(node, defaults, styles, restart, images))
             marks += [blank | {"part": kind, "role": kind, "text": text, "parent_seq": seq, "para": None, "runs": [], "obj": None} for kind, text in _marks(node)]
         marks += [blank | {"part": "section", "role": "section", "text": None, "parent_seq": None, "para": None, "runs": [], "obj": None} for _ in root.findall(f"{_W}body/{_W}sectPr")]
     return out + [m | {"seq": len(out) + k} for k, m in enumerate(marks)]

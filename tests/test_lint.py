@@ -164,6 +164,21 @@ def test_word_files(spark, word_file):
     assert [x.runs[0].field_kind for x in rows if x.text == "（张三，1990）"] == ["ADDIN"]
 
 
+def test_color_modes_of_figures(spark, tmp_path):
+    png = lambda kind: b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + b"\0" * 8 + b"\x08" + bytes([kind]) + b"\0" * 9
+    jpeg = lambda n: b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x0b\x08\0\x01\0\x01" + bytes([n]) + b"\0" * 9
+    assert [docx.color_mode(x) for x in (png(0), png(2), png(4), png(6), jpeg(1), jpeg(3), b"", b"GIF89a", b"\xff\xd8")] == ["black_and_white", "color", "black_and_white", "color", "black_and_white", "color", None, None, None]
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    figure = lambda k: f'<w:p><w:r><w:drawing><b xmlns:r="{rel}" r:embed="r{k}"/></w:drawing></w:r></w:p>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{figure(1)}{figure(2)}{figure(3)}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{k}" Type="{rel}/image" Target="media/{k}"/>' for k in (1, 2)) + "</Relationships>")
+        z.writestr("word/media/1", png(0))
+        z.writestr("word/media/2", jpeg(3))
+    rows = docx.classify(docx.read_docx(spark, str(tmp_path))).orderBy("seq").collect()
+    assert [r.obj.color_mode for r in rows] == ["black_and_white", "color", None] and {r.role for r in rows} == {"figure"}
+
+
 def test_links_bookmarks_sections_and_captions(spark, tmp_path):
     drawing = "<w:p><w:r><w:drawing/></w:r></w:p>"
     link = '<w:p><w:bookmarkStart w:name="here"/><w:r><w:t>see </w:t></w:r><w:hyperlink><w:r><w:t>this</w:t></w:r></w:hyperlink></w:p>'
