@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import quality_rules as quality
 from .url_filter import HOST_RULES
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -101,28 +102,32 @@ nodes AS (SELECT doc_id AS n FROM docs), {_REACH}
 SELECT node AS doc_id, coalesce(n, 0) AS n_shingles, component_id, node = component_id AS kept FROM lowest LEFT JOIN sizes ON doc_id = node"""
 
 
-def _same(a: str, b: str, keys: list[str]) -> str:
-    return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys)
+_D = range(4)
+_PAIRS = [(i, j) for i in _D for j in range(i, 4)]
+_MOMENTS = ["m", *(f"s{i}" for i in _D), *(f"q{i}{j}" for i, j in _PAIRS)]
+_PARAMETERS = [*(f"u{i}" for i in _D), *(f"l{i}{j}" for i in _D for j in range(i + 1))]
+_FLOOR2 = quality.FLOOR**2
 
 
-_D = range(4)
-_SUMS = ", ".join(["count(*) AS m", *(f"sum(x{i})::DOUBLE AS s{i}" for i in _D), *(f"sum(x{i} * x{j})::DOUBLE AS q{i}{j}" for i in _D for j in range(i, 4))])
+def _sums(x: str = "x") -> str:
+    return ", ".join(["count(*) AS m", *(f"sum({x}{i}) AS s{i}" for i in _D), *(f"sum({x}{i} * {x}{j}) AS q{i}{j}" for i, j in _PAIRS)])
+
 
+def _moments(name: str, source: str, keys: str, factor: float) -> list[str]:
+    """CTEs from moments to means u and the regularised covariance c."""
+    mean = ", ".join(f"s{i}::DOUBLE / m / 1024 AS u{i}" for i in _D)
+    cov = ", ".join(f"(q{i}{j}::DOUBLE / m / 1048576 - u{i} * u{j}) * {factor!r} + {_FLOOR2 if i == j else 0.0!r} AS c{i}{j}" for i, j in _PAIRS)
+    return [f"{name}u AS (SELECT {keys}, m, {mean}, {', '.join(f'q{i}{j}' for i, j in _PAIRS)} FROM {source})", f"{name}c AS (SELECT {keys}, {', '.join(f'u{i}' for i in _D)}, {cov} FROM {name}u)"]
 
-def _fit(name: str, source: str, keys: list[str]) -> list[str]:
-    """CTEs from moments to means and a Cholesky factor, one column after the other."""
-    by = ", ".join(keys)
-    mean = ", ".join(f"s{i} / m / 1024 AS u{i}" for i in _D)
-    cov = ", ".join(f"q{i}{j} / m / 1048576 - u{i} * u{j} + {0.01 if i == j else 0.0} AS c{i}{j}" for i in _D for j in range(i, 4))
-    out = [f"{name}m AS (SELECT {by}, m, {mean}, {', '.join(f'q{i}{j}' for i in _D for j in range(i, 4))} FROM {source})", f"{name}c AS (SELECT *, {cov} FROM {name}m)"]
-    last = f"{name}c"
+
+def _factors(name: str, source: str, keys: str) -> str:
+    """A CTE from u and c to the Cholesky factor l and the log-determinant, by lateral columns."""
+    low = []
     for i in _D:
         for j in range(i + 1):
             rest = f"c{j}{i}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
-            value = f"sqrt(greatest({rest}, 0.0025))" if i == j else f"({rest}) / l{j}{j}"
-            out.append(f"{name}l{i}{j} AS (SELECT *, {value} AS l{i}{j} FROM {last})")
-            last = f"{name}l{i}{j}"
-    return [*out, f"{name} AS (SELECT * FROM {last})"]
+            low.append(f"sqrt(greatest({rest}, {_FLOOR2 / 4!r})) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return f"{name} AS (SELECT {keys}, {', '.join(f'u{i}' for i in _D)}, {', '.join(low)}, {' + '.join(f'2 * ln(l{i}{i})' for i in _D)} AS det FROM {source})"
 
 
 def _distance(x: str = "v", g: str = "g") -> str:
@@ -131,38 +136,70 @@ def _distance(x: str = "v", g: str = "g") -> str:
     return f"{z}, z0 * z0 + z1 * z1 + z2 * z2 + z3 * z3 AS d2"
 
 
-def _robust(name: str, keys: list[str]) -> list[str]:
-    by = ", ".join(keys)
-    out = [f"{name}_0s AS (SELECT {by}, {_SUMS} FROM good GROUP BY {by})", *_fit(f"{name}_0", f"{name}_0s", keys)]
-    for step in range(1, 5):
-        p = f"{name}_{step}"
-        out.append(f"{p}d AS (SELECT v.*, {_distance()} FROM good v JOIN {name}_{step - 1} g ON {_same('v', 'g', keys)})")
-        out.append(f"{p}k AS (SELECT *, least(511, floor(log2(1 + d2) * 16)) AS cell FROM {p}d)")
-        out.append(f"{p}n AS (SELECT {by}, cell, count(*) AS n FROM {p}k GROUP BY {by}, cell)")
-        out.append(f"{p}b AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY cell) - n AS before, sum(n) OVER (PARTITION BY {by}) AS whole FROM {p}n)")
-        out.append(f"{p}s AS (SELECT {', '.join(f'a.{k}' for k in keys)}, {_SUMS} FROM {p}k a JOIN {p}b b ON a.cell = b.cell AND {_same('a', 'b', keys)} WHERE before < whole * 0.75 GROUP BY {', '.join(f'a.{k}' for k in keys)})")
-        out += _fit(p, f"{p}s", keys)
-    return [*out, f"{name} AS (SELECT * FROM {name}_4)"]
-
-
-_PARAMETERS = [*(f"u{i}" for i in _D), *(f"l{i}{j}" for i in _D for j in range(i + 1))]
+def _step(name: str, before: str) -> list[str]:
+    """CTEs of one concentration step: the half of each group that is nearest by ``before``."""
+    room = "half - ahead"
+    taken = ", ".join(f"coalesce((sum({c}) FILTER ({room} >= m))::DOUBLE, 0) + coalesce((max({c}) FILTER ({room} > 0 AND {room} < m))::DOUBLE * (max(({room}) / m) FILTER ({room} > 0 AND {room} < m)), 0) AS {c}" for c in _MOMENTS)
+    return [
+        f"{name}d AS MATERIALIZED (SELECT v.grp, g.start, v.x0, v.x1, v.x2, v.x3, {_distance()} FROM vectors v JOIN {before} g ON v.grp = g.grp)",
+        f"{name}n AS (SELECT grp, start, least({quality.CELLS - 1}, floor(log2(1 + d2) * {quality.CELLS_PER_UNIT})) AS cell, {_sums()} FROM {name}d GROUP BY ALL)",
+        f"{name}h AS (SELECT *, sum(m) OVER (PARTITION BY grp, start ORDER BY cell) - m AS ahead, sum(m) OVER (PARTITION BY grp, start) * {quality.MAJORITY} AS half FROM {name}n)",
+        f"{name}t AS (SELECT grp, start, {taken} FROM {name}h GROUP BY grp, start)",
+        *_moments(name, f"{name}t", "grp, start", quality.consistency(quality.MAJORITY)),
+        _factors(f"{name}f", f"{name}c", "grp, start"),
+    ]
+
+
+def _estimates(steps: int = 12) -> list[str]:
+    """From ``vectors`` to ``final``: three starts, two steps each, the least determinant, steps until it settles, reweighting."""
+    cell, unit = quality.START_CELL, quality.START_CELL / quality.SCALE
+    out = [
+        f"cells AS (SELECT grp, {', '.join(f'round(x{i} / {cell}.0) AS x{i}' for i in _D)} FROM vectors)",
+        f"middle AS (SELECT grp, {', '.join(f'quantile_cont(x{i}, 0.5) AS u{i}' for i in _D)} FROM cells GROUP BY grp)",
+        f"widths AS (SELECT grp, {', '.join(f'any_value(u{i}) * {unit!r} AS u{i}' for i in _D)}, {', '.join(f'sqrt((quantile_cont(abs(x{i} - u{i}), 0.5) * {unit * quality.DEVIATION!r}) ** 2 + {_FLOOR2!r}) AS w{i}' for i in _D)} FROM cells JOIN middle USING (grp) GROUP BY grp)",
+        f"scores AS (SELECT grp, {', '.join(f'(x{i} / 1024.0 - u{i}) / w{i} AS z{i}' for i in _D)}, sqrt(z0 * z0 + z1 * z1 + z2 * z2 + z3 * z3) AS len FROM vectors JOIN widths USING (grp))",
+        f"bent AS (SELECT grp, 1 AS start, {', '.join(f'CAST(round(tanh(z{i}) * 1024) AS BIGINT) AS t{i}' for i in _D)} FROM scores UNION ALL SELECT grp, 2, {', '.join(f'CAST(round(CASE WHEN len > 0 THEN z{i} / len ELSE 0 END * 1024) AS BIGINT)' for i in _D)} FROM scores)",
+        f"shapes AS (SELECT grp, start, {_sums('t')} FROM bent GROUP BY grp, start)",
+    ]
+    spread = lambda a, b: f"(q{min(a, b)}{max(a, b)}::DOUBLE / m - (s{a}::DOUBLE / m) * (s{b}::DOUBLE / m))"
+    shaped = ", ".join(f"w{i} * w{i} AS c{i}{i}" if i == j else f"w{i} * w{j} * {spread(i, j)} / sqrt(({spread(i, i)} + 1.0) * ({spread(j, j)} + 1.0)) AS c{i}{j}" for i, j in _PAIRS)
+    plain = ", ".join(f"w{i} * w{i} AS c{i}{i}" if i == j else f"0.0 AS c{i}{j}" for i, j in _PAIRS)
+    means = ", ".join(f"u{i}" for i in _D)
+    out.append(f"start_c AS (SELECT grp, 0 AS start, {means}, {plain} FROM widths UNION ALL SELECT grp, start, {means}, {shaped} FROM shapes JOIN widths USING (grp))")
+    out.append(_factors("step_0", "start_c", "grp, start"))
+    for k in range(quality.FIRST_STEPS):
+        out += [*_step(f"first{k}", f"step_{k}"), f"step_{k + 1} AS MATERIALIZED (SELECT * FROM first{k}f)"]
+    out.append(f"now_0 AS MATERIALIZED (SELECT * FROM step_{quality.FIRST_STEPS} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY det, start) = 1)")
+    for k in range(steps):
+        out += _step(f"more{k}", f"now_{k}")
+        pick = ", ".join(f"CASE WHEN a.det - b.det >= {quality.SETTLED!r} THEN b.{c} ELSE a.{c} END AS {c}" for c in (*_PARAMETERS, "det"))
+        out.append(f"now_{k + 1} AS MATERIALIZED (SELECT a.grp, a.start, {pick} FROM now_{k} a JOIN more{k}f b ON a.grp = b.grp)")
+    out.append(f"inner_d AS (SELECT v.grp, v.x0, v.x1, v.x2, v.x3, {_distance()} FROM vectors v JOIN now_{steps} g ON v.grp = g.grp)")
+    out.append(f"inner_m AS (SELECT grp, {_sums()} FROM inner_d WHERE d2 <= {quality.INNER!r} GROUP BY grp)")
+    return [*out, *_moments("final_", "inner_m", "grp", quality.consistency(0.975)), _factors("final", "final_c", "grp")]
+
+
+_GROUP = "concat_ws('/', {0}, CASE WHEN {0} < 2 THEN coalesce('=' || {1}, '-') END, CASE WHEN {0} < 1 THEN coalesce('=' || {2}, '-') END)"
 
 QUALITY_RULES = f"""
-WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 spots AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM docs WHERE len(w) >= 8),
-eights AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(w[p:p + 7], ' ')) AS times FROM spots),
+eights AS (SELECT doc_id, p, count(*) OVER same AS times, row_number() OVER (same ORDER BY p) AS nth FROM spots WINDOW same AS (PARTITION BY doc_id, array_to_string(w[p:p + 7], ' '))),
 covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS place FROM eights WHERE times > 1) GROUP BY doc_id),
+runs AS (SELECT doc_id, count(*) + 7 AS words FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM eights WHERE times > 1 AND nth = 1) GROUP BY doc_id, run),
+passages AS (SELECT doc_id, max(words) AS words FROM runs GROUP BY doc_id),
 base AS (SELECT docs.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
-    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(ls) AS n_lines FROM docs LEFT JOIN covered USING (doc_id)),
-stats AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    CAST(round(4 * ln(greatest(word_chars, 1) / greatest(n_words, 1)) * 1024) AS BIGINT) AS x0, CAST(round(ln(1 + n_symbols * 20.0 / greatest(n_words, 1)) * 1024) AS BIGINT) AS x1,
-    CAST(round(ln(1 + n_dup_lines * 1.0 / greatest(n_lines, 1)) * 1024) AS BIGINT) AS x2, CAST(round(ln(1 + n_repeat_words * 1.0 / greatest(n_words, 1)) * 1024) AS BIGINT) AS x3 FROM base),
-good AS (SELECT *, 0 AS every FROM stats WHERE NOT base_failed),
-{", ".join([*_robust("by_source", ["lang", "source"]), *_robust("by_lang", ["lang"]), *_robust("by_all", ["every"])])},
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(ls) AS n_lines, coalesce(passages.words, 0) AS n_passage_words
+    FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN passages USING (doc_id)),
+stats AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CAST(round(ln(greatest(word_chars, 1) / greatest(n_words, 1)) * {quality.LENGTH_FACTOR} * 1024) AS BIGINT) AS x0, CAST(round(ln(1 + n_symbols * {quality.SYMBOL_FACTOR} / greatest(n_words, 1)) * 1024) AS BIGINT) AS x1,
+    CAST(round(ln(1 + greatest(n_dup_lines - 1, 0) * {quality.LINE_FACTOR} / greatest(n_lines, 1)) * 1024) AS BIGINT) AS x2, CAST(round(ln(1 + greatest(n_repeat_words - 2 * n_passage_words, 0) * {quality.REPEAT_FACTOR} / greatest(n_words, 1)) * 1024) AS BIGINT) AS x3 FROM base),
+good AS (SELECT * FROM stats WHERE NOT base_failed),
 sizes AS (SELECT lang, source, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS of_lang FROM good GROUP BY lang, source),
-pick AS (SELECT s.lang, s.source, {", ".join(f"CASE WHEN s.n >= 200 THEN a.{c} WHEN of_lang >= 200 THEN b.{c} ELSE w.{c} END AS {c}" for c in _PARAMETERS)}
-    FROM sizes s JOIN by_source a ON {_same("s", "a", ["lang", "source"])} JOIN by_lang b ON {_same("s", "b", ["lang"])} JOIN by_all w ON w.every = 0),
-far AS (SELECT v.doc_id, {_distance()} FROM stats v JOIN pick g ON {_same("v", "g", ["lang", "source"])})
+takes AS (SELECT lang, source, CASE WHEN n >= {quality.LEAST_GROUP} THEN 0 WHEN of_lang >= {quality.LEAST_GROUP} THEN 1 ELSE 2 END AS level, {_GROUP.format("level", "lang", "source")} AS grp FROM sizes),
+vectors AS MATERIALIZED (SELECT {_GROUP.format("k", "lang", "source")} AS grp, x0, x1, x2, x3 FROM good CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE grp IN (SELECT t.grp FROM takes t)),
+{", ".join(_estimates())},
+far AS (SELECT v.doc_id, {_distance()} FROM good v JOIN takes t ON v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source JOIN final g ON g.grp = t.grp)
 SELECT s.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d2 > 150, FALSE) AS kept
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d2 > {quality.CUT_OFF!r}, FALSE) AS kept
 FROM stats s LEFT JOIN far USING (doc_id)"""
