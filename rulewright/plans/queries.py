@@ -18,10 +18,10 @@ from ..functions.text import hyphenated_range, surname_initial, with_em_dash
 from ..operators import catalogue as ops
 from ..operators import fix as fixes
 from ..operators import lint as lints
-from ..operators import report
+from ..operators import report, structure
 from ..operators.policy import FIXABLE
 from ..operators.references import format_references, parse_references
-from ..sources import catalogue, fixtures
+from ..sources import catalogue, docx, fixtures
 from ..sources.shipped import CONFLICTS, ENUMS, REQUIRED_FIELDS, SOURCES, UNKNOWNS, shipped_files
 from . import lint_sql, validator
 from .lint_sql import literal as _literal
@@ -332,6 +332,69 @@ def parsed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_references(spark.createDataFrame(_LINES, "doc_id long, ref_no int, raw string")).select("doc_id", "ref_no", "year", "title")
 
 
+# ---- files ------------------------------------------------------------------------------------
+
+
+def _word(spark: SparkSession) -> DataFrame:
+    """The paragraphs of the fixture's Word file, with their roles."""
+    files = spark.createDataFrame([(1, bytearray(fixtures.word_file()))], "doc_id long, content binary")
+    return structure.in_context(docx.classify(docx.parsed(files)))
+
+
+_WORD_SQL = _values("w", "seq, part, role, text", [(k, part, role, "".join(t for t, _ in runs)) for k, (part, _, runs, role) in enumerate(fixtures.WORD_PARAGRAPHS)])
+
+
+@_query(f"WITH {_WORD_SQL} SELECT CAST(seq AS INTEGER) AS seq, part, role, text FROM w")
+def word_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of a Word file in their order, with the roles that style, wording and place give them."""
+    return _word(spark).select("seq", "part", "role", "text")
+
+
+@_query(f"WITH {_values('p', 'role, text', fixtures.WORD_PARTS)}, {_WORD_SQL} SELECT role, text FROM p UNION ALL SELECT 'foreign_reference_entry_layout', text FROM w WHERE role = 'reference_entry' AND ascii(text) < 128 UNION ALL SELECT 'latin_letters_and_digits', text FROM w WHERE regexp_matches(text, '[A-Za-z0-9]')")
+def word_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of paragraphs that rules of their own concern."""
+    rows = structure.with_parts(_word(spark)).select("doc_id", "seq", "role", "text")
+    return rows.join(_word(spark).select("doc_id", "seq", "role"), ["doc_id", "seq", "role"], "left_anti").select("role", "text")
+
+
+@_query(f"WITH {_values('c', 'form, authors, years, lang', fixtures.WORD_CITATIONS)} SELECT * FROM c")
+def word_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations in the texts of a Word file."""
+    rows = _word(spark)
+    found = structure.citations_of(rows, structure.references_of(rows))
+    return found.select("form", F.array_join("authors", "|").alias("authors"), F.array_join("years", "|").alias("years"), "lang")
+
+
+@_query(f"WITH {_values('r', 'ref_no, lang, surnames, year, title, pages', fixtures.WORD_REFERENCES)} SELECT CAST(ref_no AS INTEGER) AS ref_no, lang, surnames, CAST(year AS INTEGER) AS year, title, pages FROM r")
+def word_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of references of a Word file."""
+    found = structure.references_of(_word(spark))
+    return found.select("ref_no", "lang", F.array_join(F.transform("authors", lambda a: a["surname"]), "|").alias("surnames"), "year", "title", "pages")
+
+
+@_query(f"WITH {_WORD_SQL} SELECT CAST(seq AS INTEGER) AS seq, CASE role WHEN 'contact_label' THEN replace(text, '电子邮箱', '电子信箱') WHEN 'reference_entry' THEN regexp_replace(text, '([0-9])-([0-9]+)$', '\\1—\\2') ELSE text END AS text FROM w")
+def fixed_word_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Word file with the fixes of texts, read again: words and page ranges change across runs, nothing else does."""
+    rules = lints.compiled(catalogue.shipped(spark))
+    changed = fixes.fix(structure.with_parts(_word(spark)).withColumn("_was", F.col("text")), rules).where("_was <> text").select("seq", "_was", "text").collect()  # one file's
+    edits: dict[int, list[tuple[str, str]]] = {}
+    for r in sorted(changed):
+        edits.setdefault(r["seq"], []).append((r["_was"], r["text"]))
+    again = spark.createDataFrame([(1, bytearray(docx.write_docx(fixtures.word_file(), edits)))], "doc_id long, content binary")
+    return docx.parsed(again).select("seq", "text")
+
+
+_YAML_ROWS = [(0, 0, "2020-01-01", "True", "p. 3", "in these words", False), (0, 1, "7", "t", None, None, False), (0, 2, None, None, None, None, False), (2, 0, "7", "u", None, None, False), (2, 1, "7.0", "v", None, None, True)]
+
+
+@_query(f"WITH {_values('y', 'file_ord, rule_ord, id, target, locator, evidence, duplicate', _YAML_ROWS)} SELECT CAST(file_ord AS INTEGER) AS file_ord, CAST(rule_ord AS INTEGER) AS rule_ord, id, target, locator, evidence, duplicate FROM y")
+def yaml_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules out of YAML texts: order over files, a file without rules, values as they print, evidence, equal ids."""
+    files = [(name, catalogue.read_yaml(text.encode(), name)) for name, text in fixtures.YAML_FILES]
+    found = validator.with_duplicate_flag(catalogue.from_files(spark, files))
+    return found.select("file_ord", "rule_ord", "id", "target", "locator", "evidence", "duplicate")
+
+
 # ---- the same parts at volume ------------------------------------------------------------------
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.ship import ship
 from .shipped import ENUMS, REQUIRED_FIELDS, RULE_FILES, shipped_files
 
 RAW_DDL = (
@@ -130,6 +131,7 @@ def load(spark: SparkSession, root: str) -> DataFrame:
                 rows += [rule_row(names.index(file), k, file, r) for k, r in enumerate(rules_of(read_yaml(content, path), file))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW_DDL.split(", ")])
 
+    ship(spark)
     paths = [f"{root}/rules/{n}" for n in names]
     _refuse_empty(spark, paths)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from ..operators.fix import fix
 from ..operators.lint import ELEMENTS_DDL
 from ..operators.structure import in_context, with_parts
@@ -162,16 +163,22 @@ def _marks(node) -> Iterator[tuple[str, str | None]]:
         yield "section", None
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of all files below a path; ``doc_id`` is a hash of the file's path."""
+def parsed(files: DataFrame) -> DataFrame:
+    """The elements of files (doc_id, content)."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for doc_id, content in zip(frame["doc_id"], frame["content"], strict=True):
                 yield pd.DataFrame(elements_of(content, doc_id), columns=[c.split()[0] for c in re.split(r", (?=\w+ )", ELEMENTS_DDL)])
 
+    ship(files.sparkSession)
+    return files.select("doc_id", "content").mapInPandas(parse, ELEMENTS_DDL)
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of all files below a path; ``doc_id`` is a hash of the file's path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
-    return files.select(F.xxhash64("path").alias("doc_id"), "content").mapInPandas(parse, ELEMENTS_DDL)
+    return parsed(files.select(F.xxhash64("path").alias("doc_id"), "content"))
 
 
 #: (role, confidence, condition); the first that holds is taken.  Style names are the surest sign, wording comes next.
@@ -327,6 +334,7 @@ def marked_files(spark: SparkSession, path: str, verdicts: DataFrame) -> DataFra
     ``verdicts`` (doc_id, seq, rule_id, status) are of elements; findings on the
     list of references and on citations have numbers of their own and stay in the reports.
     """
+    ship(spark)
     bad = verdicts.where("seq is not null and status in ('ERROR', 'WARNING', 'MANUAL_REVIEW') and rule_id like 'ER-MS%'")
     notes = bad.groupBy("doc_id", "seq").agg(F.sort_array(F.collect_set(F.concat_ws(" ", "status", "rule_id"))).alias("notes")).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "notes")).alias("all"))
 

@@ -6,6 +6,9 @@ They exercise the engine; they are no samples of what a correct paper looks like
 from __future__ import annotations
 
 import copy
+import io
+import zipfile
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -132,3 +135,62 @@ def references() -> list[tuple]:
 def manuscript(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Elements, citations and references as DataFrames."""
     return spark.createDataFrame(elements(), ELEMENTS_DDL), spark.createDataFrame(citations(), CITATIONS_DDL), spark.createDataFrame(references(), REFS_DDL)
+
+
+#: A paper as Word paragraphs: (part, style, (text, italic) runs, the role it has).
+WORD_PARAGRAPHS = (
+    ("body", "Title", (("贸易与增长*", False),), "title"),
+    ("body", None, (("李四", False),), "author_name"),
+    ("body", None, (("内容提要：本文研究贸易 <1978-2018>。", False),), "abstract"),
+    ("body", "Heading1", (("一、引言", False),), "heading_level_1"),
+    ("body", None, (("张三（1990）指出这一点，后来王五等（2020）也有讨论（Smith & Jones，1999；李四，2001）。Wang et al. (2013) 不同意（赵六，2005）。", False),), "body"),
+    ("body", "Heading2", (("（一）背景", False),), "heading_numbering"),
+    ("body", None, (("电子邮", False), ("箱：a@b", True)), "contact_label"),
+    ("body", None, (("其中，x是价格", False),), "equation_where_paragraph"),
+    ("body", None, (("图1 走势", False),), "figure_caption"),
+    ("body", None, (("注：数据来自年鉴", False),), "table_note"),
+    ("table", None, (("12", False),), "table_text"),
+    ("body", None, (), "empty"),
+    ("body", None, (("参考文献", False),), "body"),
+    ("body", None, (("张三，1990，论乙，经济学刊，1，1", False), ("-9", False)), "reference_entry"),
+    ("body", None, (("王五、赵一、钱二，2020，论戊，经济学刊，2，3—8", False),), "reference_entry"),
+    ("body", None, (('Smith, J., 1999, "Growth and Trade", ', False), ("Econ Rev", True), (", 2, 3-8", False)), "reference_entry"),
+    ("body", None, (('Wang, B.; Li, C.; Xu, D., 2013, "of Trees", Econ Rev, 2, 3—8', False),), "reference_entry"),
+    ("footnote", None, (("* 作者信息", False),), "author_information_footnote"),
+    ("footnote", None, (("正文注一", False),), "ordinary_footnote_text"),
+)
+#: What is found in it: (form, authors, years, language).
+WORD_CITATIONS = (("narrative", "张三", "1990", "zh"), ("narrative", "王五", "2020", "zh"), ("self", "Smith|Jones|李四", "1999|2001", "mixed"), ("narrative", "Wang", "2013", "en"), ("parenthetical", "赵六", "2005", "zh"))
+#: (number, language, surnames, year, title, pages)
+WORD_REFERENCES = ((1, "zh", "张", 1990, "论乙", "1-9"), (2, "zh", "王|赵|钱", 2020, "论戊", "3—8"), (3, "en", "Smith", 1999, "Growth and Trade", "3-8"), (4, "en", "Wang|Li|Xu", 2013, "of Trees", "3—8"))
+#: (role, text) of what becomes a row beside its paragraph.
+WORD_PARTS = (
+    ("title_author_info_marker", "贸易与增长*"), ("ordinary_footnote_numbering", "正文注一"), ("reference_page_range", "1-9"), ("reference_page_range", "3—8"), ("reference_page_range", "3-8"), ("reference_page_range", "3—8"),
+    ("english_reference_title", "Growth and Trade"), ("english_reference_title", "of Trees"), ("english_reference_authors", "Smith, J."), ("english_reference_authors", "Wang, B.; Li, C.; Xu, D."),
+    ("english_reference_journal_name", "Econ Rev"), ("english_reference_journal_name", "Econ Rev"),
+)
+
+
+def word_file() -> bytes:
+    """The paper as a Word file."""
+    names = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+    def paragraph(style: str | None, runs: tuple) -> str:
+        props = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
+        return f"<w:p>{props}{''.join(f'<w:r><w:rPr>{"<w:i/>" * i}</w:rPr><w:t>{escape(t)}</w:t></w:r>' for t, i in runs)}</w:p>"
+
+    body = "".join(f"<w:tbl><w:tr><w:tc>{paragraph(s, r)}</w:tc></w:tr></w:tbl>" if part == "table" else paragraph(s, r) for part, s, r, _ in WORD_PARAGRAPHS if part != "footnote")
+    notes = "".join(f"<w:footnote>{paragraph(s, r)}</w:footnote>" for part, s, r, _ in WORD_PARAGRAPHS if part == "footnote")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {names}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/footnotes.xml", f"<w:footnotes {names}>{notes}</w:footnotes>")
+    return out.getvalue()
+
+
+#: A small catalogue as YAML texts, with values that YAML reads as dates, numbers and truths.
+YAML_FILES = (
+    ("manuscript.yaml", "version: 1\nrules:\n- {id: 2020-01-01, target: yes, domain: manuscript, normativity: mandatory, autofix: never, source: {source_id: S, locator: p. 3, evidence: in these words}, lint: {severity: error}, requirement: {a: 1}}\n- {id: 7, target: t}\n- {}\n"),
+    ("citations.yaml", "version: 1\n"),
+    ("references.yaml", "rules:\n- {id: '7', target: u, source: {source_id: T}}\n- {id: 7.0, target: v}\n"),
+)
