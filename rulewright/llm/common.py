@@ -22,7 +22,6 @@ import os
 import tempfile
 import threading
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +29,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.ship import ship
+
 #: Rows that are worked on at once: 256 texts of the longest kind (about 120 kB) stay near 30 MB.
 BATCH_ROWS = 256
 #: Entries that a worker's memo of words keeps before it starts afresh.
@@ -38,7 +39,6 @@ MEMO_ENTRIES = 100_000
 MEMO_KEY_CHARS = 48
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_shipped: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 _batches = threading.Lock()
 _small: dict[str, tuple[int, str]] = {}
@@ -47,20 +47,7 @@ _scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scr
 
 def prepare(spark: SparkSession) -> None:
     """Make the package importable on executors (idempotent)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    package = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(), f"{package}-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, package)):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    _shipped[sc.applicationId] = path
+    ship(spark)
 
 
 def scratch_dir(spark: SparkSession) -> str:
