@@ -9,25 +9,28 @@
    pair, or with a triple whose length sum is the gap, found in indexes of
    single and pair sums and consumed as often as availability allows.  What
    remains goes by best fit (smallest gap that holds the piece).
-3. ``pack`` numbers the pieces of each length and hands out places by interval
-   look-up.  A length may hold a third of all pieces: numbering runs in salted
-   shards whose sizes are counted first, so no length meets in one task.
+3. ``pack`` hands out places by interval look-up.  A length may hold a third of all
+   pieces, so pieces are numbered where they are made: each task counts its own
+   pieces of each length, and sums over the tasks before it make the numbers
+   global.  No piece is sorted, and none is moved for its number.
 
 Special cases: a null text counts as empty and yields a piece with only the
-separator; equal lengths are numbered by document and piece; an empty table
-gives an empty result.
+separator; equal lengths are numbered in the order in which they lie in the
+table; repeated rows and ids, null ids too, are pieces of their own; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,8 +41,6 @@ from .common import map_arrow, prepare, stored, text_column
 
 SEQUENCE_TOKENS = 2048
 SEPARATOR = 0
-#: Shards in which the pieces of one length are numbered.
-SHARDS = 64
 #: Below this code point both tokenizer libraries agree on what letters and digits are; above it the one asked for is used itself.
 _PLAIN_BELOW = "̀"
 
@@ -72,26 +73,41 @@ def id_source(vocabulary: str) -> IdSource:
 
 def cut_pieces(docs: DataFrame, capacity: int = SEQUENCE_TOKENS, vocabulary: str = "byte_bpe_50k.json", separator: int = SEPARATOR, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document; one narrow stage."""
+    return _cut(docs, capacity, vocabulary, separator, keep_ids).drop("_task", "_nth")
+
+
+def _counters() -> tuple[int, Counter]:
+    return TaskContext.get().partitionId(), Counter()
+
+
+def _cut(docs: DataFrame, capacity: int, vocabulary: str, separator: int, keep_ids: bool) -> DataFrame:
+    """The pieces, each with its task and its number among the task's pieces of its length."""
     prepare(docs.sparkSession)
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_task", pa.int64()), ("_nth", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * keep_ids)
 
-    def each(batch: pa.RecordBatch) -> dict:
+    def each(batch: pa.RecordBatch, state: tuple[int, Counter]) -> dict:
+        task, seen = state
         source = id_source(vocabulary)
-        out = {name: [] for name in schema.names}
+        rows, kept = [], []
         for doc, text in zip(batch.column(0).to_pylist(), text_column(batch, "text"), strict=True):
             ids = np.array([*source.ids(text or ""), separator], "<u4")
             first = len(ids) % capacity or capacity
             for k, end in enumerate(range(first, len(ids) + 1, capacity)):
                 start = max(0, end - (first if k == 0 else capacity))
                 part = ids[start:end]
-                row = [doc, k, start, len(part), zlib.crc32(part.tobytes())] + [part.astype(np.int32)] * keep_ids
-                for name, value in zip(schema.names, row, strict=True):
-                    out[name].append(value)
+                rows.append((doc, k, start, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)]))
+                seen[len(part)] += 1
+                if keep_ids:
+                    kept.append(part.astype(np.int32))
+        out = {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(fields)}
+        if keep_ids:
+            ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept)))
         return out
 
-    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), each, schema, ddl)
+    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, _task long, _nth long" + ", ids array<int>" * keep_ids
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), each, schema, ddl, _counters)
 
 
 @dataclass(frozen=True)
@@ -209,26 +225,25 @@ def places(fills: list[Fill]) -> list[tuple[int, int, int, int, int, int]]:
     return rows
 
 
-def pack(cut: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
+def pack(numbered: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
     """Give each row of a stored table of pieces its ``sequence_id`` and ``offset``.
 
-    ``cut`` is read twice (numbers, then places); pass a stored table.  What
-    reaches the driver is one count per length, and what is broadcast is the
-    list of intervals: both bounded by ``capacity``, not by the data.
+    ``numbered`` has ``length`` and, of each piece, ``_task`` and ``_nth``: its
+    number, without gaps, among those of one task and length.  What reaches the
+    driver is one count per length, and what is broadcast is the list of
+    intervals: both bounded by ``capacity``, not by the data.  The counts of tasks
+    are a table; Spark broadcasts it below the session's bound.
     """
-    spark = cut.sparkSession
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)).cast("int")
-    sharded = cut.withColumn("_shard", shard)
-    sizes = stored(sharded.groupBy("length", "_shard").agg(F.count("*").alias("_n")), "sizes")
+    spark = numbered.sparkSession
+    sizes = stored(numbered.groupBy("length", "_task").agg(F.count("*").alias("_n")), "sizes")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
     plan = spark.createDataFrame(places(plan_bins(counts, capacity)), "length long, _first long, _end long, _times long, _seq long, _off long")
-    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_shard")) - F.col("_n")).drop("_n")
-    local = F.row_number().over(W.partitionBy("length", "_shard").orderBy("doc_id", "piece")) - 1
-    ranked = sharded.withColumn("_local", local.cast("long")).join(before, ["length", "_shard"]).withColumn("_rank", F.col("_before") + F.col("_local"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_task")) - F.col("_n")).drop("_n")
+    ranked = numbered.join(stored(before, "numbers"), ["length", "_task"]).withColumn("_rank", F.col("_before") + F.col("_nth"))
     within = F.col("_rank") - F.col("_first")
     placed = ranked.alias("p").join(F.broadcast(plan.alias("q")), (F.col("p.length") == F.col("q.length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
     return placed.select(
-        *[F.col(f"p.{c}") for c in cut.columns],
+        *[F.col(f"p.{c}") for c in numbered.columns if c not in ("_task", "_nth")],
         (F.col("_seq") + F.floor(within / F.col("_times"))).cast("long").alias("sequence_id"),
         (F.col("_off") + within % F.col("_times") * F.col("p.length")).cast("long").alias("offset"),
     )
@@ -236,4 +251,4 @@ def pack(cut: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
 
 def pack_documents(docs: DataFrame, capacity: int = SEQUENCE_TOKENS, vocabulary: str = "byte_bpe_50k.json", keep_ids: bool = False) -> DataFrame:
     """Cut, store, plan and place; ``keep_ids`` adds each piece's token ids."""
-    return pack(stored(cut_pieces(docs, capacity, vocabulary, keep_ids=keep_ids), "pieces"), capacity)
+    return pack(stored(_cut(docs, capacity, vocabulary, SEPARATOR, keep_ids), "pieces"), capacity)
