@@ -62,6 +62,8 @@ def _font(font: str, *points: float) -> str:
 _SIZE = f"(SELECT max(size) FROM r WHERE {_OWN})"
 _LADDER = "list_position([42.0, 36.0, 26.0, 24.0, 22.0, 18.0, 16.0, 15.0, 14.0, 12.0, 10.5, 9.0, 7.5, 6.5, 5.5, 5.0], {})"
 _LEAST = "(SELECT min(s) FROM (SELECT max(size) AS s FROM e o JOIN r q ON q.doc_id = o.doc_id AND q.seq = o.seq WHERE o.doc_id = e.doc_id AND {} GROUP BY o.seq))"
+_BODY = _LEAST.format("o.role = 'body'")
+_TABLE = _LEAST.format("o.role = 'table_text' AND o.parent = e.parent")
 _CENTRED = "alignment = 'center'"
 
 #: rule -> (role, condition)
@@ -77,8 +79,8 @@ ELEMENT_RULES = {
         AND CASE right(style, 1) WHEN '2' THEN regexp_matches(text, '^\\s*（[一二三四五六七八九十]+）') AND lead = 2 WHEN '3' THEN regexp_matches(text, '^\\s*[0-9]+\\.') WHEN '4' THEN regexp_matches(text, '^\\s*（[0-9]+）') ELSE TRUE END"""),
     "ER-MS-EQUATION-001": ("equation", "editor IN ('Word Equation', 'MathType')"),
     "ER-MS-EQUATION-002": ("equation_where_paragraph", "NOT starts_with(trim(text), '其中') OR lead = 2"),
-    "ER-MS-TABLE-001": ("table_text", f"{_SIZE} < {_LEAST.format(chr(111) + '.role = ' + chr(39) + 'body' + chr(39))} AND {_font('仿宋')}"),
-    "ER-MS-TABLE-NOTE-001": ("table_note", f"{_LADDER.format(_SIZE)} - {_LADDER.format(_LEAST.format('''o.role = 'table_text' AND o.parent = e.parent'''))} = 1"),
+    "ER-MS-TABLE-001": ("table_text", f"{_SIZE} < {_BODY} AND {_font('仿宋')}"),
+    "ER-MS-TABLE-NOTE-001": ("table_note", f"{_LADDER.format(_SIZE)} - {_LADDER.format(_TABLE)} = 1"),
     "ER-MS-TABLE-NOTE-002": ("table_note", _font("宋体")),
     "ER-MS-FOOTNOTE-001": ("ordinary_footnote_numbering", "restart = 'each_page'"),
     "ER-MS-FOOTNOTE-002": ("ordinary_footnote_text", f"{_font('宋体', 7.5)} AND lead = 2"),
