@@ -138,10 +138,11 @@ def first_occurrences(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     document that starts in a smaller one lies in exactly one run.
     """
     index = stored(_all_blocks(docs, window, anchor), "blocks")
-    per_anchor = index.groupBy("anchor").agg(_first(), F.max("doc_id").alias("last"), (F.min("content") == F.max("content")).alias("equal"))
-    # stored, so that both sides of the join are plain exchanges, which Spark splits where an anchor is frequent
-    per_anchor = stored(per_anchor.where("lead.source < last").select("anchor", "lead", "equal"), "anchors")
-    shared = stored(index.join(per_anchor, "anchor"), "shared")
+    several = index.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
+    # stored, so that both sides of a join are plain exchanges, which Spark splits where an anchor is frequent
+    met = stored(index.join(stored(several, "several"), "anchor"), "met")
+    per_anchor = met.groupBy("anchor").agg(_first(), (F.min("content") == F.max("content")).alias("equal"))
+    shared = stored(met.join(stored(per_anchor, "anchors"), "anchor"), "shared")
     whole = shared.where("equal and lead.source < doc_id").select("doc_id", "place", "n", "lead.source", "lead.at")
 
     mixed = shared.where("not equal").drop("lead", "equal")
