@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 
@@ -38,6 +39,9 @@ MEMO_ENTRIES = 100_000
 #: Longer keys are computed each time instead of being kept.
 MEMO_KEY_CHARS = 48
 
+#: A filter of hashes never takes more bits than this (2 MB), however many hashes there are.
+MOST_FILTER_BITS = 1 << 24
+
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _written: dict[str, list[str]] = {}
 _batches = threading.Lock()
@@ -169,6 +173,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class HashFilter:
+    """A bit table of 64-bit hashes: never a no for one of them; sometimes a yes for others."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        slot = h.astype(np.uint64) & self.mask
+        return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def hash_filter(hashes: DataFrame, column: str = "h") -> HashFilter:
+    """The filter of a stored column of long hashes.
+
+    It is put together by Spark; the driver gets at most ``MOST_FILTER_BITS`` bits.
+    With more hashes than bits it lets more pass, and what it lets pass is
+    always joined exactly, so its size is a matter of cost only.
+    """
+    bits, n = 1 << 12, hashes.count()
+    while bits < MOST_FILTER_BITS and bits < 16 * n:
+        bits <<= 2
+    slot = hashes.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("slot"))
+    table = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    words = np.zeros(bits // 64, np.uint64)
+    for r in table.collect():
+        words[r["at"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    return HashFilter(words)
+
+
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` consecutive word hashes; position-sensitive.
 
@@ -212,16 +245,17 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[str | None]:
 
 
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: pa.Schema, ddl: str, setup=None) -> DataFrame:
-    """``mapInArrow`` of a function that turns a slice of a batch into columns; ``setup`` runs once a task."""
+    """``mapInArrow`` of a function that turns a slice of a batch into columns, or into several sets of them; ``setup`` runs once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                columns = each(part, state) if setup else each(part)
-                yield pa.RecordBatch.from_pydict(columns, schema=schema)
-                del columns
+                made = each(part, state) if setup else each(part)
+                for columns in [made] if isinstance(made, dict) else made:
+                    yield pa.RecordBatch.from_pydict(columns, schema=schema)
+                    del columns
         state = batch = part = None
         release()
 

@@ -203,3 +203,65 @@ far AS (SELECT v.doc_id, {_distance()} FROM good v JOIN takes t ON v.lang IS NOT
 SELECT s.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
     CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d2 > {quality.CUT_OFF!r}, FALSE) AS kept
 FROM stats s LEFT JOIN far USING (doc_id)"""
+
+
+def _words_of(table: str, key: str, separators: str) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key}, list_filter(regexp_split_to_array({lower}, '{separators}'), lambda x: x <> '') AS w FROM {table}"
+
+
+_NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATION = f"""
+WITH docs AS ({_words_of("documents", "doc_id", _NOT_ALNUM)}),
+items AS ({_words_of("benchmark", "item_id", _NOT_ALNUM)}),
+windows AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p:p + 9], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS p FROM items WHERE len(w) > 0)),
+spots AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+met AS MATERIALIZED (SELECT doc_id, item_id, p, spots.n FROM spots JOIN windows USING (n, s)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM met) GROUP BY doc_id),
+listed AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM met WHERE item_id IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+#: CRC-32 of the decimal id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + length(CAST(doc_id AS VARCHAR))), lambda i: ascii(CAST(doc_id AS VARCHAR)[i])::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+#: Two places with the same six words, q apart, lie in a stretch of period q; runs are stretches that no shorter period has.
+PERIODIC_RUNS = f"""
+WITH plain AS (SELECT doc_id, {_WORDS} AS w, coalesce({_CRC}, 1) AS h FROM documents),
+planted AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS change, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g FROM plain),
+periods AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM planted),
+docs AS MATERIALIZED (SELECT doc_id, CASE WHEN change THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[1 + a + (i - a) % p] END) ELSE w END AS w FROM periods),
+sixes AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 5)) AS i FROM docs WHERE len(w) >= 12)),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM sixes x JOIN sixes y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretches AS (SELECT doc_id, min(i) AS start, max(i) - min(i) + 6 + q AS length, q FROM islands GROUP BY doc_id, q, island),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length),
+per_doc AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+gone AS (SELECT doc_id, list(DISTINCT place) AS places FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS place FROM runs) GROUP BY doc_id)
+SELECT docs.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+    sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i - 1)) END, ' ')) AS collapsed_sha256
+FROM docs LEFT JOIN per_doc USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN gone USING (doc_id)"""
+
+#: All shares written out, for every source and every kept term.
+SOURCE_DIVERGENCE = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+posts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM posts GROUP BY ALL),
+dense AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(total, 0) + v) AS p
+    FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN totals USING (lang, source) LEFT JOIN posts USING (lang, source, term)),
+of_lang AS (SELECT lang, sum(n)::HUGEINT AS total FROM posts GROUP BY lang),
+shares AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(total) + any_value(v)) AS q FROM posts JOIN sizes USING (lang) JOIN of_lang USING (lang) GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair_part AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM pairs LEFT JOIN sums USING (lang, source, item)),
+term_part AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM dense JOIN shares USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pair_part UNION ALL FROM term_part))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
