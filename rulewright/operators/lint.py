@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import has_han, hyphenated_range, initial_is_certain, ladder_step, size_points, surname_initial
 from .policy import CONFIDENCE, FIXABLE, allowed
+from .rulebits import RuleBits
 
 ELEMENTS_DDL = (
     "doc_id long, part string, seq int, role string, confidence double, page_no int, text string, "
@@ -359,14 +360,26 @@ def verdicts(found: DataFrame, rules: DataFrame, policy: DataFrame, documents: D
     ``fixable`` is what ``fix`` would change: policy allows it and there is a remedy.
     """
     effective = {r["id"]: r for r in policy.select("id", "severity", "autofix").collect()}  # configuration
-    due = F.array(*[F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["target"]).alias("_target"), F.lit(effective[r["id"]]["severity"]).alias("severity"), F.lit(effective[r["id"]]["autofix"]).alias("autofix")) for r in rules.select("id", "target").collect()])
-    documents = (found if documents is None else documents).select("doc_id").distinct()
-    expected = documents.select("doc_id", F.explode(due).alias("_r")).select("doc_id", "_r.*")
-    graded = expected.join(found, ["doc_id", "rule_id"], "left")
+    known = {r["id"]: r["target"] for r in rules.select("id", "target").collect()}
+    bits = RuleBits(known)
+    keyed = found.where(F.col("rule_id").isin(list(known))).select("doc_id", "seq", "confidence", "rule_id", "ok")
+    if documents is not None:  # each document is a row without a rule
+        keyed = keyed.unionByName(documents.select("doc_id").distinct(), allowMissingColumns=True)
+    # one exchange: each document's findings and the bitmap of the rules that they meet
+    document = W.partitionBy("doc_id")
+    rows = keyed.withColumns({f"_met{w}": F.bit_or(bits.word_of(F.col("rule_id"), w)).over(document) for w in range(bits.words)})
+    rows = rows.withColumn("_first", F.row_number().over(document.orderBy("rule_id", "seq")) == 1).withColumn("_met", F.array(*[f"_met{w}" for w in range(bits.words)]))
+    if documents is not None:
+        rows = rows.withColumn("_listed", F.max(F.col("rule_id").isNull()).over(document)).where("_listed")
+    of_rule = lambda values: F.element_at(F.create_map(*[F.lit(x) for r in known for x in (r, values(r))]), F.col("rule_id"))
+    severity, autofix = of_rule(lambda r: effective[r]["severity"]), of_rule(lambda r: effective[r]["autofix"])
     doubtful = (F.col("rule_id") == "ER-REF-SORT-001") & (F.col("confidence") < confidence)
-    status = F.when(F.col("ok").isNull(), "NOT_CHECKED").when((F.col("severity") == "manual_review") | (~F.col("ok") & doubtful), "MANUAL_REVIEW").when(F.col("ok"), "PASS").otherwise(F.upper("severity"))
-    fixable = F.coalesce(~F.col("ok") & F.col("rule_id").isin(*FIXABLE) & allowed(F.col("autofix"), F.col("confidence"), confidence), F.lit(False))
-    return graded.select("doc_id", "seq", "rule_id", F.col("_target").alias("target"), status.alias("status"), fixable.alias("fixable"))
+    status = F.when((severity == "manual_review") | (~F.col("ok") & doubtful), "MANUAL_REVIEW").when(F.col("ok"), "PASS").otherwise(F.upper(severity))
+    fixable = F.coalesce(~F.col("ok") & F.col("rule_id").isin(*FIXABLE) & allowed(autofix, F.col("confidence"), confidence), F.lit(False))
+    verdict = lambda seq, rule, target, state, may: F.struct(seq.alias("seq"), rule.alias("rule_id"), target.alias("target"), state.alias("status"), may.alias("fixable"))
+    own = F.when(F.col("rule_id").isNotNull(), verdict(F.col("seq"), F.col("rule_id"), of_rule(known.get), status, fixable))
+    unmet = [F.when(F.col("_first") & ~bits.holds(F.col("_met"), r), verdict(F.lit(None).cast("int"), F.lit(r), F.lit(known[r]), F.lit("NOT_CHECKED"), F.lit(False))) for r in bits.ids]
+    return rows.select("doc_id", F.inline(F.array_compact(F.array(own, *unmet))))
 
 
 def cited_name(author: Column) -> Column:
