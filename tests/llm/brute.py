@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -167,3 +168,74 @@ def ftrl(stream, alpha, beta, l1, l2):
             z[f] += g - rate * weight(f)
             n[f] += g * g
     return score
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ascii_lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def contamination(docs, items, width=10, shingle=5, least=1.0):
+    """[(words, hit places, item ids)] of each text, window by window."""
+    records = set()
+    for item, text in items:
+        words = ALNUM.findall(ascii_lower(text))
+        if words:
+            n = min(width, len(words))
+            records |= {(item, tuple(words[p : p + n])) for p in range(len(words) - n + 1)}
+    out = []
+    for text in docs:
+        words = ALNUM.findall(ascii_lower(text))
+        hit, ids = set(), set()
+        for item, record in records:
+            n = len(record)
+            k = min(shingle, n)
+            places = range(n - k + 1)
+            for p in range(len(words) - n + 1):
+                window = tuple(words[p : p + n])
+                met = sum(window[o : o + k] == record[o : o + k] for o in places)
+                if window == record if least >= 1 else met >= max(1, math.ceil(least * len(places) - 1e-9)):
+                    hit |= set(range(p, p + n))
+                    ids |= {item} - {None}
+        out.append((len(words), hit, sorted(map(str, ids), key=str.encode)))
+    return out
+
+
+def runs(s, least=12):
+    """(start, length, period) of every run, by every period and place."""
+    found = {}
+    for q in range(1, len(s) // 2 + 1):
+        i = 0
+        while i + q < len(s):
+            j = i
+            while j + q < len(s) and s[j] == s[j + q]:
+                j += 1
+            if j - i + q >= max(least, 2 * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted((a, n, q) for (a, n), q in found.items())
+
+
+def divergence(rows, ranks=200):
+    """Rows of (text, lang, source): every share of every kept term written out."""
+    rows = [(LETTERS.findall(ascii_lower(t)), lang or "", source or "") for t, lang, source in rows]
+    out = []
+    for lang in {r[1] for r in rows}:
+        seen = collections.Counter(w for words, own, _ in rows if own == lang for w in set(words))
+        kept = sorted(w for w, n in seen.items() if n >= 3)
+        names = {s for _, own, s in rows if own == lang}
+        counts = {s: collections.Counter(w for words, own, source in rows if own == lang and source == s for w in words) for s in names}
+        counts[None] = sum(counts.values(), collections.Counter())
+        share = {}
+        for s, c in counts.items():
+            total = sum(c[w] for w in kept)
+            share[s] = {w: 1 + 1_000_000_000 * (c[w] + 1) // (total + len(kept)) for w in kept}
+        for s in names:
+            pairs = [(-sum((share[s][w] - share[o][w]) ** 2 // share[o][w] for w in kept), o.encode(), o) for o in names - {s}]
+            terms = [(-((share[s][w] - share[None][w]) ** 2 // share[None][w]), w.encode(), w) for w in kept if counts[s][w] and share[s][w] > share[None][w]]
+            for part, found, most in (("pair", pairs, len(pairs)), ("term", terms, ranks)):
+                out += [(lang, s, part, item, -value, k + 1) for k, (value, _, item) in enumerate(sorted(found)[:most])]
+    return sorted(out)
