@@ -98,4 +98,4 @@ def wording_parts(lines: DataFrame) -> DataFrame:
         part("english_reference_title", F.regexp_extract(text, _QUOTED, 1), foreign & text.rlike(_QUOTED)),
     ))
     kept = [c for c in lines.columns if c not in ("role", "text")]
-    return lines.select(*kept, F.inline(parts))
+    return lines.select(*kept, F.inline_outer(parts))

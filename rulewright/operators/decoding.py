@@ -11,7 +11,7 @@ stands for 2**k times as likely.  They are ours, there are no labelled data.
   which it has this role (forward-backward); it feeds what policy lets a fix do.
 
 Both are array aggregates over the lines of one row: no row is exchanged, no
-Python runs.  Results are appended in chunks of ``CHUNK`` lines, so their cost does not grow with the
+Python runs.  Results are appended in chunks, so their cost does not grow with the
 square of a document's lines.  Powers of two are exact and every step is scaled by its sum, so a
 long document neither overflows nor vanishes.
 
@@ -21,15 +21,14 @@ rows; rows that repeat a doc_id are decoded on their own; ``seq`` is the line's
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import fold, once, step
+
 #: Targets of rules that lines of a plain text can be.
 ROLES = ("title", "author_name", "abstract", "heading_level_1", "body", "contact_label", "table_note", "reference_entry")
 _S = len(ROLES)
-CHUNK = 128
 
 #: What a line shows: a pattern over its trimmed text, in the syntax that Java and RE2 share.
 SIGNS = {
@@ -79,38 +78,11 @@ def _powers(values: tuple[int, ...]) -> Column:
     return F.array(*[F.lit(2.0**v) for v in values])
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def line_bits(line: Column) -> Column:
     """Of a trimmed line, the bits by which it speaks for each role."""
     shown = F.array(*[line.rlike(pattern) for pattern in SIGNS.values()])
     signs = F.array(*[_ints(bits) for bits in SIGN_BITS.values()])
-    return _with(shown, lambda seen: F.aggregate(F.filter(signs, lambda _, k: F.get(seen, k)), _ints((0,) * _S), lambda a, bits: F.zip_with(a, bits, lambda x, y: x + y)))
-
-
-def _step(state: Column, output: Column) -> Column:
-    return F.struct(state.alias("s"), output.alias("o"))
-
-
-def _fold(rows: Column, state: Column, state_type: str, out_type: str, step: Callable[[Column, Column], Column], use: Callable[[Column, Column], Column]) -> Column:
-    """``step`` makes a ``_step`` of (state, row), row by row; ``use`` gets the last state and all outputs.
-
-    Outputs are gathered in chunks, so that appending copies at most a chunk or one reference for each chunk.
-    """
-    none = F.expr(f"cast(array() as array<{out_type}>)")
-    chunks = F.when(F.size(rows) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda c: F.slice(rows, c * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.array())
-    start = _step(state.cast(state_type), F.expr(f"cast(array() as array<array<{out_type}>>)"))
-
-    def one(acc: Column, row: Column) -> Column:
-        return _with(step(acc["s"], row), lambda r: _step(r["s"], F.concat(acc["o"], F.array(r["o"]))))
-
-    def chunk(acc: Column, part: Column) -> Column:
-        return F.aggregate(part, _step(acc["s"], none), one, lambda r: _step(r["s"], F.concat(acc["o"], F.array(r["o"]))))
-
-    return F.aggregate(chunks, start, chunk, lambda r: use(r["s"], F.flatten(r["o"])))
+    return once(shown, lambda seen: F.aggregate(F.filter(signs, lambda _, k: F.get(seen, k)), _ints((0,) * _S), lambda a, bits: F.zip_with(a, bits, lambda x, y: x + y)))
 
 
 def best_labels(bits: Column) -> Column:
@@ -119,16 +91,16 @@ def best_labels(bits: Column) -> Column:
 
     def forward(weights: Column, own: Column) -> Column:
         best = lambda r: F.struct(F.array_max(r).alias("v"), (F.array_position(r, F.array_max(r)) - 1).cast("int").alias("k"))
-        reach = F.transform(into, lambda w: _with(F.zip_with(weights, w, lambda a, b: a + b), best))
-        return _with(reach, lambda r: _step(F.zip_with(r, own, lambda x, b: x["v"] + b), F.transform(r, lambda x: x["k"])))
+        reach = F.transform(into, lambda w: once(F.zip_with(weights, w, lambda a, b: a + b), best))
+        return once(reach, lambda r: step(F.zip_with(r, own, lambda x, b: x["v"] + b), F.transform(r, lambda x: x["k"])))
 
     def back(weights: Column, pointers: Column) -> Column:
         # pointers lead from the second, third ... line to the one before it
         last = (F.array_position(weights, F.array_max(weights)) - 1).cast("int")
-        return _fold(F.reverse(pointers), last, "int", "int", lambda at, p: _step(F.get(p, at), at), lambda first, path: F.concat(F.array(first), F.reverse(path)))
+        return fold(F.reverse(pointers), last, "int", "int", lambda at, p: step(F.get(p, at), at), lambda first, path: F.concat(F.array(first), F.reverse(path)))
 
     start = F.zip_with(_ints(FIRST_BITS), F.get(bits, F.lit(0)), lambda a, b: a + b)
-    return _fold(_rest(bits), start, "array<bigint>", "array<int>", forward, back)
+    return fold(_rest(bits), start, "array<bigint>", "array<int>", forward, back)
 
 
 def _rest(rows: Column) -> Column:
@@ -136,7 +108,7 @@ def _rest(rows: Column) -> Column:
 
 
 def _scaled(weights: Column) -> Column:
-    return _with(weights, lambda w: _with(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(w, lambda x: x / total)))
+    return once(weights, lambda w: once(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(w, lambda x: x / total)))
 
 
 def _sums(state: Column, rows: list[Column]) -> Column:
@@ -151,9 +123,9 @@ def posteriors(likely: Column) -> Column:
     every = lambda last, out: F.concat(out, F.array(last))
     doubles = "array<double>"
     start = _scaled(times(_powers(FIRST_BITS), F.get(likely, F.lit(0))))
-    ahead = _fold(_rest(likely), start, doubles, doubles, lambda s, own: _step(_scaled(times(_scaled(_sums(s, into)), own)), s), every)
+    ahead = fold(_rest(likely), start, doubles, doubles, lambda s, own: step(_scaled(times(_scaled(_sums(s, into)), own)), s), every)
     # what comes behind a line, without the line's own weight
-    behind = _fold(F.reverse(_rest(likely)), F.array(*[F.lit(1.0)] * _S), doubles, doubles, lambda s, own: _step(_with(times(s, own), lambda c: _scaled(_sums(c, out_of))), s), every)
+    behind = fold(F.reverse(_rest(likely)), F.array(*[F.lit(1.0)] * _S), doubles, doubles, lambda s, own: step(once(times(s, own), lambda c: _scaled(_sums(c, out_of))), s), every)
     return F.zip_with(ahead, F.reverse(behind), lambda a, b: _scaled(times(a, b)))
 
 
@@ -172,4 +144,6 @@ def decode(documents: DataFrame, text: str = "text", keep_empty: bool = False) -
     names = F.array(*[F.lit(r) for r in ROLES])
     label = lambda k: F.get("labels", k)
     found = F.transform("lines", lambda x, k: F.struct(x["seq"].alias("seq"), x["text"].alias("text"), F.get(names, label(k)).alias("role"), F.get(F.get("shares", k), label(k)).alias("confidence")))
-    return rows.select("doc_id", (F.inline_outer if keep_empty else F.inline)(found))
+    # outer, and empty ones dropped afterwards: else the decoder is copied into a filter on the size of its result
+    out = rows.select("doc_id", F.inline_outer(found))
+    return out if keep_empty else out.where("role is not null")

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bitmaps, decoding
+from ..operators import bitmaps, decoding, markup
 from ..operators.lint import compiled
 from ..operators.rulebits import RuleBits
 from ..sources import catalogue
 from ..sources.shipped import shipped_files
-from . import decoding_sql
+from . import decoding_sql, markup_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +58,23 @@ def document_rule_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents each rule is broken, kept and not met."""
     return bitmaps.rule_coverage(*_line_bitmaps(spark, sf_dir))
+
+
+# ---- nested structure of pages -----------------------------------------------------------------
+
+#: Parts of a page that a text may belong to.
+REGIONS = ("head", "nav", "article", "div", "footer", "table", "figure")
+
+
+@_query(markup_sql.PAGE_NODES)
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element and text of every page with its interval, its parent and its depth."""
+    return markup.page_nodes(_read(spark, sf_dir, "pages").select("page_id", "html")).drop("text")
+
+
+@_query(markup_sql.passages(REGIONS))
+def page_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of every page with the innermost region that it lies in, by a join of intervals."""
+    nodes = markup.page_nodes(_read(spark, sf_dir, "pages").select("page_id", "html"))
+    text, regions = nodes.where(F.col("kind") == markup.TEXT), nodes.where(F.col("kind").isin(*REGIONS))
+    return markup.nearest(text.select("page_id", "node", F.length("text").cast("long").alias("n_chars")), regions).select("page_id", "node", "around", "region", "n_chars")

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from rulewright.functions.folds import CHUNK
 from rulewright.operators import bitmaps, decoding
 from rulewright.operators.lint import compiled
 from rulewright.operators.rulebits import RuleBits
@@ -74,7 +75,7 @@ def test_roles_are_the_best_labelling(spark):
 
 def test_long_documents_are_decoded_in_chunks(spark):
     rng = random.Random(9)
-    texts = {n: [rng.choice([x.strip() for x in LINES if x.strip()]) for _ in range(n)] for n in (1, 2, decoding.CHUNK, decoding.CHUNK + 1, decoding.CHUNK + 2, 3000)}
+    texts = {n: [rng.choice([x.strip() for x in LINES if x.strip()]) for _ in range(n)] for n in (1, 2, CHUNK, CHUNK + 1, CHUNK + 2, 3000)}
     got = by_document(decoding.decode(spark.createDataFrame([(n, "\n".join(t)) for n, t in texts.items()], "doc_id long, text string")))
     for n, lines in texts.items():
         assert [r.role for r in got[n]] == recursion(lines)
