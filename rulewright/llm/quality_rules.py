@@ -105,7 +105,7 @@ def words_of(text: Column) -> Column:
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the base statistics of every whole text."""
+    """doc_id, lang, source, the base statistics of every whole text, and ``version``, which tells texts of one id apart."""
     base = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_words", words_of(F.col("_text")))
     # windows of eight words, as hashes of the words' hashes; an array per row, never rows per window
     hashed = F.transform("_words", lambda w: F.xxhash64(w))
@@ -131,6 +131,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         F.coalesce(repeat, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
         F.coalesce(passage, F.lit(0)).cast("long").alias("n_passage_words"),
+        F.xxhash64("_text").alias("version"),
     )
 
 
@@ -311,6 +312,9 @@ def judged_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, all columns as they were (rows of a repeated doc_id go only if all of them are rejected)."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("_rw_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rw_id")), "left_semi")
+    """The rows that are kept, all columns as they were: each by its own text, language and source, whatever other rows have its id or none."""
+    keys = ["doc_id", "version", "lang", "source"]
+    kept = judge(docs).where("kept").select(*[F.col(c).alias(f"_rw_{c}") for c in keys]).distinct()
+    own = {"doc_id": docs["doc_id"].cast("long"), "version": F.xxhash64(F.coalesce(docs["text"], F.lit(""))), "lang": docs["lang"].cast("string"), "source": docs["source"].cast("string")}
+    same = reduce(lambda a, c: a & own[c].eqNullSafe(F.col(f"_rw_{c}")), keys, F.lit(True))
+    return docs.join(kept.hint("shuffle_hash"), same, "left_semi")

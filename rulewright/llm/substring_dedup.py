@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_column, map_arrow, prepare, stored, window_hashes
+from .common import WordHashes, binary_column, map_arrow, own_id, prepare, stored, window_hashes
 
 WINDOW = 50
 ANCHOR = 25
@@ -194,13 +194,13 @@ def kept_words(words: list, spans: list[Run]) -> list:
     return out + words[at:]
 
 
-def _with_runs(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``docs`` with ``_rw_runs``: the runs of each row's text."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version(F.col("text")).alias("version"), "text").where("doc_id is not null")
+def _with_runs(docs: DataFrame, window: int, anchor: int, key: str = "doc_id") -> DataFrame:
+    """``docs`` with ``_rw_runs``: the runs of each row's text; rows are ordered by ``key``."""
+    known = docs.select(F.col(key).cast("long").alias("doc_id"), version(F.col("text")).alias("version"), "text").where("doc_id is not null")
     runs = first_occurrences(known, window, anchor).withColumn("version", F.shiftright("place", _VERSION_BITS))
     first = F.col("place").bitwiseAND(F.lit(_PLACE)).alias("first")
     per_doc = runs.groupBy(F.col("doc_id").alias("_rw_id"), F.col("version").alias("_rw_version")).agg(F.collect_list(F.struct(first, "n", "source", "at")).alias("_rw_runs"))
-    own = (docs["doc_id"].cast("long") == F.col("_rw_id")) & (version(docs["text"]) == F.col("_rw_version"))
+    own = (docs[key].cast("long") == F.col("_rw_id")) & (version(docs["text"]) == F.col("_rw_version"))
     return docs.join(per_doc.hint("shuffle_hash"), own, "left").drop("_rw_id", "_rw_version")
 
 
@@ -233,14 +233,18 @@ def parse_documents(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 
 def remove_duplicates(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """The documents without their repeated passages; texts without any stay as they are, byte for byte."""
+    """The documents without their repeated passages; texts without any stay as they are, byte for byte.
+
+    Rows without an id come after all others, by a hash of their texts.
+    """
     prepare(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(text, runs):
         return text.combine(runs, lambda t, r: " ".join(x.decode() for x in kept_words(t.encode().split(), factors(_runs_of(r), window))))
 
-    rows = _with_runs(docs, window, anchor)
+    keyed = docs.withColumn("_rw_key", F.coalesce(F.col("doc_id").cast("long"), own_id("text")))
+    rows = _with_runs(keyed, window, anchor, "_rw_key")
     none = F.expr("cast(array() as array<struct<first:bigint,n:int,source:bigint,at:bigint>>)")
     kept = F.when(F.col("_rw_runs").isNull(), F.col("text")).otherwise(clean(F.coalesce("text", F.lit("")), F.coalesce("_rw_runs", none)))
     return rows.withColumn("text", kept).select(*docs.columns)
