@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bitmaps, decoding, markup
+from ..operators import bitmaps, decoding, markup, referential
 from ..operators.lint import compiled
 from ..operators.rulebits import RuleBits
 from ..sources import catalogue
@@ -78,3 +78,37 @@ def page_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = markup.page_nodes(_read(spark, sf_dir, "pages").select("page_id", "html"))
     text, regions = nodes.where(F.col("kind") == markup.TEXT), nodes.where(F.col("kind").isin(*REGIONS))
     return markup.nearest(text.select("page_id", "node", F.length("text").cast("long").alias("n_chars")), regions).select("page_id", "node", "around", "region", "n_chars")
+
+
+# ---- referential checks ------------------------------------------------------------------------
+
+#: (name, children, their key, parents, their key)
+RELATIONS = (
+    ("labels of documents", "labels", "doc_id", "documents", "doc_id"),
+    ("orders of customers", "orders", "o_custkey", "customer", "c_custkey"),
+    ("lines of orders", "lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lines of parts", "lineitem", "l_partkey", "part", "p_partkey"),
+    ("lines of suppliers", "lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("events of customers", "events", "user_id", "customer", "c_custkey"),
+)
+
+
+def _faults_sql() -> str:
+    parts = []
+    for name, child, a, parent, b in RELATIONS:
+        parts.append(f"SELECT DISTINCT '{name}' AS relation, 'dangling' AS fault, {a}::BIGINT AS key FROM {child} c WHERE {a} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{b} = c.{a})")
+        parts.append(f"SELECT DISTINCT '{name}', 'unreferenced', {b}::BIGINT FROM {parent} p WHERE {b} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {child} c WHERE c.{a} = p.{b})")
+    return " UNION ALL ".join(parts)
+
+
+@_query(_faults_sql())
+def reference_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys without a parent and parents without a child, over six relations of the given tables."""
+    return referential.faults([(name, _read(spark, sf_dir, child), a, _read(spark, sf_dir, parent), b) for name, child, a, parent, b in RELATIONS])
+
+
+@_query("SELECT user_id, event_type, count(*) AS n FROM events e WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id) GROUP BY 1, 2")
+def events_of_unknown_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose user is no customer, by user and kind: filtered on the scan before anything is moved."""
+    lost = referential.missing(_read(spark, sf_dir, "events"), "user_id", _read(spark, sf_dir, "customer"), "c_custkey")
+    return lost.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
