@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_folder
 from ..operators import bitmaps, decoding, markup, referential
 from ..operators.lint import compiled
 from ..operators.rulebits import RuleBits
 from ..sources import catalogue
 from ..sources.shipped import shipped_files
+from ..streaming import repeats
+from ..streaming.validate import write_errors
 from . import decoding_sql, markup_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +115,18 @@ def events_of_unknown_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose user is no customer, by user and kind: filtered on the scan before anything is moved."""
     lost = referential.missing(_read(spark, sf_dir, "events"), "user_id", _read(spark, sf_dir, "customer"), "c_custkey")
     return lost.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+# ---- repeats on a stream -----------------------------------------------------------------------
+
+
+@_query("""WITH o AS (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts), event_id) AS nth FROM events WHERE ts IS NOT NULL)
+    SELECT event_id AS key, 'duplicate user_id,event_type' AS error FROM o WHERE nth > 1 AND epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) - 60000 FROM events)""")
+def event_repeats_on_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that repeat user and kind of an earlier one, found on a stream over the table as far as its watermark came."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern: a stream takes a single file by no other name
+    errors = repeats.stream_repeats(rows, "event_id", ("user_id", "event_type"), "ts", "1 minute")
+    out = shared_folder(spark, "repeats")
+    write_errors(errors, f"{out}/errors", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema("key long, error string").parquet(f"{out}/errors")

@@ -9,7 +9,7 @@ from ..plans.validator import table_errors
 
 
 def stream_errors(rows: DataFrame, key: str, required: tuple[str, ...] = (), enums: dict[str, tuple[str, ...]] | None = None, nested: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """The errors of ``table_errors`` for a streaming table; repeated identities need a batch."""
+    """The errors of ``table_errors`` for a streaming table; repeated identities need state (``repeats.py``) or a batch."""
     return table_errors(rows, key, required, enums, nested=nested)
 
 
