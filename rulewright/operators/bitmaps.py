@@ -47,25 +47,25 @@ def element_words(elements: DataFrame, rules: dict[str, dict], bits: RuleBits, o
     return elements.select("doc_id", *out)
 
 
+def _combined(words: DataFrame, bits: RuleBits, n_elements: Column) -> DataFrame:
+    """One row a document from rows of words: bits are set that any of them sets."""
+    names = [f"_{kind}{w}" for kind in ("broken", "kept") for w in range(bits.words)]
+    per_doc = words.groupBy("doc_id").agg(n_elements.alias("n_elements"), *[F.bit_or(c).alias(c) for c in names])
+    each = [F.array(*[F.col(f"_{kind}{w}") for w in range(bits.words)]).alias(kind) for kind in ("broken", "kept")]
+    unmet = [F.bitwise_not(F.col(f"_broken{w}").bitwiseOR(F.col(f"_kept{w}"))).bitwiseAND(F.lit(bits.all(w))) for w in range(bits.words)]
+    return per_doc.select("doc_id", "n_elements", *each, F.array(*unmet).alias("unmet"))
+
+
 def document_bitmaps(elements: DataFrame, rules: dict[str, dict], only=None) -> tuple[DataFrame, RuleBits]:
     """(doc_id, n_elements, broken, kept, unmet) of every document, and the numbering of the rules."""
     bits = RuleBits(rules)
-    words = element_words(elements, rules, bits, only)
-    names = [f"_{kind}{w}" for kind in ("broken", "kept") for w in range(bits.words)]
-    per_doc = words.groupBy("doc_id").agg(F.count("*").alias("n_elements"), *[F.bit_or(c).alias(c) for c in names])
-    each = lambda kind: F.array(*[F.col(f"_{kind}{w}") for w in range(bits.words)])
-    unmet = [F.bitwise_not(F.col(f"_broken{w}").bitwiseOR(F.col(f"_kept{w}"))).bitwiseAND(F.lit(bits.all(w))) for w in range(bits.words)]
-    return per_doc.select("doc_id", "n_elements", each("broken").alias("broken"), each("kept").alias("kept"), F.array(*unmet).alias("unmet")), bits
+    return _combined(element_words(elements, rules, bits, only), bits, F.count("*")), bits
 
 
 def merge_bitmaps(parts: DataFrame, bits: RuleBits) -> DataFrame:
     """One row a document from bitmaps of several passes over the same rules (parts of a corpus, or kinds of elements)."""
     flat = parts.select("doc_id", "n_elements", *[F.get(kind, F.lit(w)).alias(f"_{kind}{w}") for kind in ("broken", "kept") for w in range(bits.words)])
-    names = [c for c in flat.columns if c.startswith("_")]
-    merged = flat.groupBy("doc_id").agg(F.sum("n_elements").alias("n_elements"), *[F.bit_or(c).alias(c) for c in names])
-    each = lambda kind: F.array(*[F.col(f"_{kind}{w}") for w in range(bits.words)])
-    unmet = [F.bitwise_not(F.col(f"_broken{w}").bitwiseOR(F.col(f"_kept{w}"))).bitwiseAND(F.lit(bits.all(w))) for w in range(bits.words)]
-    return merged.select("doc_id", "n_elements", each("broken").alias("broken"), each("kept").alias("kept"), F.array(*unmet).alias("unmet"))
+    return _combined(flat, bits, F.sum("n_elements"))
 
 
 def rule_coverage(bitmaps: DataFrame, bits: RuleBits) -> DataFrame:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from rulewright.plans import corpus_queries as tables_of
 from rulewright.plans import queries as rules
 
 DATA = os.environ.get("RULEWRIGHT_TESTDATA", "/root/testdata/sf0.001")
@@ -46,7 +47,7 @@ def test_entry_stands_without_the_optional_operators(tmp_path):
     """As if the folder and the pipeline had been deleted."""
     hide = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['rulewright.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", hide], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
-    assert out == [str(len(rules.QUERIES)), str(len(rules.ORACLE_SQL))]
+    assert out == [str(len(rules.QUERIES) + len(tables_of.QUERIES)), str(len(rules.ORACLE_SQL) + len(tables_of.ORACLE_SQL))]
 
 
 def test_a_missing_dependency_of_theirs_is_no_silence():
