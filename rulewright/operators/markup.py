@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.folds import fold, once, step
 
@@ -147,28 +148,31 @@ def blocks_of(place: Column) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place.cast("long"), k).alias("block"))), lambda b: b["block"] > 0)
 
 
-def _spans(outer: DataFrame, key: str) -> DataFrame:
-    """The inside of each node of ``outer`` in blocks."""
-    return outer.where("last > node").select(F.col(key).alias("_key"), F.col("node").alias("around"), F.col("kind").alias("region"), F.inline_outer(covering_blocks(F.col("node") + 1, F.col("last"))).alias("_level", "_block"))
-
-
 def containment(inner: DataFrame, outer: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, node, around): every node of ``inner`` with each node of ``outer`` that it lies in, itself excepted."""
     places = inner.select(key, "node", F.inline_outer(blocks_of(F.col("node"))))
+    spans = outer.where("last > node").select(F.col(key).alias("_key"), F.col("node").alias("around"), F.inline_outer(covering_blocks(F.col("node") + 1, F.col("last"))).alias("_level", "_block"))
     same = (F.col(key) == F.col("_key")) & (F.col("level") == F.col("_level")) & (F.col("block") == F.col("_block"))
-    return places.join(_spans(outer, key), same).select(key, "node", "around")
+    return places.join(spans, same).select(key, "node", "around")
 
 
-def nearest(inner: DataFrame, outer: DataFrame, key: str = "page_id") -> DataFrame:
-    """``inner`` with (around, region): the innermost node of ``outer`` around each of its nodes, and its kind; null where there is none.
+def nearest(nodes: DataFrame, inner: Column, outer: Column, key: str = "page_id") -> DataFrame:
+    """The nodes that ``inner`` says, with (around, region): the innermost node around them that ``outer`` says, and its kind; null where there is none.
 
-    Of nested intervals the innermost begins last.  Both sides are read once.
+    Of nested intervals the innermost begins last, so of the spans that share a block with a place only
+    the last one counts: a window over the block finds it, and the nodes are read once.
     """
-    others = [c for c in inner.columns if c not in (key, "node")]
-    places = inner.select(key, "node", F.struct(*others).alias("_row") if others else F.lit(0).alias("_row"), F.explode_outer(blocks_of(F.col("node"))).alias("_at"))
-    same = (F.col(key) == F.col("_key")) & (F.col("_at.level") == F.col("_level")) & (F.col("_at.block") == F.col("_block"))
-    met = places.join(_spans(outer, key), same, "left").groupBy(key, "node").agg(F.any_value("_row").alias("_row"), F.max(F.when(F.col("around").isNotNull(), F.struct("around", "region"))).alias("_in"))
-    return met.select(key, "node", *[f"_row.{c}" for c in others], "_in.around", "_in.region")
+    inner, outer = F.coalesce(inner, F.lit(False)), F.coalesce(outer, F.lit(False)) & (F.col("last") > F.col("node"))
+    others = [c for c in nodes.columns if c not in (key, "node")]
+    at = "struct<level:int,block:bigint,span:struct<around:int,region:string>>"
+    none = F.expr(f"cast(array() as array<{at}>)")
+    places = F.transform(blocks_of(F.col("node")), lambda b: F.struct(b["level"], b["block"], F.lit(None).cast("struct<around:int,region:string>").alias("span")))
+    own = F.struct(F.col("node").alias("around"), F.col("kind").alias("region"))
+    spans = F.transform(covering_blocks(F.col("node") + 1, F.col("last")), lambda b: F.struct(b["level"], b["block"], own.alias("span")))
+    rows = nodes.where(inner | outer).select(key, "node", F.struct(*others).alias("_row"), inner.alias("_inner"), F.explode_outer(F.concat(F.when(inner, places).otherwise(none), F.when(outer, spans).otherwise(none)).cast(f"array<{at}>")).alias("_at"))
+    met = rows.withColumn("_in", F.max("_at.span").over(W.partitionBy(key, "_at.level", "_at.block"))).where("_inner and _at.span is null")
+    found = met.groupBy(key, "node").agg(F.any_value("_row").alias("_row"), F.max("_in").alias("_in"))
+    return found.select(key, "node", *[f"_row.{c}" for c in others], "_in.around", "_in.region")
 
 
 def notes_and_captions(nodes: DataFrame, key: str = "page_id") -> DataFrame:
@@ -176,7 +180,10 @@ def notes_and_captions(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     text = nodes.where(F.col("kind") == TEXT)
     trimmed = F.trim(F.regexp_replace("text", r"\s+", " "))
     notes = text.where(trimmed.rlike(r"^(注|资料来源|Notes?|Source)\s*[:：]"))
-    captions = nearest(text, nodes.where("kind = 'figcaption'"), key).where("around is not null").drop("around", "region")
-    found = [(notes, "table", "table_note"), (captions, "figure", "figure_caption")]
-    parts = [nearest(rows, nodes.where(F.col("kind") == kind), key).where("around is not null").select(key, "node", F.lit(role).alias("role"), "around", trimmed.alias("text")) for rows, kind, role in found]
-    return parts[0].unionByName(parts[1])
+    captions = nearest(nodes, F.col("kind") == TEXT, F.col("kind") == "figcaption", key).where("around is not null").select(key, "node")
+    found = []
+    for rows, kind, role in ((notes, "table", "table_note"), (captions, "figure", "figure_caption")):
+        asked = nodes.join(rows.select(key, "node", F.lit(True).alias("_asked")), [key, "node"], "left")
+        around = nearest(asked, F.col("_asked"), F.col("kind") == kind, key).where("around is not null")
+        found.append(around.select(key, "node", F.lit(role).alias("role"), "around", trimmed.alias("text")))
+    return found[0].unionByName(found[1])

@@ -79,8 +79,8 @@ def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of every page with the innermost region that it lies in, by a join of intervals."""
     nodes = markup.page_nodes(_read(spark, sf_dir, "pages").select("page_id", "html"))
-    text, regions = nodes.where(F.col("kind") == markup.TEXT), nodes.where(F.col("kind").isin(*REGIONS))
-    return markup.nearest(text.select("page_id", "node", F.length("text").cast("long").alias("n_chars")), regions).select("page_id", "node", "around", "region", "n_chars")
+    nodes = nodes.select("page_id", "node", "last", "kind", F.length("text").cast("long").alias("n_chars"))
+    return markup.nearest(nodes, F.col("kind") == markup.TEXT, F.col("kind").isin(*REGIONS)).select("page_id", "node", "around", "region", "n_chars")
 
 
 # ---- referential checks ------------------------------------------------------------------------

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rulewright.operators import markup
 
@@ -74,7 +75,7 @@ def test_containment_is_that_of_all_pairs(pages, nodes):
                 want |= {(page, a[0], b[0]) for b in around}
                 innermost[page, a[0]] = max((b[0], b[3]) for b in around) if around else (None, None)
     assert len(got) == len(want) and set(map(tuple, got)) == want
-    assert {(r.page_id, r.node): (r.around, r.region) for r in markup.nearest(inner, outer).collect()} == innermost
+    assert {(r.page_id, r.node): (r.around, r.region) for r in markup.nearest(nodes, F.col('kind') == '#text', F.col('kind').isin('div', 'p', 'table')).collect()} == innermost
     plan = markup.containment(inner, outer)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
 
