@@ -315,17 +315,19 @@ def _verified(docs: DataFrame, loose: DataFrame, width: int) -> DataFrame:
 def keep_documents(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """One document of each component, all columns as they were.
 
-    A row stands for its text.  Rows without an id, and those of an id that several rows have, are told apart
+    A row stands for its text.  Rows without an id, and those of an id that several texts have, are told apart
     by their texts: each text goes or stays on its own, a row with an id of its own before one
     without, and of rows that repeat id and text one stays.
     """
     docs_id = docs["doc_id"].cast("long")
-    shared = stored(docs.groupBy(docs_id.alias("_rw_shared")).count().where("count > 1 or _rw_shared is null").select("_rw_shared"), "shared-ids")
+    kind = F.xxhash64(F.coalesce("text", F.lit("")))
+    shared = docs.groupBy(docs_id.alias("_rw_shared")).agg(F.count("*").alias("n"), (F.min(kind) < F.max(kind)).alias("several")).where("n > 1 or _rw_shared is null")
+    shared = stored(shared.select("_rw_shared", F.expr("several or _rw_shared is null").alias("_rw_several")), "shared-ids")
     if shared.isEmpty():
         gone = near_duplicates(docs, width).where("not kept").select("doc_id").distinct()
         return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
     flagged = docs.join(shared.withColumn("_rw_flag", F.lit(True)), docs_id.eqNullSafe(F.col("_rw_shared")), "left")
-    flagged = flagged.withColumn("_rw_id", F.when(F.col("_rw_flag"), own_id("_rw_shared", "text")).otherwise(docs_id))
+    flagged = flagged.withColumn("_rw_id", F.when(F.col("_rw_several"), own_id("_rw_shared", "text")).otherwise(docs_id))
     gone = near_duplicates(flagged.select(F.col("_rw_id").alias("doc_id"), "text"), width).where("not kept").select(F.col("doc_id").alias("_rw_id")).distinct()
     left = flagged.join(gone.hint("shuffle_hash"), "_rw_id", "left_anti")
     return left.where("_rw_flag is null").unionByName(left.where("_rw_flag").dropDuplicates(["_rw_id"])).select(*docs.columns)
