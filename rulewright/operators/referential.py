@@ -13,6 +13,13 @@ key sets ``HASHES`` bits, words of 64 bits are combined by ``bit_or`` in tasks a
 and one row with the array of words becomes a scalar subquery of the scan.  Its size follows the
 number of keys up to ``MOST_BITS`` (512 kB); beyond that more keys pass.
 
+``faults`` asks for keys only, of integers, in both directions.  There a set of keys is words of 64 bits (``key_words``): the
+key's upper part names the word, aggregates before the exchange combine words by ``bit_or``.  Dense keys
+take a 64th of the rows, sparse ones a row each as before.  Words are written once and filtered by Bloom filters of both
+sides; those of both sides meet in one join, which gives what each side lacks.  Beyond ``TASK_ROWS`` words
+a side both are dealt by word to as many tasks as that takes: no word comes twice, so none is hot, and a task
+gets no more of them the larger the tables are.
+
 Special cases: a null key refers to nothing and is no fault; keys compare by value, so repeated
 partners are one; with an empty other side every key is a fault; all columns of the rows pass through.
 """
@@ -24,9 +31,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_folder
+
 HASHES = 2
 BITS_PER_KEY = 16
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 22
+#: Words of a side that one task sorts and compares.
+TASK_ROWS = 1_000_000
 
 
 def filter_bits(keys: int) -> int:
@@ -57,6 +68,11 @@ def may_contain(words: Column, key: Column, bits: int) -> Column:
     return key.isNotNull() & reduce(lambda a, k: a & hit(_place(key, bits, k)), range(HASHES), F.lit(True))
 
 
+def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows dealt by key to tasks of some ``TASK_ROWS``, if ``most`` rows are too many for one."""
+    return rows.repartition(-(-most // TASK_ROWS), key) if most > TASK_ROWS else rows
+
+
 def missing(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
     """The rows whose key is not null and not among the other side's keys."""
     kind = rows.schema[key].dataType
@@ -73,11 +89,38 @@ def missing(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> Dat
     return certain.unionByName(left.join(near, F.col(key) == F.col("_rw_partner"), "left_anti"))
 
 
+def key_words(rows: DataFrame, key: str) -> DataFrame:
+    """(at, bits) of the distinct keys of a column: ``bits`` has those from 64 * at on."""
+    keys = rows.select(F.col(key).cast("long").alias("key")).where("key is not null")
+    return keys.groupBy(F.expr("shiftright(key, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits"))
+
+
+def _written(words: DataFrame) -> DataFrame:
+    out = shared_folder(words.sparkSession, "keys")
+    words.write.parquet(out)
+    return words.sparkSession.read.schema(words.schema).parquet(out)
+
+
 def faults(relations: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
     """(relation, fault, key) of (name, children, key, parents, key): keys of children without a parent, and of parents that no child names."""
     out = []
     for name, children, child, parents, parent in relations:
-        kids = children.select(F.col(child).cast("long").alias("key")).where("key is not null").distinct()
-        for fault, rows, key, others, other in (("dangling", kids, "key", parents, parent), ("unreferenced", parents.select(F.col(parent).cast("long").alias("key")).distinct(), "key", kids, "key")):
-            out.append(missing(rows, key, others, other).select(F.lit(name).alias("relation"), F.lit(fault).alias("fault"), "key"))
+        sides = [_written(key_words(children, child)), _written(key_words(parents, parent))]
+        counts = [side.count() for side in sides]
+        bits = [filter_bits(n) for n in counts]
+        filters = [bloom(side, "at", n) for side, n in zip(sides, bits, strict=True)]
+        passes = [may_contain(filters[1 - k].scalar(), F.col("at"), bits[1 - k]) for k in range(2)]
+        # words that the other side lacks for certain hold faults only; the others meet
+        alone = [side.where(~passed) for side, passed in zip(sides, passes, strict=True)]
+        left = [_dealt(side.where(passed), "at", max(counts)) for side, passed in zip(sides, passes, strict=True)]
+        both = left[0].withColumnRenamed("bits", "mine").join(left[1].withColumnRenamed("bits", "theirs"), "at", "full")
+        mine, theirs = (F.coalesce(c, F.lit(0).cast("long")) for c in ("mine", "theirs"))
+        met = both.select("at", mine.bitwiseAND(F.bitwise_not(theirs)).alias("dangling"), theirs.bitwiseAND(F.bitwise_not(mine)).alias("unreferenced"))
+        none = F.lit(0).cast("long")
+        lone = alone[0].select("at", F.col("bits").alias("dangling"), none.alias("unreferenced")).unionByName(alone[1].select("at", none.alias("dangling"), F.col("bits").alias("unreferenced")))
+        kinds = F.explode(F.array(*[F.struct(F.lit(fault).alias("fault"), F.col(fault).alias("bits")) for fault in ("dangling", "unreferenced")])).alias("x")
+        found = lone.unionByName(met).select("at", kinds).where("x.bits != 0")
+        places = F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(x.bits, i) & 1L = 1L)")).alias("place")
+        keys = found.select("at", "x.fault", places).select("fault", F.expr("shiftleft(at, 6) | place").alias("key"))
+        out.append(keys.select(F.lit(name).alias("relation"), "fault", "key"))
     return reduce(DataFrame.unionByName, out)

@@ -55,3 +55,26 @@ def test_faults_of_both_sides(spark):
     known = spark.createDataFrame([(1,), (2,), (2,)], "key long")
     got = sorted(map(tuple, referential.faults([("r", kids, "ref", known, "key")]).collect()))
     assert got == [("r", "dangling", 7), ("r", "unreferenced", 2)]
+
+
+def test_faults_of_keys_of_all_sizes(spark):
+    rng = random.Random(9)
+    pool = [-(2**63), 2**63 - 1, -1, 0, 63, 64, -64, -65, *(rng.randint(-300, 300) for _ in range(200)), *(rng.randint(-(2**62), 2**62) for _ in range(200))]
+    kids, known = ([rng.choice([None, *pool]) for _ in range(300)] for _ in range(2))
+    frames = [spark.createDataFrame([(k,) for k in side], "key long") for side in (kids, known)]
+    a, b = ({k for k in side if k is not None} for side in (kids, known))
+    want = sorted([("r", "dangling", k) for k in a - b] + [("r", "unreferenced", k) for k in b - a])
+    assert sorted(map(tuple, referential.faults([("r", frames[0], "key", frames[1], "key")]).collect())) == want
+    empty = spark.createDataFrame([], "key long")
+    assert sorted(r.key for r in referential.faults([("r", empty, "key", frames[1], "key")]).collect()) == sorted(b)
+
+
+def test_dense_keys_meet_as_few_rows(spark, monkeypatch):
+    """What meets and what a task sorts follows the words, and tasks get no more for larger tables."""
+    kids, known = spark.range(0, 64_000), spark.range(640, 64_640)
+    assert referential.key_words(kids, "id").count() == 1000
+    want = sorted([("r", "dangling", k) for k in range(640)] + [("r", "unreferenced", k) for k in range(64_000, 64_640)])
+    monkeypatch.setattr(referential, "TASK_ROWS", 100)
+    found = referential.faults([("r", kids, "id", known, "id")])
+    assert sorted(map(tuple, found.collect())) == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [at#") == 2
